@@ -36,6 +36,11 @@ def whole(expr: str) -> str:
     return f"CAST(floor({expr}) AS BIGINT)"
 
 
+def eighths(expr: str) -> str:
+    """Amounts in eighths add up exactly, whatever the order."""
+    return f"floor({expr} * 8) / 8"
+
+
 def day_month_year(d: str) -> str:
     """`5-Mar-2024`."""
     month = f"substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(month({d}) AS INT) * 3 - 2, 3)"
@@ -103,10 +108,10 @@ _LEDGER_TEXTS = (
 )
 _DIRECTION = (
     "CASE WHEN l_orderkey % 3 = 0 THEN 'Ingreso' ELSE 'Egreso' END AS `Ingreso Egreso`, "
-    "CASE WHEN l_orderkey % 3 = 0 THEN l_extendedprice ELSE -l_extendedprice END AS `Importe Formateado`"
+    "CASE WHEN l_orderkey % 3 = 0 THEN price ELSE -price END AS `Importe Formateado`"
 )
-_CASH_TEXT = f"CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' ELSE {text('l_extendedprice')} END AS `Bs`"
-_MONTO = "CASE WHEN l_orderkey % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS `Monto`"
+_CASH_TEXT = f"CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' ELSE {text('price')} END AS `Bs`"
+_MONTO = "CASE WHEN l_orderkey % 2 = 0 THEN -price ELSE price END AS `Monto`"
 _NAMED = f"{day_month_year('d')} AS `Fecha`"
 
 # Ledger -> (date column, amount columns); they share `lineitem` out by line number and status.
@@ -136,7 +141,7 @@ def _purchases(flag: str, ingredient: str, own: str) -> str:
         f"l_returnflag AS `Categoria`, CASE WHEN l_linenumber % 2 = 0 THEN 'Item ' || {text('k')} ELSE {ingredient} END AS `Producto`, "
         f"'kg' AS `Medida`, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS `Porciones`, "
         f"CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity * (l_linenumber + 1) / 4 END AS `Peso Real`, "
-        f"l_quantity AS `Cantidad Compra`, l_extendedprice / l_quantity AS `Precio Unitario`, l_extendedprice AS `Precio Total`, "
+        f"l_quantity AS `Cantidad Compra`, price / l_quantity AS `Precio Unitario`, price AS `Precio Total`, "
         f"{own}, 'c' || {text('l_linenumber')} AS `Comentario` FROM {{src_line}} WHERE l_returnflag = '{flag}'"
     )
 
@@ -155,11 +160,13 @@ _B_INGREDIENT_OF_EVENT = (
 # Rows of the driver tables with the keys and dates the landed tables use.
 PREPARED = {
     "src_line": (
-        f"SELECT *, {whole('l_partkey / 2')} AS k, CAST(l_shipdate AS DATE) + {SHIFT_DAYS} AS d FROM {{lineitem}}"
+        f"SELECT *, {whole('l_partkey / 2')} AS k, {eighths('l_extendedprice')} AS price, "
+        f"CAST(l_shipdate AS DATE) + {SHIFT_DAYS} AS d FROM {{lineitem}}"
     ),
     "src_part": f"SELECT *, {whole('p_partkey / 2')} AS k FROM {{part}}",
     "src_order": (
-        f"SELECT *, {whole('o_orderkey / 15')} AS k, CAST(o_orderdate AS DATE) + {SHIFT_DAYS} AS d FROM {{orders}}"
+        f"SELECT *, {whole('o_orderkey / 15')} AS k, {eighths('o_totalprice')} AS price, "
+        f"CAST(o_orderdate AS DATE) + {SHIFT_DAYS} AS d FROM {{orders}}"
     ),
     "src_event": (
         f"SELECT *, {whole('event_id / 10')} AS k, DATE '2023-12-25' + CAST(event_id % 210 AS INT) AS d FROM {{events}}"
@@ -168,9 +175,9 @@ PREPARED = {
     "src_invoice": (
         f"SELECT CASE l_linestatus WHEN 'O' THEN 79344 ELSE 81761 END AS sucursal, d AS pay_day, "
         f"CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 15 END AS pay_hour, "
-        f"CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS anulada, l_extendedprice AS total, "
+        f"CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS anulada, price AS total, "
         f"CASE k % 100 WHEN 1 THEN 'Chop Cerveza' WHEN 2 THEN 'Chop Cerveza 2X1' ELSE 'Item ' || {text('k')} END AS item1, "
-        f"l_quantity AS quantity1, CASE WHEN k % 100 = 9 THEN NULL ELSE {item_code('k')} END AS code1, l_extendedprice AS price1, "
+        f"l_quantity AS quantity1, CASE WHEN k % 100 = 9 THEN NULL ELSE {item_code('k')} END AS code1, price AS price1, "
         f"'Servicio' AS item2, 1.0 AS quantity2, CASE WHEN l_linenumber % 2 = 0 THEN 'AN000046' ELSE 'S' || {text('l_suppkey')} END AS code2, "
         f"l_quantity / 2 AS price2 FROM {{src_line}}"
     ),
@@ -236,7 +243,7 @@ LANDED = {
         f"WHEN 3 THEN {text('o_orderkey % 3 + 1')} || ' Super Smash Burger [sin queso], 1 Gaseosa Coca-Cola Sin Azucar 500 ml' "
         f"WHEN 4 THEN '1 Cheeseburger,  2  Sando de Pollo, Item sin cantidad' "
         f"ELSE {text('o_orderkey % 3 + 1')} || ' Item ' || {text('k')} || ' [sin queso, 2 extra], 1 Chop Cerveza' END AS `Artículos`, "
-        f"CASE WHEN o_orderkey % 37 = 0 THEN 'gratis' ELSE replace({text('o_totalprice')}, '.', ',') END AS `Total del pedido`, "
+        f"CASE WHEN o_orderkey % 37 = 0 THEN 'gratis' ELSE replace({text('price')}, '.', ',') END AS `Total del pedido`, "
         f"CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {text('o_orderkey % 7')} || ',50' END AS `Descuento total` FROM {{src_order}}"
     ),
     "pedidosya_ventas_extras": (
@@ -276,21 +283,21 @@ LANDED = {
         f"SELECT p_type AS `Categoria`, {item_code('k', 'k < 100')} AS `Cod. Producto`, 'Item ' || {text('k')} AS `Producto`, "
         f"'Botella ' || {text('k')} AS `Botella`, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'B' || {text('k')} END AS `Cod Botella` FROM {{src_part}}"
     ),
-    "registro_mesas_{a}": f"SELECT {_NAMED}, {thousands('o_totalprice')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '1-URGENT'",
+    "registro_mesas_{a}": f"SELECT {_NAMED}, {thousands('price')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '1-URGENT'",
     "registro_mesas_{a}_historico": (
-        f"SELECT {_NAMED}, {thousands('o_totalprice')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '2-HIGH'"
+        f"SELECT {_NAMED}, {thousands('price')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '2-HIGH'"
     ),
-    "ingresos_ventas_gs_eventos": f"SELECT {_NAMED}, o_totalprice AS `Total` FROM {{src_order}} WHERE o_orderpriority = '3-MEDIUM'",
+    "ingresos_ventas_gs_eventos": f"SELECT {_NAMED}, price AS `Total` FROM {{src_order}} WHERE o_orderpriority = '3-MEDIUM'",
     "ingresos_ventas_gs_delivery": f"SELECT {_NAMED} FROM {{src_order}}",
     "ingresos_eventos_bodas": (
-        f"SELECT {_NAMED}, CASE WHEN o_orderkey % 9 = 0 THEN 'pendiente' ELSE {thousands('o_totalprice')} END AS `Bs`, "
+        f"SELECT {_NAMED}, CASE WHEN o_orderkey % 9 = 0 THEN 'pendiente' ELSE {thousands('price')} END AS `Bs`, "
         f"'Boda ' || {text('o_custkey')} AS `Nombre` FROM {{src_order}} WHERE o_orderpriority = '4-NOT SPECIFIED'"
     ),
     "ingresos_fac_ventas_{b}_odoo": (
         f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN {text('d')} || ' 10:00:00' ELSE {text('d')} || ' 20:30:00' END AS `date_order`, "
-        f"o_totalprice AS `Total Bs` FROM {{src_order}}"
+        f"price AS `Total Bs` FROM {{src_order}}"
     ),
-    "ingresos_ventas_{b}_eventos": f"SELECT {_NAMED}, {thousands('o_totalprice')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '5-LOW'",
+    "ingresos_ventas_{b}_eventos": f"SELECT {_NAMED}, {thousands('price')} AS `Total` FROM {{src_order}} WHERE o_orderpriority = '5-LOW'",
     **{
         name: f"SELECT {day}, {_LEDGER_TEXTS}, {amounts} FROM {{src_line}} WHERE l_linenumber = {i // 2 + 1} AND l_linestatus = '{'OF'[i % 2]}'"
         for i, (name, day, amounts) in enumerate(_LEDGERS)

@@ -42,10 +42,15 @@ def or_zero(c: Column) -> Column:
 
 
 def round_half_even(c: Column) -> Column:
-    return F.bround(c, 0)
+    """Whole number, half to even.
+
+    Sums of doubles differ in their last bits with the order tasks finish in; cutting those off first
+    keeps a tie a tie on every run.
+    """
+    return F.bround(F.round(c, 6), 0)
 
 
 def dash_text(c: Column, grouped: bool = True) -> Column:
     """Rounded number as text, NULL as a dash; thousands separators when `grouped`."""
-    text = F.format_number(F.bround(c, 0), 0) if grouped else F.round(c, 0).cast("string")
+    text = F.format_number(round_half_even(c), 0) if grouped else F.round(F.round(c, 6), 0).cast("string")
     return F.coalesce(text, F.lit(NULL_TEXT))

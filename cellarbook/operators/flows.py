@@ -8,6 +8,7 @@ third of all movements is down to one row per day before anything is grouped by
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -32,12 +33,18 @@ def per_day(rows: DataFrame, by: Sequence[str], quantity: str = "cantidad", day:
     return rows.groupBy(*by, day).agg(F.sum(quantity).alias(quantity), F.count(F.lit(1)).alias("_rows"))
 
 
-def flow_days(flows: Mapping[str, DataFrame], counted: Sequence[str] = ()) -> DataFrame:
-    """One row per (item, day): column `<flow>` per flow, and `<flow>_rows` for the counted ones."""
-    tagged = [
-        df.filter(F.col(KEY).isNotNull() & F.col(DAY).isNotNull()).withColumn("_flow", F.lit(name))
-        for name, df in flows.items()
-    ]
+def flow_days(
+    flows: Mapping[str, DataFrame], counted: Sequence[str] = (), between: tuple[date, date] | None = None
+) -> DataFrame:
+    """One row per (item, day): column `<flow>` per flow, and `<flow>_rows` for the counted ones.
+
+    `between` are the first and last day that any period can take in. As literals they are pushed down
+    into every source, so history before the first count is neither aggregated nor shuffled.
+    """
+    wanted = F.col(KEY).isNotNull() & F.col(DAY).isNotNull()
+    if between is not None:
+        wanted = wanted & F.col(DAY).between(*[F.lit(day) for day in between])
+    tagged = [df.filter(wanted).withColumn("_flow", F.lit(name)) for name, df in flows.items()]
     long = reduce(DataFrame.unionByName, tagged)
     sums = [F.sum(F.when(F.col("_flow") == name, F.col("_qty"))).alias(name) for name in flows]
     counts = [F.sum(F.when(F.col("_flow") == name, F.col("_rows"))).alias(f"{name}_rows") for name in counted]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.functions.dates import DateLike, as_date, weekday_order
+from cellarbook.functions.numbers import round_half_even
 
 # Dimensions from coarse to fine; a pivot nests them in this order, in whatever order they are asked for.
 DIMENSIONS = ("anio", "mes", "semana_anio", "dia_semana", "dia", "negocio", "categoria", "producto", "cod_prod")
@@ -59,9 +60,9 @@ def sales_pivot(cube: DataFrame, rows: Sequence[str], metric: str, units: Sequen
     # "negocio" may itself be a row dimension: pivot on a copy.
     wide = base.withColumn("_unit", F.col("negocio")).groupBy(*dims).pivot("_unit", list(units)).agg(cell)
     filled = [F.coalesce(F.col(f"`{u}`"), F.lit(0.0)) for u in units]
-    out = [F.bround(c, 0).alias(u) for c, u in zip(filled, units)]
+    out = [round_half_even(c).alias(u) for c, u in zip(filled, units)]
     if len(units) > 1:
-        out.append(F.bround(reduce(Column.__add__, filled), 0).alias("Total"))
+        out.append(round_half_even(reduce(Column.__add__, filled)).alias("Total"))
     return wide.select(*dims, *out)
 
 

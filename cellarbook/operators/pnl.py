@@ -18,7 +18,7 @@ from cellarbook.fixed_values import (
     PNL_OPTIONAL_LINE,
 )
 from cellarbook.functions.dates import DateLike, as_date
-from cellarbook.functions.numbers import or_zero
+from cellarbook.functions.numbers import or_zero, round_half_even
 from cellarbook.functions.text import unit_name
 from cellarbook.operators.joins import constant_rows
 from cellarbook.site import Site
@@ -147,7 +147,7 @@ def month_pivot(pnl: DataFrame, as_of: DateLike, units: Sequence[str] | None = N
     rows = rows.filter((F.col("anio") != F.year(today)) | (F.col("_month") <= F.month(today)))
     wide = rows.groupBy("anio", "negocio", "orden", "grupo_eerr", "categoria", "calculos_eerr").agg(
         *[
-            F.max(F.when(F.col("_month") == m, F.bround("monto", 0).cast("bigint"))).alias(name)
+            F.max(F.when(F.col("_month") == m, round_half_even(F.col("monto")).cast("bigint"))).alias(name)
             for m, name in zip(MONTHS, MONTH_COLUMNS)
         ]
     )

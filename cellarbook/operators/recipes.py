@@ -69,7 +69,7 @@ def weighted_price(purchases: DataFrame, as_of: DateLike, days: int) -> DataFram
 def portions(counted: Column, weight: Column, mean_weight: Column, whole: bool) -> Column:
     """Portions as written, else weight over the mean portion weight."""
     by_weight = F.try_divide(weight, mean_weight)
-    return F.coalesce(counted, F.round(by_weight, 0) if whole else by_weight)
+    return F.coalesce(counted, F.round(F.round(by_weight, 6), 0) if whole else by_weight)
 
 
 def apply_factors(

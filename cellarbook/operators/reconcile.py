@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from cellarbook.functions.dates import DateLike, as_date, period_label, weekday_abbr
 from cellarbook.functions.numbers import or_zero
 from cellarbook.operators.flows import flow_days, on_same_day, sum_over_periods
+from cellarbook.operators.periods import OPEN_DAYS
 
 
 @dataclass(frozen=True)
@@ -110,10 +112,18 @@ INGREDIENTS_B = Area(
 )
 
 
-def area_flow_days(flows: dict[str, DataFrame], area: Area) -> DataFrame:
+def area_flow_days(
+    flows: dict[str, DataFrame], area: Area, counted_on: tuple[date, date] | None = None
+) -> DataFrame:
+    """Flow days of an area. `counted_on` are its first and last count date: no period takes in more
+    than the days after the first and up to the end of the period the last one opens."""
     if set(flows) != set(area.flows):
         raise ValueError(f"this area takes the flows {area.flows}, not {tuple(flows)}")
-    return flow_days(flows, area.counted)
+    between = None
+    if counted_on is not None:
+        first, last = counted_on
+        between = (first + timedelta(days=1), last + timedelta(days=OPEN_DAYS))
+    return flow_days(flows, area.counted, between)
 
 
 def reconcile_periods(periods: DataFrame, days: DataFrame, area: Area) -> DataFrame:

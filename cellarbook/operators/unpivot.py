@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,12 @@ SHEET_IDS = {"Categoria": "categoria", "Producto": "producto", "Cod Producto": "
 CURRENT_FLAG = "Vigente"
 
 
+def count_range(*sheets: DataFrame) -> tuple[date, date] | None:
+    """First and last count date of the sheets, read from their headers alone."""
+    days = [day for sheet in sheets for day in map(sheet_header_date, sheet.columns) if day is not None]
+    return (min(days), max(days)) if days else None
+
+
 def unpivot_counts(sheet: DataFrame, value: str = "cantidad", only_current: bool = False) -> DataFrame:
     """One row per item and count date.
 

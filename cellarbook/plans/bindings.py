@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from datetime import date
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -140,7 +141,7 @@ def _purchases(flag: str, ingredient: str, own: str) -> str:
         f"CASE WHEN l_orderkey % 31 = 0 THEN '' ELSE {item_code('k')} END AS `Cod Producto`, "
         f"l_returnflag AS `Categoria`, CASE WHEN l_linenumber % 2 = 0 THEN 'Item ' || {text('k')} ELSE {ingredient} END AS `Producto`, "
         f"'kg' AS `Medida`, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS `Porciones`, "
-        f"CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity * (l_linenumber + 1) / 4 END AS `Peso Real`, "
+        f"CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_quantity * (l_linenumber + 1) / 4 + l_orderkey % 97 / 8 END AS `Peso Real`, "
         f"l_quantity AS `Cantidad Compra`, price / l_quantity AS `Precio Unitario`, price AS `Precio Total`, "
         f"{own}, 'c' || {text('l_linenumber')} AS `Comentario` FROM {{src_line}} WHERE l_returnflag = '{flag}'"
     )
@@ -194,7 +195,7 @@ PREPARED = {
 LANDED_NESTED = {
     "invoice_documents": (
         "SELECT array(named_struct('sucursal', CAST(sucursal AS BIGINT), "
-        "'fechaPago', CAST(pay_day AS TIMESTAMP_NTZ) + make_dt_interval(0, pay_hour), 'anulada', anulada, 'montoTotal', total, "
+        "'fechaPago', CAST(pay_day AS TIMESTAMP_NTZ) + CASE pay_hour WHEN 2 THEN INTERVAL '2' HOUR ELSE INTERVAL '15' HOUR END, 'anulada', anulada, 'montoTotal', total, "
         "'listaItems', array(named_struct('articulo', item1, 'cantidad', quantity1, 'codigoInventario', code1, 'precioTotal', price1), "
         "named_struct('articulo', item2, 'cantidad', CAST(quantity2 AS DOUBLE), 'codigoInventario', code2, 'precioTotal', price2)))) AS facturas "
         "FROM {src_invoice}"
@@ -340,5 +341,20 @@ class Landed(Mapping[str, DataFrame]):
         return len(self._sql) + 1
 
 
+# Plans, not data: a DataFrame is a description, so queries of one session may share it.
+_LANDED: WeakKeyDictionary[SparkSession, dict[str, Landed]] = WeakKeyDictionary()
+_WAREHOUSES: WeakKeyDictionary[SparkSession, dict[str, Warehouse]] = WeakKeyDictionary()
+
+
+def landed(spark: SparkSession, folder: str) -> Landed:
+    made = _LANDED.setdefault(spark, {})
+    if folder not in made:
+        made[folder] = Landed(spark, folder)
+    return made[folder]
+
+
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    return Warehouse(spark, Landed(spark, folder), AS_OF, SITE)
+    made = _WAREHOUSES.setdefault(spark, {})
+    if folder not in made:
+        made[folder] = Warehouse(spark, landed(spark, folder), AS_OF, SITE)
+    return made[folder]

@@ -15,7 +15,7 @@ from cellarbook import fixed_values as fixed
 from cellarbook.functions import dates, numbers, text
 from cellarbook.operators import flows, periods, pivot, pnl, reconcile, recipes
 from cellarbook.plans import quality, reports, warehouse
-from cellarbook.plans.bindings import AS_OF, SITE, Landed
+from cellarbook.plans.bindings import AS_OF, SITE, landed
 from cellarbook.plans.bindings import warehouse as bound
 from cellarbook.session import scratch_path
 from cellarbook.sources import readers, schemas, sinks
@@ -72,7 +72,7 @@ _register_gold()
 def stock_against_limits(spark, folder):
     names = F.array(*[F.lit(row[0]) for row in fixed.MIN_MAX_PORTIONS])
     size = len(fixed.MIN_MAX_PORTIONS)
-    stock = Landed(spark, folder)["part"].select(
+    stock = landed(spark, folder)["part"].select(
         F.element_at(names, (F.pmod("p_partkey", F.lit(size)) + 1).cast("int")).alias("insumo"), "p_size"
     )
     limits = bound(spark, folder)["dim_min_max_porciones"]
@@ -197,7 +197,7 @@ def portion_fallback(spark, folder):
 @query("rule_code_fallback")
 def code_fallback(spark, folder):
     w = bound(spark, folder)
-    codes = w["dim_producto_izi"].select(F.col("producto").alias("producto2"), "cod_producto")
+    codes = w.item_names().select(F.col("producto").alias("producto2"), "cod_producto")
     added = flows.per_day(w.gold("fct_extras_izi_{b}"), ["producto2", "value"]).join(codes, "producto2", "left")
     return added.groupBy(F.coalesce("cod_producto", "value").alias("codigo")).agg(
         F.sum("cantidad").alias("cantidad"), F.sum("_rows").alias("n")
@@ -224,7 +224,7 @@ def dense_grid(spark, folder):
 @query("rule_trimmed_mean")
 def trimmed(spark, folder):
     """Trimmed mean over a whole fact: price per unit of each supplier without outliers."""
-    lines = Landed(spark, folder)["lineitem"].select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    lines = landed(spark, folder)["lineitem"].select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
     return recipes.trimmed_mean(lines, "l_suppkey", "p", "precio_medio")
 
 
@@ -476,13 +476,13 @@ def repeated(spark, folder):
 
 @query("check_rejected_dates")
 def rejected(spark, folder):
-    landed = Landed(spark, folder)
+    raw = landed(spark, folder)
     day, portion = F.col("Fecha"), F.col("`Fecha Porcion`")
     return quality.rejected_dates(
         {
-            "compras": (landed[f"compras_insumos_{A}"], portion, dates.month_name_date(portion)),
-            "extras": (landed["pedidosya_ventas_extras"], day, dates.slash_date(day)),
-            "salidas": (landed[f"salidas_mermas_{A}"], day, dates.month_name_date(day)),
+            "compras": (raw[f"compras_insumos_{A}"], portion, dates.month_name_date(portion)),
+            "extras": (raw["pedidosya_ventas_extras"], day, dates.slash_date(day)),
+            "salidas": (raw[f"salidas_mermas_{A}"], day, dates.month_name_date(day)),
         }
     )
 
@@ -492,7 +492,7 @@ def rejected(spark, folder):
 
 @query("fn_text")
 def text_functions(spark, folder):
-    parts = Landed(spark, folder)["part"].select(
+    parts = landed(spark, folder)["part"].select(
         "p_partkey", F.concat(F.upper("p_name"), F.lit("-2x1 o'neil "), F.lower("p_brand")).alias("t")
     )
     t = F.col("t")
@@ -508,7 +508,7 @@ def text_functions(spark, folder):
 
 @query("fn_dates")
 def date_functions(spark, folder):
-    orders = Landed(spark, folder)["orders"].select("o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("d"))
+    orders = landed(spark, folder)["orders"].select("o_orderkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("d"))
     d = F.col("d")
     return orders.select(
         "o_orderkey",
@@ -524,7 +524,7 @@ def date_functions(spark, folder):
 
 @query("fn_numbers")
 def number_functions(spark, folder):
-    lines = Landed(spark, folder)["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    lines = landed(spark, folder)["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
     price = F.format_number("l_extendedprice", 2)
     return lines.groupBy("l_linenumber").agg(
         F.sum(numbers.thousands_number(price)).alias("miles"),
@@ -549,7 +549,7 @@ _ITEM_COLUMNS = ["Cod", "Producto", "Cantidad", "Nota"]
 def invoice_json(spark, folder):
     """Nested documents written as JSON by Spark and read through the invoice reader."""
     path = scratch_path(spark, "invoices")
-    Landed(spark, folder)["invoice_documents"].write.json(path)
+    landed(spark, folder)["invoice_documents"].write.json(path)
     invoices = readers.spread_invoices(spark.read.schema(schemas.INVOICE_DOCUMENT).json(path), SITE)
     items = invoices.select("_negocio", "anulada", F.explode("listaItems").alias("i"))
     return items.groupBy(F.col("_negocio").alias("negocio"), "anulada", F.col("i.articulo").alias("producto")).agg(
@@ -561,7 +561,7 @@ def invoice_json(spark, folder):
 def json_bad_records(spark, folder):
     """Item master as JSON lines, some cut short; what does not parse is told apart, not lost."""
     path = scratch_path(spark, "items")
-    master = Landed(spark, folder)["izi_items_inventario"]
+    master = landed(spark, folder)["izi_items_inventario"]
     line = F.to_json(F.struct(*master.columns))
     master.select(F.when(F.col("codigo").startswith("I"), F.substring(line, 1, 10)).otherwise(line).alias("value")).write.text(path)
     full = T.StructType.fromDDL(schemas.ITEM_MASTER).add(readers.CORRUPT, T.StringType())
@@ -572,7 +572,7 @@ def json_bad_records(spark, folder):
 
 
 def _item_sheet(spark, folder) -> DataFrame:
-    parts = Landed(spark, folder)["part"]
+    parts = landed(spark, folder)["part"]
     return parts.select(
         F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("Cod"),
         F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand")).alias("Producto"),
@@ -630,7 +630,7 @@ def first_block(spark, folder):
 @query("source_first_block_of_events")
 def first_block_of_events(spark, folder):
     """Per user: the events after the first signup and before the next error."""
-    events = Landed(spark, folder)["events"].select("user_id", "event_id", "event_type", "value")
+    events = landed(spark, folder)["events"].select("user_id", "event_id", "event_type", "value")
     return readers.first_block(
         events,
         ["user_id"],
@@ -643,8 +643,8 @@ def first_block_of_events(spark, folder):
 @query("source_union_by_name")
 def union_by_name(spark, folder):
     """Inputs whose columns differ, appended by name with NULL for what one lacks."""
-    landed = Landed(spark, folder)
-    both = landed[f"salidas_mermas_{A}"].unionByName(landed[f"salidas_mermas_{B}"], allowMissingColumns=True)
+    raw = landed(spark, folder)
+    both = raw[f"salidas_mermas_{A}"].unionByName(raw[f"salidas_mermas_{B}"], allowMissingColumns=True)
     return both.select(F.col("Producto").alias("producto"), F.col("Peso").alias("peso_a"), F.col("`Peso (g / ml)`").alias("peso_b"))
 
 

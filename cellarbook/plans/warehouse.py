@@ -51,7 +51,7 @@ from cellarbook.operators.recipes import (
     trimmed_mean,
     weighted_price,
 )
-from cellarbook.operators.unpivot import unpivot_counts
+from cellarbook.operators.unpivot import count_range, unpivot_counts
 from cellarbook.site import Site
 from cellarbook.sources.sinks import write_table
 
@@ -86,6 +86,7 @@ class Warehouse(Mapping[str, DataFrame]):
         self.site = site or Site()
         self._raw = raw
         self._made: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
         self._builders = {self._named(name): build for name, build in _BUILDERS.items()}
 
     def _named(self, name: str) -> str:
@@ -115,10 +116,15 @@ class Warehouse(Mapping[str, DataFrame]):
         """Full refresh of every dataset below `folder`, in dependency order."""
         for name in self._builders:
             self._made[name] = write_table(self[name], f"{folder.rstrip('/')}/{name}")
+            self._stored.add(name)
         return dict(self._made)
 
     # Flows several areas share.
 
+    def item_names(self) -> DataFrame:
+        """The item master without prices: who only needs names and codes does not wait for those."""
+        return self["dim_producto_izi"] if "dim_producto_izi" in self._stored else _listed_items(self)
+
     def sales_of(self, unit: str) -> DataFrame:
         return self["fct_ventas_items"].filter(F.col("negocio") == unit)
 
@@ -254,8 +260,7 @@ def purchase_prices(w: Warehouse) -> DataFrame:
     return weighted_price(w.gold("fct_compras_insumos_{a}"), w.as_of, PRICE_DAYS)
 
 
-@gold("dim_producto_izi")
-def item_master(w: Warehouse) -> DataFrame:
+def _listed_items(w: Warehouse) -> DataFrame:
     master = w.raw("izi_items_inventario").select(
         "codigo", F.col("nombre").alias("producto"), F.col("categoria.nombre").alias("categoria")
     )
@@ -265,14 +270,20 @@ def item_master(w: Warehouse) -> DataFrame:
     for prefix in fixed.MASTER_EXCLUDED_PREFIXES:
         base = base.filter(~F.col("cod_producto").startswith(prefix))
     kept = base.filter(~F.col("cod_producto").isin(*fixed.MASTER_EXCLUDED_CODES))
+    return kept.withColumn("producto_", title_case(F.col("producto")))
+
+
+@gold("dim_producto_izi")
+def item_master(w: Warehouse) -> DataFrame:
     prices = w.gold("dim_compras_precios_{a}").select("cod_producto", "precio_compra")
-    return kept.join(prices, "cod_producto", "left").withColumn("producto_", title_case(F.col("producto")))
+    priced = _listed_items(w).join(prices, "cod_producto", "left")
+    return priced.select("cod_producto", "producto", "categoria", "precio_compra", "producto_")
 
 
 @gold("fct_ventas_{b}_pedidosya")
 def delivery_sales(w: Warehouse) -> DataFrame:
     named = w["fct_pedidosya_items"].withColumn("producto", normal_item_name(F.col("producto")))
-    codes = w["dim_producto_izi"].select(F.col("producto_").alias("producto"), "cod_producto")
+    codes = w.item_names().select(F.col("producto_").alias("producto"), "cod_producto")
     return join_side(named.withColumn("categoria", item_category(F.col("producto"))), codes, ["producto"], "left").select(
         "fecha", "cantidad", "producto", "categoria", "canal", "cod_producto"
     )
@@ -396,7 +407,7 @@ def extras(w: Warehouse) -> DataFrame:
         _c("Producto").alias("producto"),
         _num("Cantidad").alias("cantidad"),
     )
-    master = w["dim_producto_izi"]
+    master = w.item_names()
     signed = typed.filter(F.col("fecha").isNotNull()).withColumn(
         "cantidad", signed_extra(F.col("cantidad"), F.col("notas"), F.col("variable1"), F.col("variable2"))
     )
@@ -452,6 +463,10 @@ def glass_sales(w: Warehouse) -> DataFrame:
     return join_side(sales, bottles, ["codigo_inventario"]).select(*sales.columns, "cod_botella")
 
 
+def _counted_on(w: Warehouse, *sheets: str):
+    return count_range(*[w.raw(sheet) for sheet in sheets])
+
+
 # ---- reconciliation: unit A, drinks and wines -------------------------------
 
 
@@ -459,7 +474,7 @@ def drinks_a_flow_days(w: Warehouse) -> DataFrame:
     moved = w.gold("fct_mov_inv_{b}_todos").filter(F.col("tipo_movimiento").isin(*fixed.MOVEMENT_COMPLIMENTARY_A))
     master = w["dim_producto"].select("codigo_inventario", "producto")
     movements = per_day(moved, ["codigo_inventario"]).join(master, "codigo_inventario")
-    codes = w["dim_producto_izi"].select(F.col("cod_producto").alias("codigo_producto"), "producto")
+    codes = w.item_names().select(F.col("cod_producto").alias("codigo_producto"), "producto")
     bottles = per_day(w["fct_apertura_vinos_copa"], ["codigo_producto"], "num_botellas").join(codes, "codigo_producto")
     through_recipes = ingredient_use_per_day(w["fct_movimiento_inventario"], w.gold("dim_receta_{a}"), own_code_only=True)
     name = F.upper("producto")
@@ -473,6 +488,7 @@ def drinks_a_flow_days(w: Warehouse) -> DataFrame:
             "salidas": flow_rows(bottles, name, "num_botellas"),
         },
         reconcile.DRINKS_A,
+        _counted_on(w, "inventarios_gs", "inventarios_bebidas"),
     )
 
 
@@ -527,6 +543,7 @@ def ingredients_a_flow_days(w: Warehouse) -> DataFrame:
             "salidas": in_portions(w.gold("fct_salidas_mermas_{a}"), whole=False),
         },
         reconcile.INGREDIENTS_A,
+        _counted_on(w, "inventarios_unitarios_gs"),
     )
 
 
@@ -567,7 +584,7 @@ def _other_unit_sales(w: Warehouse) -> DataFrame:
 
 
 def drinks_b_flow_days(w: Warehouse) -> DataFrame:
-    codes = w["dim_producto_izi"].select(F.col("producto").alias("producto2"), "cod_producto")
+    codes = w.item_names().select(F.col("producto").alias("producto2"), "cod_producto")
     added = per_day(w.gold("fct_extras_izi_{b}"), ["producto2", "value"]).join(codes, "producto2", "left")
     bought = w.gold("fct_compras_insumos_{b}").filter(not_blank(F.col("cod_producto")))
     return reconcile.area_flow_days(
@@ -580,6 +597,7 @@ def drinks_b_flow_days(w: Warehouse) -> DataFrame:
             "cortesias": flow_rows(w.gold("fct_mov_inv_{b}"), "codigo_inventario"),
         },
         reconcile.DRINKS_B,
+        _counted_on(w, "inventarios_{b}"),
     )
 
 
@@ -629,6 +647,7 @@ def ingredients_b_flow_days(w: Warehouse) -> DataFrame:
             "salidas": flow_rows(w.gold("fct_salidas_mermas_{b}"), F.upper("producto"), "porciones"),
         },
         reconcile.INGREDIENTS_B,
+        _counted_on(w, "inventarios_unitarios_{b}"),
     )
 
 

@@ -142,7 +142,7 @@ add(
 _BY_WEIGHT = "peso_real / nullif(promedio_peso_x_porcion, 0)"
 add(
     "rule_portion_fallback",
-    f"SELECT producto, {r4(f'sum(coalesce(porciones, round({_BY_WEIGHT}, 0)))', 'enteras')}, {r4(f'sum(coalesce(porciones, {_BY_WEIGHT}))', 'exactas')} "
+    f"SELECT producto, {r4(f'sum(coalesce(porciones, round(round({_BY_WEIGHT}, 6), 0)))', 'enteras')}, {r4(f'sum(coalesce(porciones, {_BY_WEIGHT}))', 'exactas')} "
     f"FROM fct_compras_insumos_{A} LEFT JOIN dim_promedio_peso_porcion_{A} USING (producto) GROUP BY producto",
 )
 add(
@@ -211,8 +211,8 @@ add(
 _plain = ", ".join(r4(c, c) for c in ["inv_inicial", *_STOCK[_DRINKS].split(), "ventas_totales", "diferencia"])
 add(
     "card_weekly_dash_text",
-    f"SELECT semana, producto, {_plain}, coalesce(CAST(round(inv_calculado, 0) AS VARCHAR), '–') AS inv_calculado, "
-    f"coalesce(CAST(round(cierre, 0) AS VARCHAR), '–') AS cierre FROM {_DRINKS} WHERE {_BEB}",
+    f"SELECT semana, producto, {_plain}, coalesce(CAST(round(round(inv_calculado, 6), 0) AS VARCHAR), '–') AS inv_calculado, "
+    f"coalesce(CAST(round(round(cierre, 6), 0) AS VARCHAR), '–') AS cierre FROM {_DRINKS} WHERE {_BEB}",
 )
 _day = ", ".join(r4(c, c) for c in DAILY_DOUBLES[_DRINKS].split())
 add(
@@ -220,10 +220,10 @@ add(
     f"SELECT producto, semana, fecha, dia, {_day} FROM {_DRINKS}_diario WHERE {_BEB} AND semana = '{PERIOD}' AND diferencia IS DISTINCT FROM 0",
 )
 _even = ", ".join(
-    f"round_even({c}, 0) + 0.0 AS {c}" for c in ["inv_inicial", *_STOCK[_DRINKS].split(), "ventas_totales", "diferencia"]
+    f"round_even(round({c}, 6), 0) + 0.0 AS {c}" for c in ["inv_inicial", *_STOCK[_DRINKS].split(), "ventas_totales", "diferencia"]
 )
 _dashed = ", ".join(
-    f"coalesce(format('{{:,}}', CAST(round_even({c}, 0) AS BIGINT)), '–') AS {c}" for c in ("inv_calculado", "cierre")
+    f"coalesce(format('{{:,}}', CAST(round_even(round({c}, 6), 0) AS BIGINT)), '–') AS {c}" for c in ("inv_calculado", "cierre")
 )
 add(
     "report_weekly_display",
@@ -252,7 +252,7 @@ add(
 )
 add(
     "report_exceptions_of_period",
-    exceptions(_PARTS_A, "round_even(diferencia, 0) + 0.0 AS diferencia", f"semana = '{PERIOD}'"),
+    exceptions(_PARTS_A, "round_even(round(diferencia, 6), 0) + 0.0 AS diferencia", f"semana = '{PERIOD}'"),
 )
 _B_DRINKS = f"fct_reconciliacion_bebidas_{B}"
 _flagged = ", ".join(r4(c, c) for c in WEEKLY_DOUBLES[_B_DRINKS].split())
@@ -296,8 +296,8 @@ add("sales_cube", rounded("sales_cube_rows", "cantidad ventas_bs"))
 
 def pivot(dims: str, cell: str, rows: str = "sales_cube_rows", units=(UNIT_A, UNIT_B), extra: str = "") -> str:
     cells = {u: f"coalesce({cell.format(f=f"FILTER (negocio = '{u}')")}, 0)" for u in units}
-    shown = ", ".join(f'round_even({c}, 0) + 0.0 AS "{u}"' for u, c in cells.items())
-    total = f", round_even({' + '.join(cells.values())}, 0) + 0.0 AS \"Total\"" if len(units) > 1 else ""
+    shown = ", ".join(f'round_even(round({c}, 6), 0) + 0.0 AS "{u}"' for u, c in cells.items())
+    total = f", round_even(round({' + '.join(cells.values())}, 6), 0) + 0.0 AS \"Total\"" if len(units) > 1 else ""
     some = " AND ".join(f"{d.strip()} IS NOT NULL" for d in dims.split(","))
     return f"SELECT {dims}, {shown}{total}{extra} FROM {rows} WHERE {some} GROUP BY {dims}"
 
@@ -323,7 +323,7 @@ add("sales_no_unit_selected", rounded("(SELECT * FROM sales_cube_rows WHERE FALS
 # -- P&L reports
 _MONTHS = [f"m{m:02d}" for m in range(1, 13)]
 _month_cells = ", ".join(
-    f"max(round_even(monto, 0)) FILTER (month(periodo) = {i + 1}) + 0.0 AS {m}" for i, m in enumerate(_MONTHS)
+    f"max(round_even(round(monto, 6), 0)) FILTER (month(periodo) = {i + 1}) + 0.0 AS {m}" for i, m in enumerate(_MONTHS)
 )
 _not_future = f"(year(periodo) <> {AS_OF.year} OR month(periodo) <= {AS_OF.month})"
 PARTS["month_cells"] = (

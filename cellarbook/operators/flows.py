@@ -41,9 +41,8 @@ def flow_days(
     `between` are the first and last day that any period can take in. As literals they are pushed down
     into every source, so history before the first count is neither aggregated nor shuffled.
     """
-    wanted = F.col(KEY).isNotNull() & F.col(DAY).isNotNull()
-    if between is not None:
-        wanted = wanted & F.col(DAY).between(*[F.lit(day) for day in between])
+    dated = F.col(DAY).isNotNull() if between is None else F.col(DAY).between(*[F.lit(day) for day in between])
+    wanted = F.col(KEY).isNotNull() & dated
     tagged = [df.filter(wanted).withColumn("_flow", F.lit(name)) for name, df in flows.items()]
     long = reduce(DataFrame.unionByName, tagged)
     sums = [F.sum(F.when(F.col("_flow") == name, F.col("_qty"))).alias(name) for name in flows]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.functions.dates import DateLike, as_date, weekday_order
-from cellarbook.functions.numbers import round_half_even
+from cellarbook.functions.numbers import or_zero, round_half_even
 
 # Dimensions from coarse to fine; a pivot nests them in this order, in whatever order they are asked for.
 DIMENSIONS = ("anio", "mes", "semana_anio", "dia_semana", "dia", "negocio", "categoria", "producto", "cod_prod")
@@ -41,25 +41,26 @@ def filter_sales(
 def sales_pivot(cube: DataFrame, rows: Sequence[str], metric: str, units: Sequence[str]) -> DataFrame:
     """One column per unit, missing cells 0, `Total` when there is more than one unit; half-even rounded.
 
-    `ventas_x_dia` divides a cell's sum by the days it has sales on. Rows with a NULL dimension are left
-    out. The unit columns are named by the caller, so no extra pass finds them, and sums and distinct days
-    combine on the map side before the shuffle.
+    `ventas_x_dia` divides a cell's sum by the days it has sales on. Rows with a NULL dimension or
+    of other units are left out. The unit columns are named by the caller, so no extra pass finds them, and all cells of a row are
+    conditional sums of one aggregate: one shuffle, combined on the map side.
     """
     dims = [d for d in DIMENSIONS if d in rows] or ["anio"]
     column, how = METRICS[metric]
+    cube = cube.filter(F.col("negocio").isin(*units))
     for d in dims:
         cube = cube.filter(F.col(d).isNotNull())
-    if how == "sum":
-        cell: Column = F.sum(column)
-        base = cube
-    else:
+    if how == "per_day":
         # Down to one row per cell and day first; counting days is then a plain count.
-        keys = list(dict.fromkeys([*dims, "negocio", "dia"]))
-        base = cube.groupBy(*keys).agg(F.sum(column).alias(column))
-        cell = F.coalesce(F.sum(column), F.lit(0.0)) / F.count(F.lit(1))
-    # "negocio" may itself be a row dimension: pivot on a copy.
-    wide = base.withColumn("_unit", F.col("negocio")).groupBy(*dims).pivot("_unit", list(units)).agg(cell)
-    filled = [F.coalesce(F.col(f"`{u}`"), F.lit(0.0)) for u in units]
+        cube = cube.groupBy(*dict.fromkeys([*dims, "negocio", "dia"])).agg(F.sum(column).alias(column))
+
+    def cell(unit: str) -> Column:
+        is_unit = F.col("negocio") == unit
+        total = F.sum(F.when(is_unit, F.col(column)))
+        return F.try_divide(total, F.count_if(is_unit)) if how == "per_day" else total
+
+    wide = cube.groupBy(*dims).agg(*[cell(u).alias(f"_unit_{i}") for i, u in enumerate(units)])
+    filled = [or_zero(F.col(f"_unit_{i}")) for i in range(len(units))]
     out = [round_half_even(c).alias(u) for c, u in zip(filled, units)]
     if len(units) > 1:
         out.append(round_half_even(reduce(Column.__add__, filled)).alias("Total"))

@@ -56,10 +56,15 @@ def sum_over_periods(periods: DataFrame, days: DataFrame, key: str, upper: bool)
     Instead of comparing each period with each day of its item, periods and days are put in one descending
     order per item and every day picks up the last closing date seen, so the work is linear. Spellings of
     an item that differ in case only (`upper`) each get their own copy of the shared flows first, because
-    their periods may overlap; those of one spelling never do.
+    their periods may overlap; those of one spelling never do, and no two of them close on one day. Empty
+    periods take nothing in and pass by.
     """
     measures = [c for c in days.columns if c not in (KEY, DAY)]
     attributes = periods.columns
+    nothing = [F.lit(None).cast(days.schema[m].dataType).alias(m) for m in measures]
+    is_empty = F.col("fecha_inicio") >= F.col("fecha_cierre")
+    empty = periods.filter(is_empty).select(*attributes, *nothing)
+    periods = periods.filter(~is_empty)
     if upper:
         spellings = periods.select(F.col(key).alias("_raw"), F.upper(key).alias(KEY)).distinct()
         days = days.join(spellings, KEY).withColumn(KEY, F.col("_raw")).drop("_raw")
@@ -68,7 +73,7 @@ def sum_over_periods(periods: DataFrame, days: DataFrame, key: str, upper: bool)
         F.col(key).cast("string").alias(KEY),
         F.col("fecha_cierre").alias(DAY),
         F.struct(*attributes).alias("_own"),
-        *[F.lit(None).cast(days.schema[m].dataType).alias(m) for m in measures],
+        *nothing,
     )
     own_type = marks.schema["_own"].dataType
     line = days.withColumn("_own", F.lit(None).cast(own_type)).unionByName(marks)
@@ -78,17 +83,15 @@ def sum_over_periods(periods: DataFrame, days: DataFrame, key: str, upper: bool)
         .orderBy(F.col(DAY).desc(), F.col("_own").isNull().asc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    not_empty = F.when(F.col("_own.fecha_inicio") < F.col("_own.fecha_cierre"), F.col("_own"))
-    placed = line.withColumn("_closing", F.last(not_empty, ignorenulls=True).over(latest_first)).withColumn(
-        "_period",
-        F.coalesce(F.col("_own"), F.when(F.col(DAY) > F.col("_closing.fecha_inicio"), F.col("_closing"))),
+    placed = line.withColumn("_closing", F.last("_own", ignorenulls=True).over(latest_first)).withColumn(
+        "_period", F.when(F.col(DAY) > F.col("_closing.fecha_inicio"), F.col("_closing"))
     )
     summed = (
         placed.filter(F.col("_period").isNotNull())
         .groupBy(KEY, "_period")
         .agg(*[F.sum(m).alias(m) for m in measures])
     )
-    return summed.select("_period.*", *measures)
+    return summed.select("_period.*", *measures).unionByName(empty)
 
 
 def on_same_day(days_of_periods: DataFrame, days: DataFrame, key: str, upper: bool) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_DAYS = 7
-PERIOD_COLUMNS = ("fecha_inicio", "fecha_cierre", "inv_inicial", "cierre")
 
 
 def average_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,9 +23,9 @@ def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_p
     """Periods with a closing count.
 
     Several counts of one item on one day are taken in order of quantity, each but the first closing an
-    empty period. They are put in order within (item, day), so a window over a whole item sees one row
-    per day and is bounded by the calendar, however many counts the item has. `one_per_day` says that
-    this is known already.
+    empty period. Equal counts are counted first and repeated at the end, the others are put in order
+    within (item, day), so a window over a whole item sees one row per day and is bounded by the
+    calendar, however many counts the item has. `one_per_day` says that this is known already.
     """
     over_days = Window.partitionBy(key).orderBy("fecha")
     if one_per_day:
@@ -37,7 +36,6 @@ def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_p
             F.col("fecha").alias("fecha_cierre"),
             F.lag("cantidad").over(over_days).alias("inv_inicial"),
             F.col("cantidad").alias("cierre"),
-            F.lit(1).alias("_nth"),
         )
         return heads.filter(F.col("fecha_inicio").isNotNull() & F.col("cierre").isNotNull())
 
@@ -45,11 +43,13 @@ def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_p
         F.col("cantidad").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in carry]
     )
     whole_day = within_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counts.select(
+    distinct = counts.groupBy(key, *carry, "fecha", "cantidad").agg(F.count(F.lit(1)).alias("_copies"))
+    ranked = distinct.select(
         key,
         *carry,
         "fecha",
         "cantidad",
+        "_copies",
         F.row_number().over(within_day).alias("_nth"),
         F.lag("cantidad").over(within_day).alias("_before"),
         F.last("cantidad").over(whole_day).alias("_last"),
@@ -61,7 +61,6 @@ def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_p
         F.col("fecha").alias("fecha_cierre"),
         F.lag("_last").over(over_days).alias("inv_inicial"),
         F.col("cantidad").alias("cierre"),
-        "_nth",
     )
     tails = ranked.filter("_nth > 1").select(
         key,
@@ -70,9 +69,18 @@ def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_p
         F.col("fecha").alias("fecha_cierre"),
         F.col("_before").alias("inv_inicial"),
         F.col("cantidad").alias("cierre"),
-        "_nth",
     )
-    return heads.unionByName(tails).filter(F.col("fecha_inicio").isNotNull() & F.col("cierre").isNotNull())
+    copies = ranked.filter("_copies > 1").select(
+        key,
+        *carry,
+        F.col("fecha").alias("fecha_inicio"),
+        F.col("fecha").alias("fecha_cierre"),
+        F.col("cantidad").alias("inv_inicial"),
+        F.col("cantidad").alias("cierre"),
+        F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_copies"))).alias("_copy"),
+    )
+    made = heads.unionByName(tails).unionByName(copies.drop("_copy"))
+    return made.filter(F.col("fecha_inicio").isNotNull() & F.col("cierre").isNotNull())
 
 
 def open_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), days: int = OPEN_DAYS) -> DataFrame:
@@ -90,7 +98,6 @@ def open_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), days: i
         F.date_add(F.col("_latest.fecha"), days).alias("fecha_cierre"),
         F.col("_latest.cantidad").alias("inv_inicial"),
         F.lit(None).cast("double").alias("cierre"),
-        F.lit(0).alias("_nth"),
     )
 
 

@@ -86,6 +86,19 @@ def test_counts_of_one_day_close_empty_periods(spark, rows):
     assert rows(weekly.filter(F.col("inv_inicial") == 5), "compras") == [(6.0,)]
 
 
+def test_equal_counts_of_one_day_are_repeated(spark, rows):
+    counted = counts(spark, ("a", 0, 5.0), ("a", 7, 4.0), ("a", 7, 4.0), ("a", 7, 4.0), ("a", 7, 6.0), ("a", 9, 1.0))
+    weekly, _ = weekly_a(spark, counted, compras=moves(spark, ("a", 7, 2.0), ("a", 8, 3.0)))
+    assert rows(weekly, "fecha_inicio", "fecha_cierre", "inv_inicial", "compras", "cierre") == [
+        (day(0), day(7), 5.0, 2.0, 4.0),
+        (day(7), day(7), 4.0, 0.0, 4.0),
+        (day(7), day(7), 4.0, 0.0, 4.0),
+        (day(7), day(7), 4.0, 0.0, 6.0),
+        (day(7), day(9), 6.0, 3.0, 1.0),
+        (day(9), day(16), 1.0, 0.0, None),
+    ]
+
+
 def test_both_ways_of_making_periods_agree(spark, rows):
     counted = periods.average_counts(
         counts(spark, *[(f"i{k % 3}", (k * 5) % 23, float(k) if k % 4 else None) for k in range(60)]), ["producto"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import packing, token_codes
+from cellarbook.llm import mixing, packing, token_codes
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -49,3 +49,11 @@ def packed(docs: DataFrame) -> DataFrame:
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents cut and packed into sequences of at most 2048 ids."""
     return packed(table(spark, folder, "documents"))
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the weighted mixture of all sources takes."""
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)

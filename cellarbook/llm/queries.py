@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, packing, token_codes
+from cellarbook.llm import mixing, packing, quality, token_codes
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -57,3 +57,20 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+HELD_OUT = "coalesce(crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1, false)"
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.Model:
+    """Fitted on labels outside the held-out third only."""
+    known = table(spark, folder, "labels").where(f"NOT {HELD_OUT}").select("doc_id", F.col("quality").alias("label"))
+    return quality.fit(table(spark, folder, "documents"), known)
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole text by the vote of the nearest labelled documents."""
+    scored = quality.score(table(spark, folder, "documents"), quality_model(spark, folder))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", predicted)

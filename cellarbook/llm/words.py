@@ -93,13 +93,13 @@ class Words:
     first: np.ndarray
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of texts laid end to end; none reaches over the end of a text."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """Words of texts laid end to end; none reaches over the end of a text. `lower`: A-Z hash as a-z."""
     cuts = np.zeros(len(data), bool)
     inner = offsets[offsets < len(data)]
     cuts[inner] = True
     starts, ends = runs(~SPACE[data], cuts)
-    return Words(starts, ends, hash_spans(data, starts, ends), np.searchsorted(starts, offsets))
+    return Words(starts, ends, hash_spans(LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, offsets))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, packing, quality, token_codes
+from cellarbook.llm import mixing, packing, pii, quality, token_codes
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -74,3 +74,21 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(table(spark, folder, "documents"), quality_model(spark, folder))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", predicted)
+
+
+def joined_spans(spans) -> F.Column:
+    """kind:start:end of an array of spans, comma-joined."""
+    text = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return F.concat_ws(",", text)
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every whole text: strict matches, and what boosted trees add."""
+    docs = table(spark, folder, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    strict = F.filter("spans", lambda s: s["strict"])
+    kinds = F.transform(strict, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(joined_spans(strict).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, joined_spans(F.col("spans")).alias("spans"))

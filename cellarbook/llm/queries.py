@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, packing, pii, quality, token_codes
+from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -92,3 +92,9 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     counts = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     digest = F.sha2(joined_spans(strict).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, joined_spans(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.group(table(spark, folder, "documents"), words=3, percent=90)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes
+from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes, vector_dups
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -98,3 +98,9 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.group(table(spark, folder, "documents"), words=3, percent=90)
+
+
+@query
+def op7_vector_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among all embeddings at a cosine of 0.95 or more."""
+    return vector_dups.group(table(spark, folder, "embeddings"))

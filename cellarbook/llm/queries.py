@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes, vector_dups
+from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -104,3 +104,9 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op7_vector_dups(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all embeddings at a cosine of 0.95 or more."""
     return vector_dups.group(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth embedding with all others."""
+    return vector_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0", 20)

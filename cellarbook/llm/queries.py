@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
+from cellarbook.llm import html_extract, mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -110,3 +110,10 @@ def op7_vector_dups(spark: SparkSession, folder: str) -> DataFrame:
 def op9_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 largest inner products of every twentieth embedding with all others."""
     return vector_search.search(table(spark, folder, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+@query
+def op6_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    return html_extract.main_text(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import html_extract, mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
+from cellarbook.llm import html_extract, license_scan, mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -117,3 +117,12 @@ def op6_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, folder, "pages")
     return html_extract.main_text(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of every whole text, by conditional compression."""
+    found = license_scan.scan(table(spark, folder, "documents"))
+    names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))))
+    spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_notices"), names.alias("licenses"), F.concat_ws(",", spans).alias("spans"))

@@ -6,6 +6,7 @@
    here, and the components they form are never compared inside again.
 3. A second round takes every pair of sets in different components that shares any shingle of both prefixes
    and passes the bounds on length and position. So no link between components is lost.
+   Pairs whose parity sketches differ in more bits than similar sets can differ in elements go first.
 4. In both rounds a set is looked up in a prefix tree of its partners, which shares the overlaps of common
    beginnings and leaves subtrees that cannot reach the similarity.
 5. Components of all links.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cellarbook.llm import trie
 from cellarbook.llm.graph import components
-from cellarbook.llm.shingles import class_table, ordered_keys, shingle_hashes
+from cellarbook.llm.shingles import Levels, corpus_levels, shingle_sets
 from cellarbook.llm.words import chunks
 from cellarbook.operators.joins import join_side
 from cellarbook.session import scratch_path
@@ -36,43 +37,49 @@ from cellarbook.sources.sinks import write_table
 WORDS, PERCENT = 5, 80
 FIRST = 3  # shingles of a set that the first round looks at
 PARTNERS = 256  # partners of one set in one prefix tree
+BITS = 512  # of the parity sketch of a small set; a larger one has a power of two not below its size
+BROADCAST_ROWS = 400_000  # of (doc_id, digest), about 25 MB; more are joined with a shuffle
 
 
-def _sets(batches, words: int, classes: np.ndarray):
+def _sets(batches, words: int, levels: Levels):
     """(batch, row, ordered keys, digest) of every text in the last column."""
     for batch in batches:
         for row, _, data, offsets in chunks(batch.column(batch.num_columns - 1)):
-            for i, hashes in enumerate(shingle_hashes(data, offsets, words)):
-                keys = ordered_keys(hashes, classes)
+            for i, keys in enumerate(shingle_sets(data, offsets, words, levels)):
                 yield batch, row + i, keys, hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
 
 
-def _heads(docs: DataFrame, words: int, percent: int, classes: Broadcast) -> DataFrame:
-    """doc_id, n, sig and prefix of every row."""
+def _heads(docs: DataFrame, words: int, percent: int, levels: Broadcast) -> DataFrame:
+    """doc_id, n, sig, prefix and parity sketch of every row."""
     longs = pa.list_(pa.int64())
 
     def run(batches):
         rows: list[tuple] = []
 
         def out():
-            ids, n, sig, prefix = zip(*rows, strict=True)
+            ids, n, sig, prefix, bits = zip(*rows, strict=True)
             lengths = np.cumsum([0, *map(len, prefix)])
             flat = pa.array(np.concatenate(prefix).view(np.int64) if lengths[-1] else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
             arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists.cast(longs)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "sig", "prefix"])
+            ends = pa.array(np.cumsum([0, *map(len, bits)]), pa.int32())
+            sketch = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits))).cast(longs)
+            return pa.RecordBatch.from_arrays([*arrays, sketch], ["doc_id", "n", "sig", "prefix", "bits"])
 
-        for batch, row, keys, sig in _sets(batches, words, classes.value):
+        for batch, row, keys, sig in _sets(batches, words, levels.value):
             n = len(keys)
             length = n - -(-percent * n // 100) + 1 if n else 0
-            rows.append((batch.column(0)[row].as_py(), n, sig, keys[:length]))
+            size = max(BITS, 1 << max(0, n - 1).bit_length())
+            odd = np.bincount((keys % np.uint64(size)).astype(np.int64), minlength=size) & 1
+            bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+            rows.append((batch.column(0)[row].as_py(), n, sig, keys[:length], bits))
             if len(rows) >= 2000:
                 yield out()
                 rows = []
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, bits array<long>")
 
 
 def _close(percent: int, m: str, n: str) -> str:
@@ -100,8 +107,8 @@ def _later_pairs(reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     sizes = write_table(sizes.withColumnRenamed("component", "comp"), scratch_path(spark, "sizes"))
     named = join_side(reps, known, ["rep"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     named = join_side(named, sizes, ["comp"], "left")
-    named = write_table(named.select("rep", "n", "comp", F.coalesce("members", F.lit(0)).alias("members"), "prefix"), scratch_path(spark, "named"))
-    rows = named.select("rep", "n", "comp", "members", F.posexplode("prefix").alias("at", "token"))
+    members = F.coalesce("members", F.lit(0)).cast("int").alias("members")
+    rows = named.select("rep", F.col("n").cast("int").alias("n"), "comp", members, F.posexplode("prefix").alias("at", "token"))
     largest = F.max(F.struct("members", "comp")).getField("comp")
     tokens = rows.groupBy("token").agg(largest.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     tokens = write_table(tokens.where("low < high").select("token", "main"), scratch_path(spark, "tokens"))
@@ -114,16 +121,25 @@ def _later_pairs(reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, classes: Broadcast) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, levels: Broadcast) -> DataFrame:
     """The pairs that are similar enough, found in prefix trees over whole sets."""
     spark = docs.sparkSession
+    x, y = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    # Where one sketch is twice as long, its halves are laid over each other; similar sets are no farther apart.
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+    fold = "CASE WHEN size({0}) > size({1}) THEN " + half + " ELSE {0} END"
+    p, q = fold.format("bits_a", "bits_b"), fold.format("bits_b", "bits_a")
+    differ = f"aggregate(zip_with({p}, {q}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
+    overlap = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    pairs = pairs.join(x, "a").join(y, "b").where(_close(percent, "n_a", "n_b"))
+    pairs = pairs.where(f"{differ} <= n_a + n_b - 2 * ({overlap})").select("a", "b")
     pairs = write_table(pairs, scratch_path(spark, "pairs"))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     ids = write_table(reps.select("rep", "sig").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), scratch_path(spark, "partners"))
 
     def full(batches):
         rows: list[tuple] = []
-        for batch, row, keys, sig in _sets(batches, words, classes.value):
+        for batch, row, keys, sig in _sets(batches, words, levels.value):
             if sig == batch.column(1)[row].as_py():
                 rows.append((batch.column(0)[row].as_py(), keys.tobytes()))
             if len(rows) >= 500:
@@ -132,7 +148,8 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
         yield pa.RecordBatch.from_pylist([{"id": i, "keys": k} for i, k in rows], schema)
 
     schema = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
-    texts = join_side(docs, ids, ["doc_id"]).select("doc_id", "sig", "text")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = docs.join(side, "doc_id").select("doc_id", "sig", "text")
     sets = write_table(texts.mapInArrow(full, "id long, keys binary"), scratch_path(spark, "sets"))
     # A set with many partners is looked up in several trees.
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("trees"))
@@ -175,15 +192,17 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     have empty sets and link with nothing. A row without doc_id has no component. Rows that share a doc_id
     have sets of their own under one name. Other columns are ignored. An empty table gives no rows.
     """
+    if percent < 50:
+        raise ValueError("sketches are compared for similarities of one half and more")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    classes = spark.sparkContext.broadcast(class_table(docs, words))
-    heads = write_table(_heads(docs, words, percent, classes), scratch_path(spark, "heads"))
+    levels = spark.sparkContext.broadcast(corpus_levels(docs, words))
+    heads = write_table(_heads(docs, words, percent, levels), scratch_path(spark, "heads"))
     known = heads.where("n > 0 AND doc_id IS NOT NULL")
-    groups = known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    reps = write_table(groups.select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix", "copies"), scratch_path(spark, "reps"))
-    first = _links(docs, reps, _first_pairs(reps, percent), words, percent, classes)
-    later = _links(docs, reps, _later_pairs(reps, components(first), percent), words, percent, classes)
+    groups = known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    reps = write_table(groups.select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix", "r.bits", "copies"), scratch_path(spark, "reps"))
+    first = _links(docs, reps, _first_pairs(reps, percent), words, percent, levels)
+    later = _links(docs, reps, _later_pairs(reps, components(first), percent), words, percent, levels)
     final = write_table(components(first.union(later)).withColumnRenamed("node", "rep"), scratch_path(spark, "final"))
     shared = join_side(reps.select("sig", "rep", "copies"), final, ["rep"], "left").where("copies > 1 OR component IS NOT NULL")
     shared = write_table(shared.select("sig", F.coalesce("component", "rep").alias("component_id")), scratch_path(spark, "shared"))

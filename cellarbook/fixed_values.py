@@ -39,8 +39,12 @@ VEGETARIAN_QUANTITIES = (-1, -2, -3)
 VEGETARIAN_MARK = "veg"
 EXTRA_MEAT_MARK = "carne extra"
 
-# Delivery commission: (last date the fee holds, fee); None = open end.
-COMMISSION_TIERS = (("2024-09-23", 0.18), ("2024-10-24", 0.22), (None, 0.25))
+# Delivery commission: (comparison with the day, day, fee), the first that holds; the last is for all later days.
+COMMISSION_TIERS = (("<", "2024-09-24", 0.18), ("<=", "2024-10-24", 0.22), (None, None, 0.25))
+
+# A delivery item with its quantity in front.
+NUMBERED_ITEM = r"^\s*(\d+)\s+(.*)$"
+
 COMMISSION_TAX_FACTOR = 0.87
 
 # Movement kinds.
@@ -56,14 +60,20 @@ DELIVERY_FACTORS_BY_NAME = (("Super Smash Burger", 0.5), ("Carne Extra Super Sma
 # Sold code -> ingredient, unit B.
 INGREDIENT_CODES = {
     "CARNE MOLIDA": (
-        "OMU00011 OMU00010 OMU00009 OMU00008 OMU00058 OMU00007 OMU00006 OMU00049 OMU00005 OMU00066 OMU00072 "
-        "OMU00061 OMU00054 OMU00055 OMU00064 ANC00066 OMU00052 OMU00071 OMU00065 OMU00063 OMU00062 OMU00082"
+        "OMU00011", "OMU00010", "OMU00009", "OMU00008", "OMU00058", "OMU00007", "OMU00006", "OMU00049",
+        "OMU00005", "OMU00066", "OMU00072", "OMU00061", "OMU00054", "OMU00055", "OMU00064", "ANC00066",
+        "OMU00052", "OMU00071", "OMU00065", "OMU00063", "OMU00062", "OMU00082",
     ),
     "PECHUGA DE POLLO": (
-        "OMU00031 OMU00057 OMU00030 OMU00029 OMU00028 OMU00027 OMU00026 OMU00051 OMU00078 OMU00079 OMU00085"
+        "OMU00031", "OMU00057", "OMU00030", "OMU00029", "OMU00028", "OMU00027", "OMU00026", "OMU00051",
+        "OMU00078", "OMU00079", "OMU00085",
+    ),
+    "PESCA AMAZONICA": (
+        "OMU00059",
+    ),
+    "QUESO": (
+        "OMU00068",
     ),
-    "PESCA AMAZONICA": "OMU00059",
-    "QUESO": "OMU00068",
 }
 
 # Ingredient, smallest and largest number of portions to hold.

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from cellarbook.fixed_values import NULL_TEXT
 
+WRITTEN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def to_double(c: Column) -> Column:
-    return c.try_cast("double")
+    """A number written in digits, else NULL; "5d", "NaN" and "Infinity" are no numbers."""
+    written = F.rlike(F.trim(c.cast("string")), F.lit(WRITTEN_NUMBER))
+    return F.when(written, c.try_cast("double"))
 
 
 def thousands_number(c: Column) -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
 _UNITS = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
 
 
@@ -29,12 +28,12 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size <= broadcast_limit(df.sparkSession)
 
 
-def join_side(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def join_side(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join that keeps a hot key of `fact` from ending up in one task.
 
-    A side below the broadcast limit is broadcast, so the fact is not shuffled at all. A larger one is
-    repeated once per salt and joined on (key, salt), which splits each key of the fact over `salts`
-    tasks; the salt is a hash of the row, so a task that is run again writes the same rows. All rows of
+    A side below the broadcast limit is broadcast, so the fact is not shuffled at all. A larger one meets
+    it in a shuffled join, whose oversized partitions the adaptive execution splits, equal rows as well as
+    others, from the map outputs as they are; so a task that is run again reads the same rows. All rows of
     both sides take part either way.
     """
     if how not in ("inner", "left"):
@@ -42,9 +41,7 @@ def join_side(fact: DataFrame, side: DataFrame, on: Sequence[str], how: str = "i
     keys = list(on)
     if fits_broadcast(side):
         return fact.join(F.broadcast(side), keys, how)
-    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
-    salted_side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.join(salted_side, [*keys, "_salt"], how).drop("_salt")
+    return fact.join(side, keys, how)
 
 
 def constant_rows(spark: SparkSession, rows: Sequence[Sequence], columns: Sequence[str]) -> DataFrame:

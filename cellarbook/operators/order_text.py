@@ -9,14 +9,13 @@ from cellarbook.fixed_values import (
     COMMISSION_TAX_FACTOR,
     COMMISSION_TIERS,
     EXTRA_MEAT_MARK,
+    NUMBERED_ITEM,
     VEGETARIAN_MARK,
     VEGETARIAN_QUANTITIES,
 )
 from cellarbook.functions.text import contains_ci, strip
 from cellarbook.operators.unpivot import unpivot_columns
 
-NUMBERED_ITEM = r"^\s*(\d+)\s+(.*)$"
-
 
 def order_items(orders: DataFrame, text: str) -> DataFrame:
     """`2 Burger [no cheese], 1 Soda, note` -> (2, burger), (1, soda).
@@ -38,10 +37,11 @@ def order_items(orders: DataFrame, text: str) -> DataFrame:
 def commission_fee(day: Column) -> Column:
     """Fee of the delivery channel on that day."""
     rule = None
-    for last_day, fee in COMMISSION_TIERS:
-        if last_day is None:
+    for comparison, limit, fee in COMMISSION_TIERS:
+        if limit is None:
             return rule.otherwise(F.lit(fee))
-        test = day <= F.lit(last_day).cast("date")
+        limit = F.lit(limit).cast("date")
+        test = day < limit if comparison == "<" else day <= limit
         rule = F.when(test, F.lit(fee)) if rule is None else rule.when(test, F.lit(fee))
     return rule
 

@@ -45,14 +45,16 @@ def ingredient_use_per_day(sales: DataFrame, recipe: DataFrame, own_code_only: b
 def trimmed_mean(samples: DataFrame, by: str, value: str, out: str, deviations: float = 2.0) -> DataFrame:
     """Mean per group without samples beyond `deviations` population standard deviations.
 
-    The limits are per group and few; where they are too many to broadcast, samples meet them on
-    (group, salt), and the second mean combines on the map side, so no group sits in one task.
+    Samples of one value are counted first, on the map side, so a group in which they mostly agree is down
+    to a few rows before it meets its limits.
     """
     limits = samples.groupBy(by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
     near = F.col(value).between(
         F.col("_mean") - deviations * F.col("_dev"), F.col("_mean") + deviations * F.col("_dev")
     )
-    return join_side(samples, limits, [by]).filter(near).groupBy(by).agg(F.avg(value).alias(out))
+    distinct = samples.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    kept = join_side(distinct, limits, [by]).filter(near)
+    return kept.groupBy(by).agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias(out))
 
 
 def weighted_price(purchases: DataFrame, as_of: DateLike, days: int) -> DataFrame:
@@ -69,7 +71,7 @@ def weighted_price(purchases: DataFrame, as_of: DateLike, days: int) -> DataFram
 def portions(counted: Column, weight: Column, mean_weight: Column, whole: bool) -> Column:
     """Portions as written, else weight over the mean portion weight."""
     by_weight = F.try_divide(weight, mean_weight)
-    return F.coalesce(counted, F.round(F.round(by_weight, 6), 0) if whole else by_weight)
+    return F.coalesce(counted, F.round(by_weight, 0) if whole else by_weight)
 
 
 def apply_factors(

@@ -19,6 +19,7 @@ from cellarbook.plans.bindings import AS_OF, SITE, landed
 from cellarbook.plans.bindings import warehouse as bound
 from cellarbook.session import scratch_path
 from cellarbook.sources import readers, schemas, sinks
+from cellarbook.sources.landing import INVOICES, Landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,16 +29,16 @@ PERIOD = "2024.03.03"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Round doubles to four decimals.
+    """Round doubles to four decimals; NaN and infinities stay what they are.
 
-    The offset is a little more than a half: sums added up in another order differ in their last bits,
-    and a value right between two results must not fall to either side because of that.
+    Sums added up in another order differ in their last bits. The ninth decimal is settled first, so that a
+    value right between two results does not fall to either side because of that.
     """
 
     def shown(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return (F.floor(c * 10000 + 0.50137) / 10000).alias(field.name)
+            return F.round(F.round(c, 9), 4).alias(field.name)
         return c
 
     return df.select(*[shown(f) for f in df.schema.fields])
@@ -150,7 +151,8 @@ def complimentary_a(spark, folder):
 @query("rule_complimentary_internal")
 def complimentary_b(spark, folder):
     w = bound(spark, folder)
-    return w.gold("fct_mov_inv_{b}").groupBy("codigo_inventario", "fecha").agg(F.sum("cantidad").alias("cortesias"))
+    days = flows.flow_days({"cortesias": flows.flow_rows(w.gold("fct_mov_inv_{b}"), "codigo_inventario")})
+    return days.select(F.col(flows.KEY).alias("codigo_inventario"), flows.DAY, "cortesias")
 
 
 @query("rule_day_expansion")
@@ -547,10 +549,10 @@ _ITEM_COLUMNS = ["Cod", "Producto", "Cantidad", "Nota"]
 
 @query("source_invoice_json")
 def invoice_json(spark, folder):
-    """Nested documents written as JSON by Spark and read through the invoice reader."""
+    """Nested documents written as JSON lines by Spark and read through the invoice reader."""
     path = scratch_path(spark, "invoices")
     landed(spark, folder)["invoice_documents"].write.json(path)
-    invoices = readers.spread_invoices(spark.read.schema(schemas.INVOICE_DOCUMENT).json(path), SITE)
+    invoices = readers.read_invoices(spark, [path], SITE, lines=True)
     items = invoices.select("_negocio", "anulada", F.explode("listaItems").alias("i"))
     return items.groupBy(F.col("_negocio").alias("negocio"), "anulada", F.col("i.articulo").alias("producto")).agg(
         F.sum("i.cantidad").alias("cantidad"), F.sum("i.precioTotal").alias("precio_total"), F.count(F.lit(1)).alias("n")
@@ -564,8 +566,7 @@ def json_bad_records(spark, folder):
     master = landed(spark, folder)["izi_items_inventario"]
     line = F.to_json(F.struct(*master.columns))
     master.select(F.when(F.col("codigo").startswith("I"), F.substring(line, 1, 10)).otherwise(line).alias("value")).write.text(path)
-    full = T.StructType.fromDDL(schemas.ITEM_MASTER).add(readers.CORRUPT, T.StringType())
-    read = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
+    read = readers.read_json_array(spark, path, schemas.ITEM_MASTER, lines=True)
     return read.select(F.coalesce("categoria.nombre", F.lit("?")).alias("categoria"), "precioUnitario").groupBy("categoria").agg(
         F.count(F.lit(1)).alias("n"), F.sum("precioUnitario").alias("precio")
     )
@@ -594,14 +595,18 @@ def csv_sheet(spark, folder):
     return _typed_sheet(readers.read_csv(spark, path, _ITEM_COLUMNS))
 
 
+SHEET_FILES = 4
+
+
 def _stacked_lines(sheet: DataFrame, before: list[str], after: list[str]) -> DataFrame:
-    """Sheet text, one file per partition: lines before, header, rows, lines after."""
+    """Text of several sheets, told apart by `_file`: lines before, header, rows, lines after."""
     cells = [F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("")) for c in sheet.columns]
     head = F.array(*[F.lit(x) for x in [*before, ",".join(sheet.columns)]])
     tail = F.array(*[F.lit(x) for x in after]) if after else F.array().cast("array<string>")
-    numbered = sheet.select(F.concat_ws(",", *cells).alias("value"), F.spark_partition_id().alias("_file"))
-    first = numbered.select("_file").distinct().select("_file", F.lit(0).alias("_at"), F.posexplode(head).alias("_n", "value"))
-    last = numbered.select("_file").distinct().select("_file", F.lit(2).alias("_at"), F.posexplode(tail).alias("_n", "value"))
+    numbered = sheet.select(F.concat_ws(",", *cells).alias("value"), F.pmod(F.xxhash64("Cod"), F.lit(SHEET_FILES)).alias("_file"))
+    files = sheet.sparkSession.range(SHEET_FILES).withColumnRenamed("id", "_file")
+    first = files.select("_file", F.lit(0).alias("_at"), F.posexplode(head).alias("_n", "value"))
+    last = files.select("_file", F.lit(2).alias("_at"), F.posexplode(tail).alias("_n", "value"))
     body = numbered.select("_file", F.lit(1).alias("_at"), F.lit(0).alias("_n"), "value")
     return first.unionByName(body).unionByName(last)
 
@@ -609,7 +614,9 @@ def _stacked_lines(sheet: DataFrame, before: list[str], after: list[str]) -> Dat
 def _write_sheets(spark, folder, name: str, before: list[str], after: list[str]) -> str:
     path = scratch_path(spark, name)
     lines = _stacked_lines(_item_sheet(spark, folder), before, after)
-    lines.repartition("_file").sortWithinPartitions("_file", "_at", "_n").select("value").write.text(path)
+    # One sheet is one folder with one file, however the rows were dealt out.
+    lines = lines.repartition("_file").sortWithinPartitions("_file", "_at", "_n").select("_file", "value")
+    lines.write.partitionBy("_file").text(path)
     return path
 
 
@@ -640,6 +647,24 @@ def first_block_of_events(spark, folder):
     )
 
 
+@query("source_landing_folder")
+def landing_folder(spark, folder):
+    """Sale lines of a warehouse over a landing folder: invoices as JSON lines."""
+    path = scratch_path(spark, "landing")
+    landed(spark, folder)["invoice_documents"].write.json(f"{path}/{INVOICES}.json")
+    return warehouse.Warehouse(spark, Landing(spark, path, SITE, lines=True), AS_OF, SITE)["fct_ventas_items"]
+
+
+@query("source_stored_gold")
+def stored_gold(spark, folder):
+    """Three months of sale lines of a stored warehouse, opened again; refreshed twice before."""
+    path = scratch_path(spark, "stored")
+    made = warehouse.Warehouse(spark, landed(spark, folder), AS_OF, SITE)
+    for _ in range(2):
+        made.rebuild(path, only=["fct_ventas_items"])
+    return warehouse.Warehouse.open(spark, path, AS_OF, SITE).between("fct_ventas_items", "2024-01-15", "2024-03-20")
+
+
 @query("source_union_by_name")
 def union_by_name(spark, folder):
     """Inputs whose columns differ, appended by name with NULL for what one lacks."""

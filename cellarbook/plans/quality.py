@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.functions.text import not_blank
+from cellarbook.sources.readers import CORRUPT
 
 
 def rejected_dates(tables: Mapping[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
@@ -23,6 +24,17 @@ def rejected_dates(tables: Mapping[str, tuple[DataFrame, Column, Column]]) -> Da
     return reduce(DataFrame.unionByName, counts)
 
 
+def rejected_records(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Per table read with its bad records kept, and its key column: rows, those with a key, and those that did not parse."""
+    counts = [
+        df.agg(
+            F.count(F.lit(1)).alias("filas"), F.count(key).alias("con_clave"), F.count_if(F.col(CORRUPT).isNotNull()).alias("rechazadas")
+        ).select(F.lit(name).alias("tabla"), "filas", "con_clave", "rechazadas")
+        for name, (df, key) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def repeated_keys(side: DataFrame, key: str) -> DataFrame:
     """Keys of a join side that repeat rows of the other side, and how often."""
     counted = side.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("filas"))

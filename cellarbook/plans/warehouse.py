@@ -7,7 +7,7 @@ Table names end in the unit's name, for example `dim_receta_<a>`; `names()` list
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +53,7 @@ from cellarbook.operators.recipes import (
 )
 from cellarbook.operators.unpivot import count_range, unpivot_counts
 from cellarbook.site import Site
-from cellarbook.sources.sinks import write_table
+from cellarbook.sources.sinks import MONTH, current_version, new_version, set_version, stored_by_month
 
 PRICE_DAYS = 120
 WEIGHT_DAYS = 60
@@ -87,6 +87,8 @@ class Warehouse(Mapping[str, DataFrame]):
         self._raw = raw
         self._made: dict[str, DataFrame] = {}
         self._stored: set[str] = set()
+        self._folder: str | None = None
+        self._opened = False
         self._builders = {self._named(name): build for name, build in _BUILDERS.items()}
 
     def _named(self, name: str) -> str:
@@ -103,7 +105,10 @@ class Warehouse(Mapping[str, DataFrame]):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._builders[name](self)
+            if self._opened:
+                self._made[name] = self.spark.read.parquet(f"{self._folder}/{name}").drop(MONTH)
+            else:
+                self._made[name] = self._builders[name](self)
         return self._made[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -112,12 +117,39 @@ class Warehouse(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(self._builders)
 
-    def rebuild(self, folder: str) -> dict[str, DataFrame]:
-        """Full refresh of every dataset below `folder`, in dependency order."""
-        for name in self._builders:
-            self._made[name] = write_table(self[name], f"{folder.rstrip('/')}/{name}")
-            self._stored.add(name)
-        return dict(self._made)
+    def rebuild(self, folder: str, only: Sequence[str] = ()) -> dict[str, DataFrame]:
+        """Full refresh of every dataset (or of `only` some) from the raw tables, in dependency order.
+
+        The tables go to a fresh folder below `folder`, and only when all of them are there does it become
+        the current one. So a refresh may be repeated, one that fails changes nothing, and readers of the
+        tables before keep them. Datasets with a date are stored by month.
+        """
+        fresh = Warehouse(self.spark, self._raw, self.as_of, self.site)
+        fresh._folder = new_version(folder)
+        for name in (n for n in self._builders if not only or n in only):
+            fresh._made[name] = stored_by_month(fresh[name], f"{fresh._folder}/{name}")
+            fresh._stored.add(name)
+        set_version(self.spark, folder, fresh._folder)
+        self._made, self._stored, self._folder = fresh._made, fresh._stored, fresh._folder
+        return {name: self._made[name] for name in self._stored}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, as_of: DateLike, site: Site | None = None) -> Warehouse:
+        """The datasets of the last complete refresh below `folder`, for reports; raw tables are not needed."""
+        own = cls(spark, {}, as_of, site)
+        own._folder, own._opened, own._stored = current_version(spark, folder), True, set(own._builders)
+        return own
+
+    def between(self, name: str, first: DateLike, last: DateLike) -> DataFrame:
+        """Rows of a dataset with a date from `first` to `last`; of a stored one only those months are read."""
+        days = F.col("fecha").between(as_date(first), as_date(last))
+        if self._folder is None or name not in self._stored:
+            return self[name].filter(days)
+        stored = self.spark.read.parquet(f"{self._folder}/{name}")
+        if MONTH in stored.columns:
+            months = F.col(MONTH).between(F.date_format(as_date(first), "yyyy-MM"), F.date_format(as_date(last), "yyyy-MM"))
+            stored = stored.filter(months).drop(MONTH)
+        return stored.filter(days)
 
     # Flows several areas share.
 
@@ -585,7 +617,10 @@ def _other_unit_sales(w: Warehouse) -> DataFrame:
 
 def drinks_b_flow_days(w: Warehouse) -> DataFrame:
     codes = w.item_names().select(F.col("producto").alias("producto2"), "cod_producto")
-    added = per_day(w.gold("fct_extras_izi_{b}"), ["producto2", "value"]).join(codes, "producto2", "left")
+    extras = per_day(w.gold("fct_extras_izi_{b}"), ["producto2", "value"])
+    # Text that matched no item has no key; it would all meet in one task.
+    matched = extras.filter(F.col("producto2").isNotNull()).join(codes, "producto2", "left")
+    added = matched.unionByName(extras.filter(F.col("producto2").isNull()), allowMissingColumns=True)
     bought = w.gold("fct_compras_insumos_{b}").filter(not_blank(F.col("cod_producto")))
     return reconcile.area_flow_days(
         {
@@ -620,7 +655,7 @@ def drinks_b_daily(w: Warehouse) -> DataFrame:
 
 @gold("dim_insumo_{b}")
 def ingredient_codes(w: Warehouse) -> DataFrame:
-    rows = [(code, name) for name, codes in fixed.INGREDIENT_CODES.items() for code in codes.split()]
+    rows = [(code, name) for name, codes in fixed.INGREDIENT_CODES.items() for code in codes]
     return constant_rows(w.spark, rows, ["cod_producto", "insumo"])
 
 

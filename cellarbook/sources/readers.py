@@ -25,18 +25,27 @@ def spread_invoices(documents: DataFrame, site: Site, loaded_at: Column | None =
     return invoices.withColumn("_negocio", unit).withColumn("_extraido_en", stamp)
 
 
-def read_invoices(spark: SparkSession, paths: Sequence[str], site: Site, schema: str = INVOICE_DOCUMENT) -> DataFrame:
+def read_invoices(
+    spark: SparkSession, paths: Sequence[str], site: Site, schema: str = INVOICE_DOCUMENT, lines: bool = False
+) -> DataFrame:
     """Nested invoice documents of all units as one; a column missing in one file is NULL there.
 
-    A document is one JSON value, and one task reads it; split large exports into several files.
+    With `lines` every line is a document, and a file is split over tasks: the form for large exports.
+    Otherwise a file is one JSON value, which one task reads.
     """
-    return spread_invoices(spark.read.schema(schema).option("multiLine", True).json(list(paths)), site)
+    return spread_invoices(spark.read.schema(schema).option("multiLine", not lines).json(list(paths)), site)
+
 
+def read_json_array(
+    spark: SparkSession, paths: str | Sequence[str], schema: str, keep_bad: bool = True, lines: bool = False
+) -> DataFrame:
+    """JSON arrays (or, with `lines`, one record per line) with a load time.
 
-def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: str, keep_bad: bool = False) -> DataFrame:
-    """JSON array documents with a load time. Records that do not parse are dropped, or kept in
-    `_corrupt_record` with NULLs elsewhere when `keep_bad`."""
-    reader = spark.read.option("multiLine", True)
+    Records that do not parse are kept in `_corrupt_record` with NULLs elsewhere, and
+    `plans.quality.rejected_records` counts them. `keep_bad=False` drops them; of an array that is one value
+    over several lines, that may be more than the one record.
+    """
+    reader = spark.read.option("multiLine", not lines)
     if keep_bad:
         full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
         reader = reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and types as the sources deliver them.
 INVOICE_ITEM = "struct<articulo:string,cantidad:double,codigoInventario:string,precioTotal:double>"
 INVOICE = (
     "struct<sucursal:bigint,fechaPago:timestamp_ntz,anulada:int,montoTotal:double,"
@@ -19,71 +20,17 @@ ITEM_MASTER = (
 )
 MOVEMENTS = "fecha timestamp_ntz, cantidad double, tipoMovimiento string, codigoInventario string"
 
-_STATEMENT = ["Categoria", "Categoria FC", "Categoria Detalle", "Detalle", "Empresa", "Fijo/Semanal/Otros"]
-
-SHEETS: dict[str, list[str]] = {
-    "recipe_a": [
-        "Cod Producto",
-        "Producto (izi)",
-        "Cod Insumo",
-        "Insumo",
-        "Cantidad usada (kg o u)",
-        "Merma (%)",
-        "Porciones",
-        "Stock de porciones",
-        "Nuevo Stock",
-        "Rango",
-        "Dias de compras",
-        "Dias de llegada estimada",
-        "Dias de produccion",
-    ],
-    "recipe_b": [
-        "Cod Producto",
-        "Producto (izi)",
-        "Cod Insumo",
-        "Insumo",
-        "Categoria",
-        "Cantidad usada (kg o u)",
-        "Merma (%)",
-    ],
-    "withdrawals_a": ["Fecha", "Producto", "Peso", "Porciones", "Comentarios"],
-    "withdrawals_b": ["Fecha", "Producto", "Peso (g / ml)", "Porciones", "Comentarios"],
-    "bottles_opened": ["Fecha", "Codigo Producto", "Botella", "#Botellas", "Comentarios"],
-    "glass_map": ["Categoria", "Cod. Producto", "Producto", "Botella", "Cod Botella"],
-    "delivery_orders": ["Fecha del pedido", "Estado del pedido", "Artículos", "Total del pedido", "Descuento total"],
-    "delivery_extras": ["Fecha", "Variable 1", "Variable 2", "Notas", "Producto", "Cantidad"],
-    "estimates": [
-        "Empresa",
-        "Fecha",
-        "Fijo/Semanal/Otros",
-        "Categoria",
-        "Categoria FC",
-        "Categoria Detalle",
-        "Detalle",
-        "Bs",
-        "Week",
-    ],
-    "statement_with_direction": ["Fecha", *_STATEMENT, "Ingreso Egreso", "Importe Formateado"],
-    "statement_adjusted": ["Fecha Ajustada", *_STATEMENT, "Ingreso Egreso", "Importe Formateado"],
-    "statement_signed": ["Fecha1", *_STATEMENT, "Monto"],
-    "cash": ["Fecha", *_STATEMENT, "Bs"],
-}
-_PURCHASES = [
+ESTIMATES = (
+    "Empresa",
     "Fecha",
-    "Fecha Porcion",
-    "Cod Producto",
+    "Fijo/Semanal/Otros",
     "Categoria",
-    "Producto",
-    "Medida",
-    "Porciones",
-    "Peso Real",
-    "Cantidad Compra",
-    "Precio Unitario",
-    "Precio Total",
-    "Comentario",
-]
-SHEETS["purchases_a"] = [*_PURCHASES, "Empresa"]
-SHEETS["purchases_b"] = [*_PURCHASES, "Peso Porcion"]
+    "Categoria FC",
+    "Categoria Detalle",
+    "Detalle",
+    "Bs",
+    "Week",
+)
 
 
 def text_schema(columns: list[str]) -> T.StructType:

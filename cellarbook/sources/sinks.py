@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,45 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.parquet(path)
 
 
+MONTH = "_mes"
+
+
+def stored_by_month(df: DataFrame, path: str) -> DataFrame:
+    """Write a table, in one folder per month where it has a date `fecha`, and return it as read back."""
+    if dict(df.dtypes).get("fecha") != "date":
+        return write_table(df, path)
+    months = df.withColumn(MONTH, F.coalesce(F.date_format("fecha", "yyyy-MM"), F.lit("none")))
+    months.write.mode("overwrite").option("compression", "zstd").partitionBy(MONTH).parquet(path)
+    if not df.sparkSession.read.schema(months.schema).parquet(path).head(1):
+        # Without rows there is no month and no file that tells the columns.
+        return write_table(months.limit(0), path).drop(MONTH)
+    return df.sparkSession.read.parquet(path).drop(MONTH)
+
+
+def new_version(folder: str) -> str:
+    """Path of a version that nobody reads yet."""
+    return f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("number long, path string").parquet(f"{folder.rstrip('/')}/current")
+
+
+def set_version(spark: SparkSession, folder: str, path: str) -> None:
+    """Make a complete version the current one: a row is added, nothing is overwritten."""
+    try:
+        number = (_versions(spark, folder).agg(F.max("number")).first()[0] or 0) + 1
+    except AnalysisException:  # there is no version yet
+        number = 1
+    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(path).alias("path"))
+    row.write.mode("append").parquet(f"{folder.rstrip('/')}/current")
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    """Path of the current version."""
+    return _versions(spark, folder).agg(F.max_by("path", "number")).first()[0]
+
+
 def create_view(df: DataFrame, name: str) -> None:
     """A live view: nothing is stored, and it follows the table behind it."""
     df.createOrReplaceTempView(name)

@@ -142,7 +142,7 @@ add(
 _BY_WEIGHT = "peso_real / nullif(promedio_peso_x_porcion, 0)"
 add(
     "rule_portion_fallback",
-    f"SELECT producto, {r4(f'sum(coalesce(porciones, round(round({_BY_WEIGHT}, 6), 0)))', 'enteras')}, {r4(f'sum(coalesce(porciones, {_BY_WEIGHT}))', 'exactas')} "
+    f"SELECT producto, {r4(f'sum(coalesce(porciones, round({_BY_WEIGHT}, 0)))', 'enteras')}, {r4(f'sum(coalesce(porciones, {_BY_WEIGHT}))', 'exactas')} "
     f"FROM fct_compras_insumos_{A} LEFT JOIN dim_promedio_peso_porcion_{A} USING (producto) GROUP BY producto",
 )
 add(
@@ -455,3 +455,9 @@ add(
 )
 add("sink_table_sample", "SELECT least(50, count(*)) AS filas FROM dim_producto")
 add("sink_table_list", "SELECT 'listed_dim_producto' AS tabla, count(*) AS filas FROM dim_producto")
+
+add("source_landing_folder", rounded("fct_ventas_items", DOUBLES["fct_ventas_items"]))
+add(
+    "source_stored_gold",
+    rounded("fct_ventas_items", DOUBLES["fct_ventas_items"]) + " WHERE fecha BETWEEN DATE '2024-01-15' AND DATE '2024-03-20'",
+)

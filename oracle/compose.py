@@ -25,7 +25,7 @@ def compose(sql: str, parts: dict[str, str]) -> str:
 
 def settled(expr: str) -> str:
     """Four decimals, as `cellarbook.plans.catalog.settle` rounds them."""
-    return f"floor(CAST({expr} AS DOUBLE) * 10000 + 0.50137) / 10000"
+    return f"round(round(CAST({expr} AS DOUBLE), 9), 4)"
 
 
 def rounded(table: str, doubles: str = "") -> str:

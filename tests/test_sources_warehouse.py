@@ -5,10 +5,13 @@ from datetime import date
 
 import pytest
 
+from cellarbook.plans import quality
 from cellarbook.plans.bindings import AS_OF, SITE, landed
+from cellarbook.plans.catalog import QUERIES, settle
 from cellarbook.plans.warehouse import Warehouse
 from cellarbook.site import Site
 from cellarbook.sources import readers, schemas, sinks
+from cellarbook.sources.landing import Landing
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,8 +38,9 @@ def test_json_arrays_with_bad_records(spark, rows, tmp_path):
     assert rows(read, "codigo", "categoria.nombre") == [("1", "X"), ("2", None)]
     assert "_extraido_en" in read.columns
     both = [str(tmp_path / "good.json"), str(tmp_path / "bad.json")]
-    assert readers.read_json_array(spark, both, schemas.ITEM_MASTER).count() == 2
-    kept = readers.read_json_array(spark, both, schemas.ITEM_MASTER, keep_bad=True)
+    assert readers.read_json_array(spark, both, schemas.ITEM_MASTER, keep_bad=False).count() == 2
+    kept = readers.read_json_array(spark, both, schemas.ITEM_MASTER)
+    assert rows(quality.rejected_records({"items": (kept, "codigo")})) == [("items", 3, 2, 1)]
     assert [bad is None for _, bad in rows(kept, "codigo", readers.CORRUPT)] == [True, True, False]
 
 
@@ -87,3 +91,63 @@ def test_rebuilt_tables_equal_the_lazy_ones(spark, rows, tmp_path, chosen):
     for name in chosen:
         assert tables[name].count() == lazy[name].count()
         assert "FileScan" in tables[name]._jdf.queryExecution().toString()
+
+
+def test_refresh_may_be_repeated_and_follows_the_raw_tables(spark, rows, tmp_path):
+    folder, only = str(tmp_path / "gold"), ["fct_ventas_items", "dim_producto"]
+    raw = dict(landed(spark, FOLDER).items())
+    w = Warehouse(spark, raw, AS_OF, SITE)
+    first = w.rebuild(folder, only)
+    before, lines = first["fct_ventas_items"], first["fct_ventas_items"].count()
+    assert w.rebuild(folder, only)["fct_ventas_items"].count() == lines > 0
+    raw["izi_facturas"] = raw["izi_facturas"].limit(0)
+    assert w.rebuild(folder, only)["fct_ventas_items"].count() == 0
+    assert before.count() == lines  # whoever reads the version before keeps it
+    opened = Warehouse.open(spark, folder, AS_OF, SITE)
+    assert opened["fct_ventas_items"].count() == 0 and opened["fct_ventas_items"].columns == before.columns
+    raw["izi_facturas"] = spark.range(1)  # a refresh that fails changes nothing
+    with pytest.raises(Exception, match="."):
+        w.rebuild(folder, only)
+    assert Warehouse.open(spark, folder, AS_OF, SITE)["fct_ventas_items"].count() == 0
+
+
+def test_stored_dates_are_pruned_by_month(spark, rows, tmp_path):
+    w = Warehouse(spark, landed(spark, FOLDER), AS_OF, SITE)
+    lazy = w.between("fct_ventas_items", "2024-01-15", "2024-02-20")
+    want = rows(lazy)
+    w.rebuild(str(tmp_path / "gold"), ["fct_ventas_items"])
+    stored = w.between("fct_ventas_items", "2024-01-15", "2024-02-20")
+    assert rows(stored) == want and len(want) > 0
+    assert "PartitionFilters: [isnotnull(_mes" in stored._jdf.queryExecution().toString()
+
+
+def test_sheets_in_any_number_of_files(spark, rows, tmp_path):
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet")
+    want = None
+    for files in (1, 4, 20):
+        folder = str(tmp_path / str(files))
+        parts.repartition(files).write.parquet(f"{folder}/part.parquet")
+        got = [rows(QUERIES[name](spark, folder)) for name in ("source_csv_skip_rows", "source_first_block")]
+        want = want or got
+        assert got == want and len(got[0]) == parts.count()
+
+
+def test_landing_folder(spark, rows, tmp_path):
+    item = {"articulo": "Ron", "cantidad": 1, "codigoInventario": "C1", "precioTotal": 5.5}
+    bill = {"sucursal": 79344, "fechaPago": "2024-01-02T13:30:00", "anulada": 0, "montoTotal": 5.5, "listaItems": [item]}
+    (tmp_path / "izi_facturas.json").write_text(json.dumps({"facturas": [bill]}))
+    (tmp_path / "izi_items_inventario.json").write_text('[{"codigo": "C1", "nombre": "Ron"}]')
+    (tmp_path / "relacion_copa_vino.csv").write_text("junk,,\nProducto,Botella,Cod Botella\nCopa,Vino,V1\n")
+    (tmp_path / "salidas_mermas_a.csv").write_text("Fecha,Producto,Peso\n01-Feb-2024,Ron,2\n")
+    (tmp_path / "gastos_aproximados.csv").write_text(",".join(schemas.ESTIMATES) + "\nAlpha,2024-01-01,,,,,,5,1\n,,,,,,,,\nX,2024-01-01,,,,,,5,1\n")
+    raw = Landing(spark, str(tmp_path), Site("Alpha", "beTa"), ("izi_facturas", "relacion_copa_vino"))
+    assert rows(raw["relacion_copa_vino"]) == [("Copa", "Vino", "V1")] and list(raw) == ["izi_facturas", "relacion_copa_vino"]
+    assert raw["salidas_mermas_a"].columns == ["Fecha", "Producto", "Peso"] and raw["gastos_aproximados"].count() == 1
+    w = Warehouse(spark, raw, date(2024, 1, 31), Site("Alpha", "beTa"))
+    assert rows(w["fct_ventas_items"], "fecha", "producto", "negocio") == [(date(2024, 1, 2), "Ron", "Alpha")]
+
+
+def test_rounding_keeps_large_and_special_values(spark):
+    df = spark.sql("SELECT 2e15D a, double('NaN') b, double('-Infinity') c, 1.00005D d, 3 e")
+    got = settle(df).first()
+    assert got.a == 2e15 and got.b != got.b and got.c == float("-inf") and got.d == 1.0001 and got.e == 3

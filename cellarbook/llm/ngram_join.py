@@ -2,12 +2,13 @@
 
 1. Sets are ordered, rare shingles first. Two sets that are similar enough share a shingle among their first
    few (the prefix). Documents with equal sets stand behind one of them.
-2. A first round compares each set with two of those that share one of its first shingles. Most links show
+2. Two rounds compare each set with two of those that share one of its first shingles, at first with any, then
+   with those that have most links: the text that a family of edited copies comes from has. Most links show
    here, and the components they form are never compared inside again.
-3. A second round takes every pair of sets in different components that shares any shingle of both prefixes
-   and passes the bounds on length and position. So no link between components is lost.
-   Pairs whose parity sketches differ in more bits than similar sets can differ in elements go first.
-4. In both rounds a set is looked up in a prefix tree of its partners, which shares the overlaps of common
+3. A last round takes every pair of sets in different components that shares any shingle of both prefixes and
+   passes the bounds on length and position. So no link between components is lost.
+   Pairs whose parity sketches differ in more bits than similar sets can differ in elements are left out.
+4. In all rounds a set is looked up in a prefix tree of its partners, which shares the overlaps of common
    beginnings and leaves subtrees that cannot reach the similarity.
 5. Components of all links.
 
@@ -35,7 +36,7 @@ from cellarbook.session import scratch_path
 from cellarbook.sources.sinks import write_table
 
 WORDS, PERCENT = 5, 80
-FIRST = 3  # shingles of a set that the first round looks at
+FIRST = 4  # shingles of a set that the first rounds look at
 PARTNERS = 256  # partners of one set in one prefix tree
 BITS = 512  # of the parity sketch of a small set; a larger one has a power of two not below its size
 BROADCAST_ROWS = 400_000  # of (doc_id, digest), about 25 MB; more are joined with a shuffle
@@ -86,12 +87,31 @@ def _close(percent: int, m: str, n: str) -> str:
     return f"100 * least({m}, {n}) >= {percent} * greatest({m}, {n})"
 
 
-def _first_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """Each set with two of those that share one of its first shingles."""
+def _near_bits(percent: int, x: str, y: str, m: str, n: str) -> str:
+    """Condition on sketches x, y of sets of m and n elements that all similar sets meet.
+
+    Where one sketch is twice as long, its halves are laid over each other; that brings none farther apart.
+    """
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+    fold = "CASE WHEN size({0}) > size({1}) THEN " + half + " ELSE {0} END"
+    differ = f"zip_with({fold.format(x, y)}, {fold.format(y, x)}, (p, q) -> bit_count(p ^ q))"
+    overlap = f"({percent} * ({m} + {n}) + {99 + percent}) div {100 + percent}"
+    return f"aggregate({differ}, 0, (s, x) -> s + x) <= {m} + {n} - 2 * ({overlap})"
+
+
+def _first_pairs(reps: DataFrame, percent: int, links: DataFrame | None = None) -> DataFrame:
+    """Each set with two of those that share one of its first shingles: any two, or the most linked and any."""
     spark = reps.sparkSession
-    rows = reps.select("rep", "n", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
-    lowest, any_ = F.min(F.struct("rep", "n")), F.min(F.struct(F.xxhash64("token", "rep").alias("h"), "rep", "n"))
-    hubs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), lowest.alias("x"), any_.alias("y")).where("c > 1")
+    named = reps.select("rep", "n", F.lit(0).alias("degree"), "prefix")
+    if links is not None:
+        ends = links.select(F.col("a").alias("rep")).union(links.select("b"))
+        degrees = write_table(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links")), scratch_path(spark, "degrees"))
+        named = join_side(reps, degrees, ["rep"], "left").select("rep", "n", F.coalesce("links", F.lit(0)).alias("degree"), "prefix")
+    rows = named.select("rep", "n", "degree", F.explode(F.slice("prefix", 1, FIRST)).alias("token"))
+    best = F.max(F.struct("degree", (-F.col("rep")).alias("low"), "rep", "n"))
+    any_ = F.min(F.struct(F.xxhash64("token", "rep", F.lit(links is None)).alias("h"), "rep", "n"))
+    hubs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), best.alias("x"), any_.alias("y")).where("c > 1")
+    rows = rows.drop("degree")
     hubs = hubs.select("token", F.array(F.struct("x.rep", "x.n"), F.struct("y.rep", "y.n")).alias("hubs"))
     hubs = write_table(hubs, scratch_path(spark, "hubs"))
     pairs = join_side(rows, hubs, ["token"]).select("rep", "n", F.explode("hubs").alias("hub"))
@@ -112,11 +132,13 @@ def _later_pairs(reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     largest = F.max(F.struct("members", "comp")).getField("comp")
     tokens = rows.groupBy("token").agg(largest.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     tokens = write_table(tokens.where("low < high").select("token", "main"), scratch_path(spark, "tokens"))
-    shared = write_table(join_side(rows.drop("members"), tokens, ["token"]), scratch_path(spark, "shared"))
+    shared = join_side(rows.drop("members"), tokens, ["token"]).join(reps.select("rep", "bits"), "rep")
+    shared = write_table(shared, scratch_path(spark, "shared"))
     # Within a token, all that is not in its largest component meets everything of other components.
-    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at")))
+    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at", "bits")))
     may = f"""l_comp <> comp AND (comp = main OR l_rep < rep) AND {_close(percent, 'l_n', 'n')}
-        AND {100 + percent} * (least(l_at, at) + least(l_n - l_at, n - at)) >= {percent} * (l_n + n)"""
+        AND {100 + percent} * (least(l_at, at) + least(l_n - l_at, n - at)) >= {percent} * (l_n + n)
+        AND {_near_bits(percent, "l_bits", "bits", "l_n", "n")}"""
     pairs = left.join(shared, "token").where(may)
     return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
 
@@ -125,14 +147,8 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
     """The pairs that are similar enough, found in prefix trees over whole sets."""
     spark = docs.sparkSession
     x, y = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    # Where one sketch is twice as long, its halves are laid over each other; similar sets are no farther apart.
-    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
-    fold = "CASE WHEN size({0}) > size({1}) THEN " + half + " ELSE {0} END"
-    p, q = fold.format("bits_a", "bits_b"), fold.format("bits_b", "bits_a")
-    differ = f"aggregate(zip_with({p}, {q}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
-    overlap = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
     pairs = pairs.join(x, "a").join(y, "b").where(_close(percent, "n_a", "n_b"))
-    pairs = pairs.where(f"{differ} <= n_a + n_b - 2 * ({overlap})").select("a", "b")
+    pairs = pairs.where(_near_bits(percent, "bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
     pairs = write_table(pairs, scratch_path(spark, "pairs"))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     ids = write_table(reps.select("rep", "sig").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), scratch_path(spark, "partners"))
@@ -202,6 +218,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     groups = known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("r"), F.count(F.lit(1)).alias("copies"))
     reps = write_table(groups.select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix", "r.bits", "copies"), scratch_path(spark, "reps"))
     first = _links(docs, reps, _first_pairs(reps, percent), words, percent, levels)
+    first = first.union(_links(docs, reps, _first_pairs(reps, percent, first), words, percent, levels))
     later = _links(docs, reps, _later_pairs(reps, components(first), percent), words, percent, levels)
     final = write_table(components(first.union(later)).withColumnRenamed("node", "rep"), scratch_path(spark, "final"))
     shared = join_side(reps.select("sig", "rep", "copies"), final, ["rep"], "left").where("copies > 1 OR component IS NOT NULL")

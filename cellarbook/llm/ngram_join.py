@@ -178,7 +178,8 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
     def look_up(batches):
         def rows():
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for low in range(0, batch.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(low, 64).columns), strict=True)
 
         found: list[tuple[int, int]] = []
         for (a, _), group in groupby(rows(), key=lambda r: r[:2]):

@@ -17,7 +17,7 @@ import numpy as np
 from cellarbook.llm.words import LOWER, SPACE, chunks, hash_spans, ragged, runs
 
 #: Pieces kept per worker. A full table keeps the pieces met again; this bounds memory and changes no result.
-TABLE_PIECES = 1_000_000
+TABLE_PIECES = 300_000
 #: Pieces whose form no normalization or pre-tokenization step changes; the BPE model takes them as they are.
 PLAIN = re.compile(" ?[a-z]+")
 _LETTER = np.zeros(256, bool)

@@ -13,7 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.llm.hnsw import Hnsw
@@ -23,7 +23,7 @@ from cellarbook.sources.sinks import write_table
 
 #: Vectors that the centroids are fitted on, at most, and centroids, at most (both are in the driver's memory).
 SAMPLE, CENTROIDS = 32_768, 4096
-LIST = 256  # vectors of a list before copies, as far as CENTROIDS allows
+LIST = 1024  # vectors of a list before copies, as far as CENTROIDS allows
 COPIES, BOUNDARY = 4, 1.06  # lists of a vector, and how much farther than the nearest they may be
 AUDITED, COVERED = 48, 0.985  # queries of the audit, and the share of true neighbours their lists must hold
 PART = 4096  # vectors of a list that are read by one task
@@ -118,36 +118,52 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, names: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query, id, score) of each query's k nearest among `vectors`, itself left out."""
+    """(query, id, score) of each query's k nearest among `vectors`, itself left out; queries in order."""
     out = []
     for low in range(0, len(queries), TOGETHER):
-        some = queries[low : low + TOGETHER]
+        some, own = queries[low : low + TOGETHER], names[low : low + TOGETHER]
         rough = some @ vectors.T
-        rough[names[low : low + TOGETHER, None] == ids[None, :]] = -np.inf
-        keep = min(k, rough.shape[1])
-        edge = np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
-        for i, q in enumerate(some):
-            near = np.flatnonzero((rough[i] >= edge[i] - slack[i]) & np.isfinite(rough[i]))
-            scores = (vectors[near] * q).sum(1)  # summed alike for equal vectors, unlike a blocked product
-            best = _best(scores, ids[near], k)
-            out.append((np.full(len(best), names[low + i]), ids[near[best]], scores[best]))
+        rough[own[:, None] == ids[None, :]] = -np.inf
+        n = rough.shape[1]
+        width = min(n, k + 4)
+        at = np.argpartition(-rough, width - 1, axis=1)[:, :width] if width < n else np.tile(np.arange(n), (len(some), 1))
+        edge = np.sort(np.take_along_axis(rough, at, 1), axis=1)[:, width - min(k, width)]
+        edge -= 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
+        # Summed alike for equal vectors, unlike a blocked product, so that ties are ties.
+        scores = (vectors[at] * some[:, None, :]).sum(2)
+        scores[~np.isfinite(np.take_along_axis(rough, at, 1))] = -np.inf
+        order = np.lexsort((ids[at], -scores), axis=1)[:, :k]
+        good = np.isfinite(np.take_along_axis(scores, order, 1))
+        found_ids, found_scores = np.take_along_axis(ids[at], order, 1), np.take_along_axis(scores, order, 1)
+        tied = (rough >= edge[:, None]).sum(1) > width  # more rows may tie for the last place than were looked at
+        for i in np.flatnonzero(~tied):
+            out.append((np.full(int(good[i].sum()), own[i]), found_ids[i][good[i]], found_scores[i][good[i]]))
+        for i in np.flatnonzero(tied):
+            near = np.flatnonzero((rough[i] >= edge[i]) & np.isfinite(rough[i]))
+            exact = (vectors[near] * some[i]).sum(1)
+            best = _best(exact, ids[near], k)
+            out.append((np.full(len(best), own[i]), ids[near[best]], exact[best]))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, best array<struct<minus: double, vec_id: long>>"
 
 
 def _found(triple) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(triple, types, strict=True)], ["query_id", "vec_id", "score"])
+    """One row for each query with all that was found for it; rows of a query follow each other."""
+    names, ids, scores = triple
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, int)
+    best = pa.StructArray.from_arrays([pa.array(-scores, pa.float64()), pa.array(ids, pa.int64())], ["minus", "vec_id"])
+    lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(names)], pa.int32()), best)
+    return pa.RecordBatch.from_arrays([pa.array(names[first], pa.int64()), lists], ["query_id", "best"])
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, ranked; a query has at most k rows from every list part it read."""
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k best of each query, ranked; a query has at most k entries from every list part it read."""
+    every = found.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("best"))
+    best = F.slice(F.array_sort(F.array_distinct("best")), 1, k)
+    rows = every.select("query_id", F.posexplode(best).alias("place", "b"))
+    return rows.select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))
 
 
 def _brute(rows: DataFrame, names: np.ndarray, queries: np.ndarray, dim: int, k: int) -> DataFrame:
@@ -205,7 +221,8 @@ def _search_dim(rows: DataFrame, dim: int, most: float, count: int, queries, k:
     def read(batches):
         def every():
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for low in range(0, batch.num_rows, 1024):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(low, 1024).columns), strict=True)
 
         for _, group in groupby(every(), key=lambda r: r[:2]):
             held, asking = [], []

@@ -9,6 +9,7 @@ those that tell licences apart (names, versions, conditions).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -64,7 +65,6 @@ TELLING = frozenset(
 CUES = r"licen[cs]|copyright|permission|redistribut|free software|public domain|creative commons|\bcc0?[ -]"
 MOST_DIFFERENT = 0.15  # of a template's words
 PIECE, STEP = 4000, 3000  # characters of a piece of a longer block, and from one to the next; templates fit into what they share
-KEPT = 6  # templates in order of the saving that are compared word by word
 
 _CUE = re.compile(CUES, re.IGNORECASE)
 _SENTENCE = re.compile(r".*?(?:[.!?:;](?=\s)|\n\s*\n|\Z)", re.DOTALL)
@@ -100,18 +100,42 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return [(x, min(x + PIECE, b)) for a, b in out for x in range(a, max(a + 1, b - (PIECE - STEP)), STEP)]
 
 
-def savings(block: str) -> list[tuple[float, int]]:
-    """(share of bytes saved, template) for every template, the largest saving first."""
+def savings(block: str, among: list[int] | None = None) -> list[tuple[float, int]]:
+    """(share of bytes saved, template) for every template, or those of `among`; the largest saving first."""
+    among = list(range(len(_templates()))) if among is None else among
+    if not among:
+        return []
     raw = block.lower().encode("utf-8", "replace")
     alone = len(zstandard.ZstdCompressor(level=3).compress(raw))
-    sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(raw)) for _, _, d in _templates()]
-    return sorted(((1 - size / alone, i) for i, size in enumerate(sizes)), key=lambda x: (-x[0], x[1]))
+    sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=_templates()[i][2]).compress(raw)) for i in among]
+    return sorted(((1 - size / alone, i) for i, size in zip(among, sizes, strict=True)), key=lambda x: (-x[0], x[1]))
 
 
 def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
-    """(first word, end, words that differ) where the block holds the template, or None."""
+    """(first word, end, words that differ) where the block holds the template, or None.
+
+    The longest run of equal words is where the template may lie; if its wording does not hold there, what lies on
+    either side is searched in turn. With `most` words that differ, one of `most` + 1 runs is `least` words long.
+    """
+    most = int(MOST_DIFFERENT * len(template))
+    least = -(-(len(template) - most) // (most + 1))
     match = SequenceMatcher(None, block, template, autojunk=False)
-    same = [m for m in match.get_matching_blocks() if m.size]
+    todo = [(0, len(block))]
+    while todo:
+        low, high = todo.pop()
+        run = match.find_longest_match(low, high, 0, len(template))
+        if run.size < least:
+            continue
+        start = max(low, run.a - run.b - most)
+        if place := _placed(block[start : min(high, run.a + len(template) - run.b + most)], template):
+            return start + place[0], start + place[1], place[2]
+        todo += [(run.a + 1, high), (low, run.a + run.size - 1)]
+    return None
+
+
+def _placed(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
+    """The same in words around one run."""
+    same = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
     if not same or sum(m.size for m in same) < (1 - MOST_DIFFERENT) * len(template):
         return None
     first, end = same[0].a, same[-1].a + same[-1].size
@@ -127,6 +151,17 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | Non
     return first, end, count
 
 
+def likely(block: list[str]) -> list[int]:
+    """Templates that the block may hold: enough of their words are in it, and all that tell licences apart."""
+    have = Counter(block)
+    return [
+        i
+        for i, (_, template, _) in enumerate(_templates())
+        if all(w in have for w in TELLING.intersection(template))
+        and (Counter(template) & have).total() >= (1 - MOST_DIFFERENT) * len(template)
+    ]
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(licence, start, end) of every notice, in order; spans are code points."""
     out = set()
@@ -138,8 +173,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if len(words) < 3 or not _CUE.search(text, a, b):
                 continue
             small = [w[0].lower() for w in words]
-            held = []
-            for _, i in savings(text[a:b])[:KEPT]:
+            may, held = likely(small), []
+            # The ranking is an order only: no template is left out that the block may hold.
+            for _, i in savings(text[a:b], may):
                 name, template, _ = _templates()[i]
                 if place := wording(small, template):
                     held.append((place[2], -len(template), name, place))

@@ -67,7 +67,8 @@ MOST_DIFFERENT = 0.15  # of a template's words
 PIECE, STEP = 4000, 3000  # characters of a piece of a longer block, and from one to the next; templates fit into what they share
 
 _CUE = re.compile(CUES, re.IGNORECASE)
-_SENTENCE = re.compile(r".*?(?:[.!?:;](?=\s)|\n\s*\n|\Z)", re.DOTALL)
+#: No sentence ends before a digit: "License, v. 2.0" goes on.
+_SENTENCE = re.compile(r".*?(?:[.!?:;](?=\s)(?!\s+\d)|\n\s*\n|\Z)", re.DOTALL)
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 
 

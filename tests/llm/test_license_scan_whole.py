@@ -31,3 +31,23 @@ def test_a_near_miss_does_not_hide_the_notice_behind_it():
     miss = header.replace("version 3", "version 9")
     text = f"{miss} {header.replace('redistribute it', 'share it')}"
     assert [n for n, a, _ in L.find(text) if a > len(miss)] == ["GPL-3.0"]
+
+
+TEXTS = [(name, text) for name, texts in L.TEMPLATES.items() for text in texts]
+PLAIN = ("The weather was fine that day. ", " Then we all went home.")
+
+
+@pytest.mark.parametrize("name,text", TEXTS)
+def test_every_template_is_found(name, text):
+    assert [n for n, _, _ in L.find(text)] == [name]
+    (found,) = L.find(PLAIN[0] + text + PLAIN[1])
+    words = [m for m in L._WORD.finditer(text)]
+    assert found == (name, len(PLAIN[0]) + words[0].start(), len(PLAIN[0]) + words[-1].end())
+
+
+def test_mpl_notice_before_its_usual_second_sentence():
+    text = (
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"
+    )
+    assert L.find(text) == [("MPL-2.0", 3, text.index(". If"))]

@@ -3,7 +3,7 @@
 Sentences with words of licences, and those between them, are candidate blocks. Each block is compressed alone and with every
 template as a raw dictionary; the template that saves most is the likely source. The winner counts only if its
 exact wording holds: a run of the block's words that differs from the template in few words and in none of
-those that tell licences apart (names, versions, conditions).
+those that tell licences apart (names, versions, conditions). Short forms ("under the MIT License") hold word for word.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices and opening words of common licences.
+#: Usual notices, headers and opening words of common licences. Short forms are made of NAMES.
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
@@ -30,17 +30,57 @@ TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Apache License Version 2.0, January 2004",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+        "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ),
+    "LGPL-2.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission.",
+        "The name of the author may not be used to endorse or promote products derived from this software without specific prior written "
+        "permission.",
     ),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.",),
     "BSD-2-Clause": (
         "Released under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
@@ -54,35 +94,124 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
-    "CC0-1.0": ("Licensed under CC0 1.0 Universal.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0 Universal.",
+        "have waived all copyright and related or neighboring rights to this work",
+        "have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    ),
 }
+
+
+def _gnu(name: str, short: str, number: str) -> tuple[str, ...]:
+    full = f"GNU {name}"
+    own = [f"{x}{v}{number}" for x in (full, name, f"{full} ({short})", f"GNU {short}", short) for v in (" version ", " v", " v. ", " ")]
+    return (*own, f"{short}v{number}", f"version {number} of the {full}")
+
+
+def _cc(code: str, words: str) -> tuple[str, ...]:
+    full = f"Creative Commons {words} 4.0"
+    return f"CC {code} 4.0", f"{full} International License", f"{full} International", f"{full} License", f"{full} Unported License", full
+
+
+#: Names by which short notices call a licence.
+NAMES = {
+    "MIT": ("MIT License", "MIT", "Expat License", "MIT/Expat License"),
+    "Apache-2.0": tuple(f"{x}{v}2.0" for x in ("Apache License", "Apache Software License", "Apache") for v in (" Version ", " v", " v. ", " "))
+    + ("Apache 2.0 License", "Apache v2.0 License", "Apache Version 2.0 License", "ALv2"),
+    "GPL-3.0": _gnu("General Public License", "GPL", "3"),
+    "GPL-2.0": _gnu("General Public License", "GPL", "2"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "LGPL", "3"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "LGPL", "2.1"),
+    "LGPL-2.0": _gnu("Library General Public License", "LGPL", "2"),
+    "AGPL-3.0": _gnu("Affero General Public License", "AGPL", "3"),
+    "MPL-2.0": tuple(f"{x}{v}2.0" for x in ("Mozilla Public License", "MPL") for v in (" version ", " v", " v. ", " ")) + ("MPLv2.0",),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD 3-Clause", "New BSD License", "Modified BSD License", "three-clause BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "BSD 2-Clause", "Simplified BSD License", "FreeBSD License", "two-clause BSD License"),
+    "ISC": ("ISC License", "ISC"),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "CC0", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal"),
+    "Unlicense": ("Unlicense", "Unlicense License"),
+}
+FORMS = ("under the {}", "under {}", "under the terms of the {}", "under the terms and conditions of the {}", "under a {}", "under an {}")
+#: Words before a short form that belong to the notice.
+LEADS = frozenset("licensed licenced released distributed published available provided".split())
+#: A BSD text is told by its clauses: the opening words, followed by the third one before they come again.
+OPENING, THIRD = TEMPLATES["BSD-2-Clause"][1], TEMPLATES["BSD-3-Clause"][1:]
 #: Words that tell licences apart.
 TELLING = frozenset(
-    "mit apache gnu lesser affero mozilla bsd isc cc cc0 by sa nc nd clause general public unencumbered universal 0 1 1.0 2 2.0 2.1 3 3.0 4 4.0 "
-    "v1 v2 v3 sharealike noncommercial noderivatives not no".split()
+    "mit apache gnu gpl lgpl agpl lesser affero mozilla mpl bsd isc cc cc0 by sa nc nd clause general public unencumbered universal expat "
+    "0 1 1.1 2 2.1 3 4 5 two three four new modified simplified freebsd unlicense attribution sharealike noncommercial noderivatives noderivs zero "
+    "gplv2 gplv3 lgplv2 lgplv3 agplv3 mplv2 alv2 not no".split()
 )
-CUES = r"licen[cs]|copyright|permission|redistribut|free software|public domain|creative commons|\bcc0?[ -]"
+CUES = r"licen[cs]|copyright|permission|redistribut|free software|public domain|creative commons|\bcc0?[ -]|\b(?:[al]?gpl|mpl|alv2)|under\s+(?:the\s+|an?\s+)?(?:terms\s+)?(?:and\s+conditions\s+)?(?:of\s+the\s+)?(?:mit|isc|apache|bsd|gnu|cc0|mozilla)\b"
 MOST_DIFFERENT = 0.15  # of a template's words
 PIECE, STEP = 4000, 3000  # characters of a piece of a longer block, and from one to the next; templates fit into what they share
 
 _CUE = re.compile(CUES, re.IGNORECASE)
-#: No sentence ends before a digit: "License, v. 2.0" goes on.
-_SENTENCE = re.compile(r".*?(?:[.!?:;](?=\s)(?!\s+\d)|\n\s*\n|\Z)", re.DOTALL)
+#: No sentence ends before a digit or at a colon: "License, v. 2.0" and "License-Identifier: MIT" go on.
+_SENTENCE = re.compile(r".*?(?:[.!?;](?=\s)(?!\s+\d)|\n\s*\n|\Z)", re.DOTALL)
+_FURTHER = re.compile(r"-(?:0|nc|nd|sa)\b", re.IGNORECASE)
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 
 
+def _word(word: str) -> str:
+    """A word as it is compared: "v3.0" and "GPLv3.0" count as "3" and "gplv3"."""
+    return re.sub(r"(?<=\d)\.0$", "", re.sub(r"^v(?=\d)", "", word.lower()))
+
+
+def words_of(text: str, start: int = 0, end: int | None = None) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words as they are compared, and their spans."""
+    found = list(_WORD.finditer(text, start, len(text) if end is None else end))
+    return [_word(m[0]) for m in found], [m.span() for m in found]
+
+
 @lru_cache(maxsize=1)
 def _templates():
     """(licence, words, dictionary) of every template."""
     kind = zstandard.DICT_TYPE_RAWCONTENT
     return [
-        (name, [w.lower() for w in _WORD.findall(text)], zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=kind))
+        (name, words_of(text)[0], zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=kind))
         for name, texts in TEMPLATES.items()
         for text in texts
     ]
 
 
+@lru_cache(maxsize=1)
+def _forms():
+    """(licence of the words of every short form, lengths of the forms from the longest on)."""
+    forms = {tuple(words_of(form.format(x))[0]): name for name, names in NAMES.items() for x in names for form in FORMS}
+    forms |= {tuple(words_of(f"SPDX-License-Identifier: {name}")[0]): name for name in TEMPLATES}
+    return forms, sorted({len(f) for f in forms}, reverse=True)
+
+
+def short_forms(block: list[str]):
+    """(0, -words, licence, -1, place) of the short forms in the block, which hold word for word."""
+    forms, lengths = _forms()
+    for at, word in enumerate(block):
+        if word in ("under", "spdx"):
+            for n in lengths:
+                if at + n <= len(block) and (name := forms.get(tuple(block[at : at + n]))):
+                    first = at - (at > 0 and block[at - 1] in LEADS)
+                    yield 0, first - at - n, name, -1, (first, at + n, 0)
+                    break
+
+
+@lru_cache(maxsize=1)
+def _grouped():
+    """Templates by the words in them that tell licences apart, each with the counts of its words."""
+    out: dict[frozenset[str], list] = {}
+    for i, (_, words, _) in enumerate(_templates()):
+        out.setdefault(TELLING.intersection(words), []).append((i, Counter(words)))
+    return list(out.items())
+
+
 def blocks_of(text: str) -> list[tuple[int, int]]:
     """Spans of candidate blocks: sentences with a cue, joined over at most one sentence between them."""
     out: list[list[int]] = []
@@ -130,7 +259,7 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | Non
         start = max(low, run.a - run.b - most)
         if place := _placed(block[start : min(high, run.a + len(template) - run.b + most)], template):
             return start + place[0], start + place[1], place[2]
-        todo += [(run.a + 1, high), (low, run.a + run.size - 1)]
+        todo += [(run.a + run.size, high), (low, run.a)]
     return None
 
 
@@ -157,35 +286,57 @@ def likely(block: list[str]) -> list[int]:
     have = Counter(block)
     return [
         i
-        for i, (_, template, _) in enumerate(_templates())
-        if all(w in have for w in TELLING.intersection(template))
-        and (Counter(template) & have).total() >= (1 - MOST_DIFFERENT) * len(template)
+        for telling, own in _grouped()
+        if telling <= have.keys()
+        for i, counts in own
+        if sum(min(n, have[w]) for w, n in counts.items()) >= (1 - MOST_DIFFERENT) * counts.total()
     ]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """(licence, start, end) of every notice, in order; spans are code points."""
-    out = set()
+    out = {}
     for a, b in blocks_of(text):
         todo = [(a, b)]
         while todo:  # what lies on either side of a notice is a block again
             a, b = todo.pop()
-            words = list(_WORD.finditer(text, a, b))
-            if len(words) < 3 or not _CUE.search(text, a, b):
+            small, spans = words_of(text, a, b)
+            if len(small) < 3 or not _CUE.search(text, a, b):
                 continue
-            small = [w[0].lower() for w in words]
-            may, held = likely(small), []
+            may, held = likely(small), list(short_forms(small))
             # The ranking is an order only: no template is left out that the block may hold.
             for _, i in savings(text[a:b], may):
                 name, template, _ = _templates()[i]
                 if place := wording(small, template):
-                    held.append((place[2], -len(template), name, place))
+                    held.append((place[2], -len(template), name, i, place))
             if held:
-                _, _, name, (first, end, _) = min(held)
-                start, stop = words[first].start(), words[end - 1].end()
-                out.add((name, start, stop))
+                _, _, name, i, (first, end, _) = min(held)
+                start, stop = spans[first][0], spans[end - 1][1]
+                # "MIT-0" is another licence than "MIT".
+                if not _FURTHER.match(text, stop):
+                    out[name, start, stop] = i
                 todo += [(a, start), (stop, b)]
-    return sorted(out, key=lambda x: (x[1], x[2]))
+    return _clauses(sorted(out.items(), key=lambda x: (x[0][1], x[0][2])))
+
+
+def _clauses(found: list[tuple[tuple[str, int, int], int]]) -> list[tuple[str, int, int]]:
+    """One notice of the opening words of a BSD text and the third clause behind them."""
+    templates = _templates()
+    opening, third = words_of(OPENING)[0], [words_of(x)[0] for x in THIRD]
+    out: list[tuple[str, int, int]] = []
+    opened = None
+    for k, (notice, i) in enumerate(found):
+        # The pieces of a long block share words; a notice that one of them cuts is a part of the other's.
+        if any(x != notice and x[1] <= notice[1] and notice[2] <= x[2] for x, _ in found[max(0, k - 2) : k + 3]):
+            continue
+        if i >= 0 and templates[i][1] == opening:
+            opened = len(out)
+        elif i >= 0 and templates[i][1] in third and opened is not None:
+            out[opened] = ("BSD-3-Clause", out[opened][1], notice[2])
+            opened = None
+            continue
+        out.append(notice)
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:

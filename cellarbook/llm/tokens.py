@@ -3,7 +3,8 @@
 The tokenizers used here decide ids word by word. So a text is cut where no token and no rule of the tokenizer
 can reach across, each distinct piece is encoded once by the `tokenizers` library, and the ids of a text are
 the pieces' ids one after the other. Where a cut may be made is part of the tokenizer's description
-(`Vocabulary.cut`); without it every text goes to the library whole.
+(`Vocabulary.cut`); without it every text goes to the library whole. So does a text that holds an added token of the
+tokenizer file (as "<|endoftext|>"), which the library finds in the raw text.
 """
 
 from __future__ import annotations
@@ -71,8 +72,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
-        self.tokenizer.encode_special_tokens = True
         self.cut, self.end_id = vocabulary.cut, vocabulary.end_id
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added) and self.tokenizer.normalizer is not None:
+            self.cut = None  # Such a token may come up only in the normalized text.
+        self.added = [t.content.encode() for t in added if t.content]
         self._clear()
 
     def _clear(self) -> None:
@@ -123,31 +127,58 @@ class Encoder:
         self.met = np.concatenate([self.met, np.zeros(len(hashes), bool)])
         self.used += len(flat)
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text holds an added token, in capitals or small letters as the pieces have them."""
+        found = np.zeros(len(offsets) - 1, bool)
+        lower = self.cut == "drop_space"
+        raw = (LOWER[data] if lower else data).tobytes()
+        for content in self.added:
+            own = content.translate(LOWER.tobytes()) if lower else content
+            at = raw.find(own)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                found[text] = True  # or it begins there and ends in the next text; then the library does no harm
+                at = raw.find(own, max(at + 1, int(offsets[text + 1]) - len(own) + 1))
+        return found
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        return self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+
+    def _in_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = LOWER[data] if self.cut == "drop_space" else data
+        starts, ends = cut_pieces(data, offsets, self.cut)
+        distinct, at, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.slot) > TABLE_PIECES:
+            self._trim()
+        keys = distinct.tolist()
+        slots = list(map(self.slot.get, keys))
+        self.met[[x for x in slots if x is not None]] = True
+        if new := [i for i, x in enumerate(slots) if x is None]:
+            raw, where = data.tobytes(), at[new]
+            spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
+            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            slots = list(map(self.slot.get, keys))
+        slots = np.array(slots, np.int64)[inverse]
+        piece_ids = self.length[slots]
+        flat = self.ids[ragged(self.start[slots], piece_ids)]
+        sums = np.concatenate([[0], np.cumsum(piece_ids)])
+        return flat, np.diff(sums[np.searchsorted(starts, offsets)])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, first id of each text and the end)."""
         texts = len(offsets) - 1
         if self.cut is None:
-            raw = data.tobytes()
-            flat, lengths = self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])])
+            flat, lengths = self._whole(data, offsets)
+        elif not (whole := self._with_added(data, offsets)).any():
+            flat, lengths = self._in_pieces(data, offsets)
         else:
-            data = LOWER[data] if self.cut == "drop_space" else data
-            starts, ends = cut_pieces(data, offsets, self.cut)
-            distinct, at, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-            if len(self.slot) > TABLE_PIECES:
-                self._trim()
-            keys = distinct.tolist()
-            slots = list(map(self.slot.get, keys))
-            self.met[[x for x in slots if x is not None]] = True
-            if new := [i for i, x in enumerate(slots) if x is None]:
-                raw, where = data.tobytes(), at[new]
-                spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
-                self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-                slots = list(map(self.slot.get, keys))
-            slots = np.array(slots, np.int64)[inverse]
-            piece_ids = self.length[slots]
-            flat = self.ids[ragged(self.start[slots], piece_ids)]
-            sums = np.concatenate([[0], np.cumsum(piece_ids)])
-            lengths = np.diff(sums[np.searchsorted(starts, offsets)])
+            sizes, lengths, parts = np.diff(offsets), np.zeros(texts, np.int64), []
+            for own, ids_of in ((whole, self._whole), (~whole, self._in_pieces)):
+                ids, lengths[own] = ids_of(data[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]))
+                parts.append(ids)
+            flat, from_whole = np.empty(lengths.sum(), np.uint32), np.repeat(whole, lengths)
+            flat[from_whole], flat[~from_whole] = parts
         # The end id behind each text.
         first = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
         out = np.full(first[-1], self.end_id, np.uint32)

@@ -25,7 +25,9 @@ SAMPLE, SAMPLE_BLOCKS = 2048, 60_000
 ADJACENT, SAME_PARENT = 0.4, 0.8
 
 #: Names in HTML and in common markup.
-UNSEEN = "script style noscript template svg iframe object canvas math head title textarea select button"
+RAW = "script style title textarea"  # up to their closing tag, whatever is between
+UNSEEN = frozenset("noscript template svg iframe object canvas select button annotation annotation-xml".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,10 +44,11 @@ FRAME_PARTS = re.compile("advert|cookie|sidebar|footer|comment|newsletter|breadc
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + UNSEEN.replace(" ", "|") + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?![\w:-])[^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+_CLOSE = {raw: re.compile(rf"</{raw}\s*>", re.IGNORECASE) for raw in RAW.split()}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
@@ -78,8 +81,42 @@ class Block:
         self.text, self.linked, self.element, self.parent = text, linked, element, parent
 
 
+def _tags(page: str) -> tuple[list[tuple[int, int, re.Match]], dict[int, int]]:
+    """(start, end, match) of every tag or comment, raw text included, and of each unseen element the tag that closes it."""
+    tags, closed, at = [], {}, 0
+    stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            # In svg and math, "/>" closes any element.
+            if not (page[at - 2] == "/" and any(open_.get(x) for x in FOREIGN)):
+                close = _CLOSE[m["raw"].lower()].search(page, at)
+                at = close.end() if close else len(page)
+        elif m["tag"]:
+            tag = m["tag"].lower()
+            if not m["end"]:
+                if tag not in VOID and not m["attrs"].endswith("/"):
+                    stack.append((tag, len(tags)))
+                    open_[tag] = open_.get(tag, 0) + 1
+            elif open_.get(tag):
+                while True:
+                    name, number = stack.pop()
+                    open_[name] -= 1
+                    if name == tag:
+                        break
+                if tag in UNSEEN:
+                    closed[number] = len(tags)
+        tags.append((m.start(), at, m))
+    return tags, closed
+
+
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order; scripts, styles, comments and markup are gone, references are decoded."""
+    """Text blocks in page order; scripts, styles, comments and markup are gone, references are decoded.
+
+    An unseen element that nothing closes ends before the next block, or with the element around it. <head> hides
+    nothing: its title, script and style are raw text, and any other text ends it.
+    """
     root = _Element("", "", None, 0)
     stack, out, number = [root], [], 0
     parts: list[str] = []
@@ -94,17 +131,31 @@ def blocks_of(page: str) -> list[Block]:
             out.append(Block(text, linked, holder, around.number))
         parts, linked = [], 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
+    at, skip, hidden = 0, -1, False
+    tags, closed = _tags(page)
+    for k, (start, end, m) in enumerate(tags):
+        if k <= skip:
+            at = end
+            continue
+        if start > at and not hidden:
+            parts.append(page[at:start])
+            linked += (start - at) * (links > 0)
+        at = end
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("head", "title"):
+            if m["raw"] and m["raw"].lower() == "title":
                 flush()
             continue
+        if hidden:
+            hidden = tag.lower() not in BLOCKS and not (m["end"] and any(e.tag == tag.lower() for e in stack))
+            if hidden:
+                continue
+        if tag.lower() == "head":
+            flush()
+            continue
+        if tag.lower() in UNSEEN and not m["end"] and not m["attrs"].endswith("/"):
+            skip, hidden = closed.get(k, -1), k not in closed
+            continue
         tag = tag.lower()
         if tag in BLOCKS:
             flush()
@@ -128,7 +179,7 @@ def blocks_of(page: str) -> list[Block]:
         links += tag == "a"
         number += 1
         stack.append(_Element(tag, m["attrs"], stack[-1], number))
-    if at < len(page):
+    if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
     return out

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarbook.llm import html_extract, license_scan, mixing, ngram_join, packing, pii, quality, token_codes, vector_dups, vector_search
+from cellarbook.llm import (
+    html_extract,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    token_codes,
+    vector_dups,
+    vector_search,
+    whitening,
+)
 from cellarbook.llm.tokens import Vocabulary
 from cellarbook.session import scratch_path
 
@@ -126,3 +138,14 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     names = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["license"]))))
     spans = F.transform("found", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
     return found.select("doc_id", F.size("found").cast("long").alias("n_notices"), names.alias("licenses"), F.concat_ws(",", spans).alias("spans"))
+
+
+@query
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on the eight leading components of their covariance, each scaled to variance 1."""
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit(vectors)
+    error = F.lit(whitening.identity_error(vectors, model)).cast("double").alias("identity_error")
+    deviation = F.expr("try_cast(deviation AS long)").alias("deviation")
+    n = F.lit(model.n).cast("long").alias("n")
+    return whitening.whiten(vectors, model).select("vec_id", "component", n, deviation, "whitened", "explained", error)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 EPS = float(np.finfo(np.float64).eps)
-CLOSE = 1e-10
+CLOSE = 1e-9
 
 
 def polar(a: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarbook.llm import (
+    code_books,
     html_extract,
     license_scan,
     mixing,
@@ -21,6 +22,7 @@ from cellarbook.llm import (
     whitening,
 )
 from cellarbook.llm.tokens import Vocabulary
+from cellarbook.operators.joins import fits_broadcast
 from cellarbook.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +151,14 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     deviation = F.expr("try_cast(deviation AS long)").alias("deviation")
     n = F.lit(model.n).cast("long").alias("n")
     return whitening.whiten(vectors, model).select("vec_id", "component", n, deviation, "whitened", "explained", error)
+
+
+@query
+def op13_code_books(spark: SparkSession, folder: str) -> DataFrame:
+    """Four bytes for every embedding, and what they miss."""
+    codes, books = code_books.compress(table(spark, folder, "embeddings"), ["label"])
+    sums = codes.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    sums = F.broadcast(sums) if fits_broadcast(codes.select("label")) else sums
+    digest = F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256")
+    joined = codes.join(sums, F.col("label").eqNullSafe(F.col("_label")))
+    return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)

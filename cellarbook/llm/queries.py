@@ -16,6 +16,7 @@ from cellarbook.llm import (
     packing,
     pii,
     quality,
+    suffix_dedup,
     token_codes,
     vector_dups,
     vector_search,
@@ -162,3 +163,11 @@ def op13_code_books(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256")
     joined = codes.join(sums, F.col("label").eqNullSafe(F.col("_label")))
     return joined.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every whole text without the 50-byte strings that an earlier document has."""
+    left = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    return left.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,6 +22,7 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from cellarbook.llm.words import runs as runs_of
 LENGTH = 50
 CHUNK_BYTES = 1 << 22
 SAMPLE = 16_384  # leading parts that splitters are chosen from
+RANGES = 16  # ranges of leading parts that share a bucket; shared parts are not spread like all parts
 HOT = 1024  # documents with one leading part, beyond which its suffixes are dealt one by one
 LAST = 2**63 - 1  # place of a document without doc_id
 
@@ -88,15 +90,15 @@ class Chunk:
         return h[heads], np.minimum(np.add.reduceat(other, heads, dtype=np.int64) if len(heads) else heads, 255).astype(np.uint8)
 
     def pieces(self, chosen: np.ndarray, hot: np.ndarray):
-        """(stretch, start, end, single) of the chosen stretches; hot ones suffix by suffix."""
-        s = self.cuts
-        for i in np.flatnonzero(chosen).tolist():
-            first, last = int(s.first[i]), int(s.last[i])
-            if hot[i]:
-                for a in range(first, last + 1):
-                    yield i, a, a + self.length, True
+        """(start, end, document's place, leading part's start or -1) of chosen stretches; hot ones suffix by suffix."""
+        s, at = self.cuts, np.flatnonzero(chosen)
+        columns = s.first[at], s.last[at] + self.length, self.place[s.text[at]], np.where(hot[at], -1, s.lead[at])
+        for a, b, place, lead in zip(*(c.tolist() for c in columns), strict=True):
+            if lead >= 0:
+                yield a, b, place, lead
             else:
-                yield i, first, last + self.length, False
+                for first in range(a, b - self.length + 1):
+                    yield first, first + self.length, place, lead
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -137,28 +139,31 @@ def _send_pieces(chunk: int, docs: pa.Table, shared: pa.Table, length: int, spli
     hashes, hot = _long(shared["hashes"].to_pylist()), _column(shared, "hot", bool)
     chosen, single = _among(own.cuts.hash, np.sort(hashes)) >= 0, _among(own.cuts.hash, np.sort(hashes[hot])) >= 0
     seen, out = set(), [([], [], [], []) for _ in range(buckets)]
-    text, lead = own.cuts.text.tolist(), own.cuts.lead.tolist()
-    for i, a, b, alone in own.pieces(chosen, single):
+    for a, b, place, lead in own.pieces(chosen, single):
         piece = own.raw[a:b]
         if piece not in seen:  # documents come in order, so the first one has the smallest place
             seen.add(piece)
-            bucket = zlib.crc32(piece) % buckets if alone else bisect_right(splitters, own.raw[lead[i] : lead[i] + length // 2])
-            for column, value in zip(out[bucket], (a, own.place[text[i]], b - a, piece), strict=True):
-                column.append(value)
+            to = out[zlib.crc32(piece) % buckets if lead < 0 else bisect_right(splitters, own.raw[lead : lead + length // 2]) % buckets]
+            to[0].append(a)
+            to[1].append(place)
+            to[2].append(b - a)
+            to[3].append(piece)
+    pack = zstandard.ZstdCompressor(level=1).compress
     rows = [
-        (n, chunk, np.array(o[0], "<i8").tobytes(), np.array(o[1], "<i8").tobytes(), np.array(o[2], "<u2").tobytes(), b"".join(o[3]), None)
+        (n, chunk, np.array(o[0], "<u4").tobytes(), np.array(o[1], "<i8").tobytes(), np.array(o[2], "<u2").tobytes(), pack(b"".join(o[3])), None)
         for n, o in enumerate(out)
         if o[0]
     ]
     if hot.any():
-        rows.append((chunk % buckets, chunk, b"", b"", b"", b"", _short(hashes[hot])))
+        rows.append((chunk % buckets, chunk, b"", b"", b"", pack(b""), _short(hashes[hot])))
     return _table(_PIECES, rows)
 
 
 def _least_owners(sent: pa.Table, length: int) -> pa.Table:
     """Sort one range's suffixes, and tell each chunk of pieces that a smaller document has in part or whole."""
     owner, sizes = _column(sent, "owner", "<i8"), _column(sent, "size", "<u2").astype(np.int64)
-    ends, blob = np.cumsum(sizes), b"".join(sent["bytes"].to_pylist())
+    unpack = zstandard.ZstdDecompressor().decompress
+    ends, blob = np.cumsum(sizes), b"".join(map(unpack, sent["bytes"].to_pylist()))
     number: dict[bytes, int] = {}
     spans = zip((ends - sizes).tolist(), ends.tolist(), strict=True)
     which = np.fromiter((number.setdefault(blob[a:b], len(number)) for a, b in spans), np.int64, len(sizes))
@@ -173,7 +178,7 @@ def _least_owners(sent: pa.Table, length: int) -> pa.Table:
     heads = np.flatnonzero(new)
     run_sizes, run_least, run_first = np.diff(np.concatenate([heads, [len(found)]])), found[heads], np.searchsorted(heads, first)
     smallest = np.minimum.reduceat(found, first[:-1]) if len(found) else found
-    place, rows, begin = _column(sent, "place", "<i8"), [], 0
+    place, rows, begin = _column(sent, "place", "<u4"), [], 0
     for chunk, raw, hot in zip(*(sent[c].to_pylist() for c in ("chunk", "size", "hot")), strict=True):
         at = np.arange(begin, begin + len(raw) // 2)
         begin += len(at)
@@ -181,14 +186,14 @@ def _least_owners(sent: pa.Table, length: int) -> pa.Table:
         if len(at) or hot:
             runs = run_first[which[at] + 1] - run_first[which[at]]
             own = ragged(run_first[which[at]], runs)
-            parts = (place[at].astype("<i8"), sizes[at].astype("<u2"), runs.astype("<u2"), run_sizes[own].astype("<u2"), run_least[own].astype("<i8"))
+            parts = (place[at], sizes[at].astype("<u2"), runs.astype("<u2"), run_sizes[own].astype("<u2"), run_least[own].astype("<i8"))
             rows.append((chunk, *(p.tobytes() for p in parts), hot))
     return _table(_FOUND, rows)
 
 
 def _covered(own: Chunk, found: pa.Table) -> np.ndarray:
     """Which bytes of a chunk are covered by a suffix's first bytes that a smaller document has as well."""
-    place, size = _column(found, "place", "<i8"), _column(found, "size", "<u2").astype(np.int64)
+    place, size = _column(found, "place", "<u4").astype(np.int64), _column(found, "size", "<u2").astype(np.int64)
     runs, run, least = _column(found, "runs", "<u2").astype(np.int64), _column(found, "run", "<u2").tolist(), _column(found, "least", "<i8").tolist()
     ends = np.cumsum(runs)
     told = {
@@ -200,15 +205,22 @@ def _covered(own: Chunk, found: pa.Table) -> np.ndarray:
     said = np.unique(own.cuts.hash[np.searchsorted(own.cuts.first, place, "right") - 1])
     chosen = np.union1d(hashes[counts > 1], said)
     hot = np.sort(_long([h for h in found["hot"].to_pylist() if h]))
-    edge, first = np.zeros(len(own.raw) + 1, np.int32), {}
-    text = own.cuts.text.tolist()
-    for i, a, b, _ in own.pieces(_among(own.cuts.hash, chosen) >= 0, _among(own.cuts.hash, hot) >= 0):
-        piece, mine = own.raw[a:b], own.place[text[i]]
-        for n, smallest in told.get(piece) or [(b - a - own.length + 1, first.setdefault(piece, mine))]:
-            if smallest < mine:
-                edge[a] += 1
-                edge[a + n - 1 + own.length] -= 1
-            a += n
+    starts, ends, first = [], [], {}
+    for a, b, mine, _ in own.pieces(_among(own.cuts.hash, chosen) >= 0, _among(own.cuts.hash, hot) >= 0):
+        piece = own.raw[a:b]
+        if (about := told.get(piece)) is None:
+            if first.setdefault(piece, mine) < mine:
+                starts.append(a)
+                ends.append(b)
+        else:
+            for n, smallest in about:
+                if smallest < mine:
+                    starts.append(a)
+                    ends.append(a + n - 1 + own.length)
+                a += n
+    edge = np.zeros(len(own.raw) + 1, np.int64)
+    np.add.at(edge, np.array(starts, np.int64), 1)
+    np.add.at(edge, np.array(ends, np.int64), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -232,12 +244,17 @@ def _results(docs: pa.Table, found: pa.Table, length: int) -> pa.Table:
     return pa.Table.from_arrays(arrays, schema=_OUT)
 
 
-def _splitters(rows: DataFrame, length: int, buckets: int) -> list[bytes]:
-    """Ends of ranges of leading parts with about equal shares, from a place of each text; bounded by SAMPLE or the ranges."""
+def _splitters(rows: DataFrame, count: int, length: int, ranges: int) -> list[bytes]:
+    """Ends of ranges of leading parts with about equal shares.
+
+    They are chosen from one place of about SAMPLE texts, or four a range; results do not depend on them.
+    """
+    most = max(SAMPLE, 4 * ranges)
     at = F.expr(f"1 + pmod(xxhash64(text, doc_id), greatest(octet_length(text) - {length // 2}, 1))")
-    part = rows.select(F.substring("text", at, F.lit(length // 2)).alias("part"), F.xxhash64("doc_id", "text").alias("h"))
-    sample = sorted(bytes(r["part"]) for r in part.orderBy("h", "part").limit(max(SAMPLE, 8 * buckets)).collect())
-    return [sample[len(sample) * i // buckets] for i in range(1, buckets)] if sample else []
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(max(1, count // most))) == 0)
+    part = some.select(F.substring("text", at, F.lit(length // 2)).alias("part")).distinct().limit(2 * most)
+    sample = sorted(bytes(r["part"]) for r in part.collect())
+    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -254,12 +271,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
     spark = docs.sparkSession
     ids = F.col("doc_id").cast("long")
     rows = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(LAST)).alias("place"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(2 * parts, -(-size // chunk_bytes))
     parts = max(parts, chunks // 2)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(parts, "chunk")
-    splitters = _splitters(rows, length, parts)
+    splitters = _splitters(rows, count, length, RANGES * parts)
 
     def send_leads(key, table):
         return _send_leads(key[0].as_py(), table, length, parts)

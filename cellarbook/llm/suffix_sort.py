@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cellarbook.llm.words import hash_spans, ragged
+from cellarbook.llm.words import hash_windows, ragged
 
 BLOCK = 1 << 20
 HASH_BITS = 48
@@ -54,9 +54,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Stretches:
         piece = data[a : a + BLOCK + length - 1]
         if len(piece) < length:
             break
-        at = np.arange(len(piece) - lead + 1)
-        hashes = hash_spans(piece, at, at + lead)
-        least = _smallest((hashes & ~low) | at.astype(np.uint64), length - lead + 1)[:BLOCK]
+        hashes = hash_windows(piece, lead)
+        least = _smallest((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - lead + 1)[:BLOCK]
         start = np.flatnonzero(short[a : a + len(least)] == 0)
         if not len(start):
             continue
@@ -94,7 +93,7 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
         if length < 8:
             letters >>= np.uint64(8 * (8 - length))
         run = np.cumsum(new)[tied]
-        by = np.lexsort((letters, run))
+        by = np.lexsort((letters, run)) if place else np.argsort(letters, kind="stable")
         order[tied] = own[by]
         letters = letters[by]
         new[tied[1:]] |= (letters[1:] != letters[:-1]) | (run[1:] != run[:-1])

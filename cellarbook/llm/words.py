@@ -83,6 +83,15 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverses[starts])
 
 
+def hash_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """`hash_spans` of every run of `width` bytes."""
+    powers, inverses = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * powers[: len(data)], out=sums[1:])
+    runs_of_width = sums[width:] - sums[: len(sums) - width]
+    return mix(runs_of_width * inverses[: len(runs_of_width)])
+
+
 @dataclass
 class Words:
     """Words of a run of texts: byte spans, hashes, and the first word of each text (and the end)."""

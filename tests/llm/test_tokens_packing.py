@@ -20,7 +20,6 @@ def whole(name, texts, end):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path(name))
-    own.encode_special_tokens = True
     return [x.ids + [end] for x in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 

@@ -29,7 +29,7 @@ PERIOD = "2024.03.03"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Round doubles to four decimals; NaN and infinities stay what they are.
+    """Round doubles to four decimals; NaN and infinities stay what they are, and -0.0 becomes 0.0.
 
     Sums added up in another order differ in their last bits. The ninth decimal is settled first, so that a
     value right between two results does not fall to either side because of that.
@@ -38,7 +38,7 @@ def settle(df: DataFrame) -> DataFrame:
     def shown(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return F.round(F.round(c, 9), 4).alias(field.name)
+            return (F.round(F.round(c, 9), 4) + F.lit(0.0)).alias(field.name)
         return c
 
     return df.select(*[shown(f) for f in df.schema.fields])

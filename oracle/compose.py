@@ -24,8 +24,8 @@ def compose(sql: str, parts: dict[str, str]) -> str:
 
 
 def settled(expr: str) -> str:
-    """Four decimals, as `cellarbook.plans.catalog.settle` rounds them."""
-    return f"round(round(CAST({expr} AS DOUBLE), 9), 4)"
+    """Four decimals, as `cellarbook.plans.catalog.settle` rounds them; adding zero makes -0.0 a plain 0.0."""
+    return f"round(round(CAST({expr} AS DOUBLE), 9), 4) + 0.0"
 
 
 def rounded(table: str, doubles: str = "") -> str:

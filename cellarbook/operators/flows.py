@@ -50,29 +50,28 @@ def flow_days(
     return long.groupBy(KEY, DAY).agg(*sums, *counts)
 
 
-def sum_over_periods(periods: DataFrame, days: DataFrame, key: str, upper: bool) -> DataFrame:
+def sum_over_periods(
+    periods: DataFrame, days: DataFrame, key: str, upper: bool, spelled: DataFrame | None = None
+) -> DataFrame:
     """Add to each period the flow sums of its days: start < day <= close.
 
     Instead of comparing each period with each day of its item, periods and days are put in one descending
     order per item and every day picks up the last closing date seen, so the work is linear. Spellings of
     an item that differ in case only (`upper`) each get their own copy of the shared flows first, because
     their periods may overlap; those of one spelling never do, and no two of them close on one day. Empty
-    periods take nothing in and pass by.
+    periods take nothing in and pass by. `spelled` may hold the spellings where they are known without
+    working out the periods.
     """
     measures = [c for c in days.columns if c not in (KEY, DAY)]
-    attributes = periods.columns
     nothing = [F.lit(None).cast(days.schema[m].dataType).alias(m) for m in measures]
-    is_empty = F.col("fecha_inicio") >= F.col("fecha_cierre")
-    empty = periods.filter(is_empty).select(*attributes, *nothing)
-    periods = periods.filter(~is_empty)
     if upper:
-        spellings = periods.select(F.col(key).alias("_raw"), F.upper(key).alias(KEY)).distinct()
-        days = days.join(spellings, KEY).withColumn(KEY, F.col("_raw")).drop("_raw")
+        items = (periods if spelled is None else spelled).select(F.col(key).alias("_raw")).distinct()
+        days = days.join(items.withColumn(KEY, F.upper("_raw")), KEY).withColumn(KEY, F.col("_raw")).drop("_raw")
 
     marks = periods.select(
         F.col(key).cast("string").alias(KEY),
         F.col("fecha_cierre").alias(DAY),
-        F.struct(*attributes).alias("_own"),
+        F.struct(*periods.columns).alias("_own"),
         *nothing,
     )
     own_type = marks.schema["_own"].dataType
@@ -83,15 +82,18 @@ def sum_over_periods(periods: DataFrame, days: DataFrame, key: str, upper: bool)
         .orderBy(F.col(DAY).desc(), F.col("_own").isNull().asc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = line.withColumn("_closing", F.last("_own", ignorenulls=True).over(latest_first)).withColumn(
-        "_period", F.when(F.col(DAY) > F.col("_closing.fecha_inicio"), F.col("_closing"))
+    lasting = F.when(F.col("_own.fecha_inicio") < F.col("_own.fecha_cierre"), F.col("_own"))
+    placed = line.withColumn("_closing", F.last(lasting, ignorenulls=True).over(latest_first)).withColumn(
+        "_period", F.coalesce("_own", F.when(F.col(DAY) > F.col("_closing.fecha_inicio"), F.col("_closing")))
     )
     summed = (
         placed.filter(F.col("_period").isNotNull())
         .groupBy(KEY, "_period")
-        .agg(*[F.sum(m).alias(m) for m in measures])
+        .agg(F.count("_own").alias("_times"), *[F.sum(m).alias(m) for m in measures])
     )
-    return summed.select("_period.*", *measures).unionByName(empty)
+    # Empty periods of equal counts are alike, and stay as many as they were.
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_nth")
+    return summed.select("_period", *measures, each).select("_period.*", *measures)
 
 
 def on_same_day(days_of_periods: DataFrame, days: DataFrame, key: str, upper: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_DAYS = 7
@@ -19,87 +19,71 @@ def average_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.groupBy(*keys, "fecha").agg(F.avg("cantidad").alias("cantidad"))
 
 
-def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_per_day: bool = False) -> DataFrame:
-    """Periods with a closing count.
+def _counts_in_order(counts: DataFrame, key: str, carry: Sequence[str], one_per_day: bool) -> DataFrame:
+    """Each distinct count with its number, the count before it, and the item's last known count.
 
-    Several counts of one item on one day are taken in order of quantity, each but the first closing an
-    empty period. Equal counts are counted first and repeated at the end, the others are put in order
-    within (item, day), so a window over a whole item sees one row per day and is bounded by the
-    calendar, however many counts the item has. `one_per_day` says that this is known already.
+    Equal counts are one row here, so the window over an item is as long as it has different counts. It is
+    read in order, so its rows may be more than memory holds.
     """
-    over_days = Window.partitionBy(key).orderBy("fecha")
     if one_per_day:
-        heads = counts.select(
-            key,
-            *carry,
-            F.lag("fecha").over(over_days).alias("fecha_inicio"),
-            F.col("fecha").alias("fecha_cierre"),
-            F.lag("cantidad").over(over_days).alias("inv_inicial"),
-            F.col("cantidad").alias("cierre"),
-        )
-        return heads.filter(F.col("fecha_inicio").isNotNull() & F.col("cierre").isNotNull())
-
-    within_day = Window.partitionBy(key, "fecha").orderBy(
-        F.col("cantidad").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in carry]
-    )
-    whole_day = within_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    distinct = counts.groupBy(key, *carry, "fecha", "cantidad").agg(F.count(F.lit(1)).alias("_copies"))
-    ranked = distinct.select(
-        key,
-        *carry,
-        "fecha",
-        "cantidad",
-        "_copies",
-        F.row_number().over(within_day).alias("_nth"),
-        F.lag("cantidad").over(within_day).alias("_before"),
-        F.last("cantidad").over(whole_day).alias("_last"),
-    )
-    heads = ranked.filter("_nth = 1").select(
-        key,
-        *carry,
-        F.lag("fecha").over(over_days).alias("fecha_inicio"),
-        F.col("fecha").alias("fecha_cierre"),
-        F.lag("_last").over(over_days).alias("inv_inicial"),
-        F.col("cantidad").alias("cierre"),
-    )
-    tails = ranked.filter("_nth > 1").select(
-        key,
-        *carry,
-        F.col("fecha").alias("fecha_inicio"),
-        F.col("fecha").alias("fecha_cierre"),
-        F.col("_before").alias("inv_inicial"),
-        F.col("cantidad").alias("cierre"),
+        distinct = counts.select(key, *carry, "fecha", "cantidad", F.lit(1).cast("bigint").alias("_copies"))
+    else:
+        distinct = counts.groupBy(key, *carry, "fecha", "cantidad").agg(F.count(F.lit(1)).alias("_copies"))
+    item = Window.partitionBy(key)
+    in_order = item.orderBy("fecha", F.col("cantidad").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in carry])
+    itself = F.struct("fecha", "cantidad", *carry)
+    return distinct.select(
+        "*",
+        F.lag("fecha").over(in_order).alias("_day_before"),
+        F.lag("cantidad").over(in_order).alias("_before"),
+        F.max(F.when(F.col("cantidad").isNotNull(), itself)).over(item).alias("_latest"),
+        itself.alias("_itself"),
     )
-    copies = ranked.filter("_copies > 1").select(
-        key,
-        *carry,
-        F.col("fecha").alias("fecha_inicio"),
-        F.col("fecha").alias("fecha_cierre"),
-        F.col("cantidad").alias("inv_inicial"),
-        F.col("cantidad").alias("cierre"),
-        F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_copies"))).alias("_copy"),
+
+
+def _period(start, end, opening, closing) -> Column:
+    return F.struct(
+        start.alias("fecha_inicio"), end.alias("fecha_cierre"), opening.alias("inv_inicial"), closing.cast("double").alias("cierre")
     )
-    made = heads.unionByName(tails).unionByName(copies.drop("_copy"))
-    return made.filter(F.col("fecha_inicio").isNotNull() & F.col("cierre").isNotNull())
 
 
-def open_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), days: int = OPEN_DAYS) -> DataFrame:
-    """The last known count of each item starts a period of `days` days that nothing closes yet.
+def _from_counts(counts: DataFrame, key: str, carry: Sequence[str], one_per_day: bool, closed: bool, days: int | None) -> DataFrame:
+    """Every count gives the periods that end or begin with it, from one pass over the counts in order."""
+    day, quantity = F.col("fecha"), F.col("cantidad")
+    nothing = F.array().cast("array<struct<fecha_inicio: date, fecha_cierre: date, inv_inicial: double, cierre: double>>")
+    made = []
+    if closed:
+        known = quantity.isNotNull()
+        ends = F.array(_period(F.col("_day_before"), day, F.col("_before").cast("double"), quantity))
+        again = F.array_repeat(_period(day, day, quantity.cast("double"), quantity), (F.col("_copies") - 1).cast("int"))
+        made += [F.when(known & F.col("_day_before").isNotNull(), ends).otherwise(nothing), F.when(known, again).otherwise(nothing)]
+    if days is not None:
+        begins = F.array(_period(day, F.date_add(day, days), quantity.cast("double"), F.lit(None)))
+        made.append(F.when(F.col("_itself").eqNullSafe(F.col("_latest")), begins).otherwise(nothing))
+    rows = _counts_in_order(counts, key, carry, one_per_day)
+    return rows.select(key, *carry, F.explode(F.concat(*made)).alias("_p")).select(key, *carry, "_p.*")
 
-    A maximum over (day, quantity, ...) combines on the map side; no item's counts are gathered.
+
+def closed_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_per_day: bool = False) -> DataFrame:
+    """Periods with a closing count.
+
+    Several counts of one item on one day are taken in order of quantity, each but the first closing an
+    empty period; of equal counts each but the first as well. `one_per_day` says that there are none.
     """
-    latest = counts.filter(F.col("cantidad").isNotNull()).groupBy(key).agg(
-        F.max(F.struct("fecha", "cantidad", *carry)).alias("_latest")
-    )
-    return latest.select(
-        key,
-        *[F.col(f"_latest.{c}").alias(c) for c in carry],
-        F.col("_latest.fecha").alias("fecha_inicio"),
-        F.date_add(F.col("_latest.fecha"), days).alias("fecha_cierre"),
-        F.col("_latest.cantidad").alias("inv_inicial"),
-        F.lit(None).cast("double").alias("cierre"),
-    )
+    return _from_counts(counts, key, carry, one_per_day, True, None)
+
+
+def open_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), days: int = OPEN_DAYS) -> DataFrame:
+    """The last known count of each item starts a period of `days` days that nothing closes yet."""
+    return _from_counts(counts, key, carry, False, False, days)
 
 
 def count_periods(counts: DataFrame, key: str, carry: Sequence[str] = (), one_per_day: bool = False) -> DataFrame:
-    return closed_periods(counts, key, carry, one_per_day).unionByName(open_periods(counts, key, carry))
+    """Closed and open periods, in one pass."""
+    return _from_counts(counts, key, carry, one_per_day, True, OPEN_DAYS)
+
+
+def last_close(counts: DataFrame) -> DataFrame:
+    """One row: the latest closing date of all periods, which is that of the last known count's open one."""
+    known = F.when(F.col("cantidad").isNotNull(), F.col("fecha"))
+    return counts.select(F.date_add(F.max(known), OPEN_DAYS).alias("fecha_cierre"))

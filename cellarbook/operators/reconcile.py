@@ -126,9 +126,12 @@ def area_flow_days(
     return flow_days(flows, area.counted, between)
 
 
-def reconcile_periods(periods: DataFrame, days: DataFrame, area: Area) -> DataFrame:
-    """One row per period: opening, flows, expected stock, closing count and difference."""
-    summed = sum_over_periods(periods, days, area.key, area.upper)
+def reconcile_periods(periods: DataFrame, days: DataFrame, area: Area, counts: DataFrame | None = None) -> DataFrame:
+    """One row per period: opening, flows, expected stock, closing count and difference.
+
+    `counts` are what the periods were made of; their items' spellings cost less to read than the periods'.
+    """
+    summed = sum_over_periods(periods, days, area.key, area.upper, counts)
     ids = [area.key, *area.carry]
     base = summed.select(*ids, "fecha_inicio", "fecha_cierre", "inv_inicial", "cierre", *area.measure_columns())
     total = [area.sold().alias("ventas_totales")] if area.show_total else []
@@ -146,6 +149,11 @@ def reconcile_periods(periods: DataFrame, days: DataFrame, area: Area) -> DataFr
     )
 
 
+def labelled(periods: DataFrame) -> DataFrame:
+    """Periods with their label: all that the days of a period need of it."""
+    return periods.withColumn("semana", period_label(F.col("fecha_cierre")))
+
+
 def days_of_periods(weekly: DataFrame, as_of: DateLike) -> DataFrame:
     """One row per day of each period, up to `as_of`; a period that has not begun by then has none."""
     first = F.date_add("fecha_inicio", 1)

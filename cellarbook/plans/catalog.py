@@ -257,8 +257,9 @@ def _register_area_reports() -> None:
 
     def sales(name):
         def build(spark, folder):
-            rows, _, _, categories, measure = _area_tables(spark, folder, name)
-            return reports.period_sales(rows, measure, categories)
+            rows, _, area, categories, measure = _area_tables(spark, folder, name)
+            latest = reports.latest_of(bound(spark, folder), reports.AREAS[name][0], area)
+            return reports.period_sales(rows, measure, categories, latest=latest)
 
         return build
 
@@ -289,8 +290,9 @@ _register_area_reports()
 
 @query("card_period_sales_total")
 def period_sales_total(spark, folder):
-    weekly, _, _, categories, measure = _area_tables(spark, folder, "bebidas")
-    return reports.period_sales(weekly, measure, categories, by_item=False)
+    weekly, _, area, categories, measure = _area_tables(spark, folder, "bebidas")
+    latest = reports.latest_of(bound(spark, folder), reports.AREAS["bebidas"][0], area)
+    return reports.period_sales(weekly, measure, categories, by_item=False, latest=latest)
 
 
 @query("card_weekly_dash_text")

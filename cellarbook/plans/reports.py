@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook import fixed_values as fixed
@@ -13,6 +13,7 @@ from cellarbook.functions.dates import iso_year_week, weekday_abbr
 from cellarbook.functions.numbers import dash_text, round_half_even
 from cellarbook.operators.joins import join_side
 from cellarbook.operators.reconcile import DRINKS_A, DRINKS_B, INGREDIENTS_A, INGREDIENTS_B, Area
+from cellarbook.plans.warehouse import Warehouse
 from cellarbook.site import Site
 
 AREAS: dict[str, tuple[str, Area, Sequence[str], str]] = {
@@ -106,9 +107,14 @@ def period_sales(
     item: str | None = None,
     by_item: bool = True,
     weeks: int = WEEKS,
+    latest: Column | None = None,
 ) -> DataFrame:
-    """Sales per period closing in the last weeks. The latest close is that of all categories."""
-    latest = weekly.select(F.max("fecha_cierre")).scalar()
+    """Sales per period closing in the last weeks. The latest close is that of all categories.
+
+    Who knows that date gives it as `latest` (`Warehouse.last_close`); otherwise it is looked up in `weekly`,
+    which is then worked out twice.
+    """
+    latest = weekly.select(F.max("fecha_cierre")).scalar() if latest is None else latest
     recent = _only(weekly, categories, item=item).filter(F.col("fecha_cierre") > F.date_sub(latest, 7 * weeks))
     by = ["producto", "semana"] if by_item else ["semana"]
     return recent.groupBy(*by).agg(F.sum(measure).alias("ventas"))
@@ -185,6 +191,11 @@ def card_display(report: DataFrame) -> DataFrame:
     )
 
 
+def latest_of(gold: Mapping[str, DataFrame], table: str, area: Area) -> Column | None:
+    """The latest close as a literal, where the datasets are a warehouse that knows it."""
+    return F.lit(gold.last_close(table, area)).cast("date") if isinstance(gold, Warehouse) else None
+
+
 def stock_reports(gold: Mapping[str, DataFrame], site: Site) -> dict[str, dict[str, DataFrame]]:
     """All stock reports: weekly, daily and period sales per area."""
     out = {}
@@ -194,7 +205,7 @@ def stock_reports(gold: Mapping[str, DataFrame], site: Site) -> dict[str, dict[s
         out[name] = {
             "weekly": weekly_report(weekly, area, categories).orderBy("producto", "semana"),
             "daily": daily_report(daily, area, categories).orderBy("producto", "fecha"),
-            "sales": period_sales(weekly, measure, categories).orderBy("semana"),
+            "sales": period_sales(weekly, measure, categories, latest=latest_of(gold, table, area)).orderBy("semana"),
         }
     return out
 

@@ -8,6 +8,7 @@ Table names end in the unit's name, for example `dim_receta_<a>`; `names()` list
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from cellarbook.operators.order_text import (
     signed_extra,
     vegetarian_returns,
 )
-from cellarbook.operators.periods import average_counts, count_periods
+from cellarbook.operators.periods import average_counts, count_periods, last_close
 from cellarbook.operators.pnl import Ledger, compile_ledgers, layout, monthly_pnl
 from cellarbook.operators.recipes import (
     apply_factors,
@@ -157,6 +158,40 @@ class Warehouse(Mapping[str, DataFrame]):
         """The item master without prices: who only needs names and codes does not wait for those."""
         return self["dim_producto_izi"] if "dim_producto_izi" in self._stored else _listed_items(self)
 
+    # Stock areas: flow days and periods are worked out once for the weekly and the daily form.
+
+    def periods(self, area: reconcile.Area) -> DataFrame:
+        one_per_day = area is reconcile.INGREDIENTS_A
+        return count_periods(counts_of(self, area), area.key, area.carry, one_per_day)
+
+    def flow_days(self, build: Callable[[Warehouse], DataFrame]) -> DataFrame:
+        """The flows of an area per item and day; a refresh stores them, so that both forms read them back."""
+        name = f"_{build.__name__}"
+        if name not in self._made:
+            days = build(self)
+            self._made[name] = stored_by_month(days, f"{self._folder}/{name}") if self._folder and not self._opened else days
+        return self._made[name]
+
+    def weekly(self, area: reconcile.Area, flows: Callable[[Warehouse], DataFrame]) -> DataFrame:
+        return reconcile.reconcile_periods(self.periods(area), self.flow_days(flows), area, counts_of(self, area))
+
+    def daily(
+        self, weekly: str, area: reconcile.Area, flows: Callable[[Warehouse], DataFrame], shown: Sequence[str] = ()
+    ) -> DataFrame:
+        """The days of a stored weekly table's periods, or else of the periods themselves: the sums are not needed."""
+        stored = self._named(weekly) in self._stored
+        periods = self.gold(weekly) if stored else reconcile.labelled(self.periods(area))
+        return reconcile.reconcile_days(periods, self.flow_days(flows), area, self.as_of, shown)
+
+    def last_close(self, weekly: str, area: reconcile.Area) -> date | None:
+        """The latest closing date of an area's periods, known when a report is planned.
+
+        Of a stored table it is one column; otherwise it follows from the counts alone.
+        """
+        stored = self._named(weekly) in self._stored
+        found = self.gold(weekly).agg(F.max("fecha_cierre")) if stored else last_close(counts_of(self, area))
+        return found.first()[0]
+
     def sales_of(self, unit: str) -> DataFrame:
         return self["fct_ventas_items"].filter(F.col("negocio") == unit)
 
@@ -499,6 +534,22 @@ def _counted_on(w: Warehouse, *sheets: str):
     return count_range(*[w.raw(sheet) for sheet in sheets])
 
 
+def counts_of(w: Warehouse, area: reconcile.Area) -> DataFrame:
+    """The physical counts an area is reconciled by."""
+    if area is reconcile.DRINKS_A:
+        return w["fct_inventario_fisico"]
+    if area is reconcile.INGREDIENTS_A:
+        # The counts are averaged per name and day, which the recipe join of their dataset cannot change:
+        # it repeats all rows of a name alike. So the sheet is read without it.
+        return average_counts(_known_counts(w, "inventarios_unitarios_gs"), ["producto"])
+    if area is reconcile.DRINKS_B:
+        coded = w.gold("fct_inventario_{b}").filter(not_blank(F.col("cod_producto")))
+        return average_counts(coded, ["cod_producto", "producto"])
+    # Averaged per spelling, then upper-cased: two spellings counted on one day stay two counts of one item.
+    spelled = average_counts(_known_counts(w, "inventarios_unitarios_{b}"), ["producto"])
+    return spelled.withColumn("producto", F.upper("producto"))
+
+
 # ---- reconciliation: unit A, drinks and wines -------------------------------
 
 
@@ -526,14 +577,12 @@ def drinks_a_flow_days(w: Warehouse) -> DataFrame:
 
 @gold("fct_reconciliacion_bebidas_{a}")
 def drinks_a_weekly(w: Warehouse) -> DataFrame:
-    periods = count_periods(w["fct_inventario_fisico"], "producto", ["categoria"])
-    return reconcile.reconcile_periods(periods, drinks_a_flow_days(w), reconcile.DRINKS_A)
+    return w.weekly(reconcile.DRINKS_A, drinks_a_flow_days)
 
 
 @gold("fct_reconciliacion_bebidas_{a}_diario")
 def drinks_a_daily(w: Warehouse) -> DataFrame:
-    weekly = w.gold("fct_reconciliacion_bebidas_{a}")
-    return reconcile.reconcile_days(weekly, drinks_a_flow_days(w), reconcile.DRINKS_A, w.as_of)
+    return w.daily("fct_reconciliacion_bebidas_{a}", reconcile.DRINKS_A, drinks_a_flow_days)
 
 
 # ---- reconciliation: unit A, ingredients ------------------------------------
@@ -581,17 +630,12 @@ def ingredients_a_flow_days(w: Warehouse) -> DataFrame:
 
 @gold("fct_reconciliacion_insumos_{a}")
 def ingredients_a_weekly(w: Warehouse) -> DataFrame:
-    # The counts are averaged per name and day, which the recipe join of their dataset cannot change:
-    # it repeats all rows of a name alike. So the sheet is read without it.
-    counts = average_counts(_known_counts(w, "inventarios_unitarios_gs"), ["producto"])
-    periods = count_periods(counts, "producto", one_per_day=True)
-    return reconcile.reconcile_periods(periods, ingredients_a_flow_days(w), reconcile.INGREDIENTS_A)
+    return w.weekly(reconcile.INGREDIENTS_A, ingredients_a_flow_days)
 
 
 @gold("fct_reconciliacion_insumos_{a}_diario")
 def ingredients_a_daily(w: Warehouse) -> DataFrame:
-    weekly = w.gold("fct_reconciliacion_insumos_{a}")
-    return reconcile.reconcile_days(weekly, ingredients_a_flow_days(w), reconcile.INGREDIENTS_A, w.as_of)
+    return w.daily("fct_reconciliacion_insumos_{a}", reconcile.INGREDIENTS_A, ingredients_a_flow_days)
 
 
 # ---- reconciliation: unit B, drinks -----------------------------------------
@@ -638,16 +682,12 @@ def drinks_b_flow_days(w: Warehouse) -> DataFrame:
 
 @gold("fct_reconciliacion_bebidas_{b}")
 def drinks_b_weekly(w: Warehouse) -> DataFrame:
-    coded = w.gold("fct_inventario_{b}").filter(not_blank(F.col("cod_producto")))
-    counts = average_counts(coded, ["cod_producto", "producto"])
-    periods = count_periods(counts, "cod_producto", ["producto"])
-    return reconcile.reconcile_periods(periods, drinks_b_flow_days(w), reconcile.DRINKS_B)
+    return w.weekly(reconcile.DRINKS_B, drinks_b_flow_days)
 
 
 @gold("fct_reconciliacion_bebidas_{b}_diario")
 def drinks_b_daily(w: Warehouse) -> DataFrame:
-    weekly = w.gold("fct_reconciliacion_bebidas_{b}")
-    return reconcile.reconcile_days(weekly, drinks_b_flow_days(w), reconcile.DRINKS_B, w.as_of, shown=["producto"])
+    return w.daily("fct_reconciliacion_bebidas_{b}", reconcile.DRINKS_B, drinks_b_flow_days, shown=["producto"])
 
 
 # ---- reconciliation: unit B, ingredients ------------------------------------
@@ -688,16 +728,12 @@ def ingredients_b_flow_days(w: Warehouse) -> DataFrame:
 
 @gold("fct_reconciliacion_insumos_{b}")
 def ingredients_b_weekly(w: Warehouse) -> DataFrame:
-    # Averaged per spelling, then upper-cased: two spellings counted on one day stay two counts of one item.
-    spelled = average_counts(_known_counts(w, "inventarios_unitarios_{b}"), ["producto"])
-    periods = count_periods(spelled.withColumn("producto", F.upper("producto")), "producto")
-    return reconcile.reconcile_periods(periods, ingredients_b_flow_days(w), reconcile.INGREDIENTS_B)
+    return w.weekly(reconcile.INGREDIENTS_B, ingredients_b_flow_days)
 
 
 @gold("fct_reconciliacion_insumos_{b}_diario")
 def ingredients_b_daily(w: Warehouse) -> DataFrame:
-    weekly = w.gold("fct_reconciliacion_insumos_{b}")
-    return reconcile.reconcile_days(weekly, ingredients_b_flow_days(w), reconcile.INGREDIENTS_B, w.as_of)
+    return w.daily("fct_reconciliacion_insumos_{b}", reconcile.INGREDIENTS_B, ingredients_b_flow_days)
 
 
 # ---- sales totals -----------------------------------------------------------

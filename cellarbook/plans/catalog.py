@@ -628,6 +628,36 @@ def csv_skip_rows(spark, folder):
     return _typed_sheet(readers.read_csv(spark, path, _ITEM_COLUMNS, skip=1))
 
 
+def _broken_sheets(spark, folder, name: str) -> str:
+    """Items with quotes and line breaks in their names, in sheets whose columns stand in different orders."""
+    items = _item_sheet(spark, folder).select(
+        "Cod", F.concat(F.lit('12" '), "Producto", F.lit('\n"'), "Cod", F.lit('"')).alias("Producto"), "Cantidad"
+    )
+
+    def quoted(c: str):
+        return F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+
+    orders = (["Cod", "Producto", "Cantidad"], ["Cantidad", "Cod", "Producto"], ["Producto", "Cod"])
+    lines = None
+    for i, columns in enumerate(orders):
+        rows = items.filter(F.substring("Cod", 2, 20).cast("long") % len(orders) == i)
+        body = rows.select(F.lit(i).alias("_file"), F.lit(2).alias("_at"), F.concat_ws(",", *map(quoted, columns)).alias("value"))
+        head = spark.createDataFrame([(i, 0, '"exported\nby hand",,'), (i, 1, ",".join(columns))], "_file int, _at int, value string")
+        lines = head.unionByName(body) if lines is None else lines.unionByName(head).unionByName(body)
+    path = scratch_path(spark, name)
+    lines.repartition("_file").sortWithinPartitions("_file", "_at").select("_file", "value").write.partitionBy("_file").text(path)
+    return path
+
+
+@query("source_csv_records")
+def csv_records(spark, folder):
+    """Cells with quotes and line breaks, columns by the header of each file."""
+    sheet = readers.read_csv(spark, _broken_sheets(spark, folder, "records"), skip=1)
+    return sheet.select(
+        F.col("Cod").alias("cod"), F.col("Producto").alias("producto"), (F.col("Cantidad").isNotNull()).alias("contado")
+    )
+
+
 @query("source_first_block")
 def first_block(spark, folder):
     after = [",,,", "Cod,Producto,Cantidad,Nota", "Z1,next block,9,"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellarbook.site import Site
-from cellarbook.sources.schemas import INVOICE_DOCUMENT, text_schema
+from cellarbook.sources.records import BLOCK, CSV, FILE, LINE, records
+from cellarbook.sources.schemas import INVOICE_DOCUMENT
 
 CORRUPT = "_corrupt_record"
 
@@ -55,46 +58,63 @@ def read_json_array(
     return reader.json(paths).withColumn("_extraido_en", F.current_timestamp())
 
 
-def _numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of text files with a position that grows along each file.
+def _cells(header: str) -> list[str]:
+    """Names in a header record; empty ones and repeats are told apart by their place."""
+    cells = next(csv.reader(io.StringIO(header, newline="")), [])
+    names = [cell or f"column{i}" for i, cell in enumerate(cells)]
+    return [n if names.count(n) == 1 else f"{n}{i}" for i, n in enumerate(names)]
 
-    A scan task numbers its lines in order, so (block start, number) orders the lines of a file without
-    a shuffle, and the numbers of a file's first block are consecutive.
-    """
-    return spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
+
+def _from_csv(names: Sequence[str]) -> Column:
+    return F.from_csv("value", ", ".join(f"`{c.replace('`', '``')}` STRING" for c in names), CSV)
 
 
 def csv_header(spark: SparkSession, path: str, skip: int = 0) -> list[str]:
-    """Header cells of a sheet: the line after `skip` junk lines."""
-    line = spark.read.text(path).limit(skip + 1).collect()[skip][0]
-    parsed = spark.range(1).select(F.schema_of_csv(F.lit(line)).alias("s")).first()[0]
-    width = len(T.StructType.fromDDL(parsed.removeprefix("STRUCT<").removesuffix(">")).fields)
-    row = spark.range(1).select(F.from_csv(F.lit(line), ", ".join(f"c{i} STRING" for i in range(width))).alias("r"))
-    return [cell if cell is not None else f"column{i}" for i, cell in enumerate(row.first()[0])]
+    """Header cells of a sheet: the record after `skip` junk rows."""
+    return _cells(_with_header(records(spark, path), skip)[1][0])
+
+
+def _with_header(rows: DataFrame, skip: int) -> tuple[DataFrame, list[str]]:
+    """(records below the header of their file with `_header`, the different headers)."""
+    place = F.struct(BLOCK, LINE)
+    first = rows.filter(F.col(BLOCK) == 0).select("value", FILE, place.alias("_at"))
+    heads = first.groupBy(FILE).agg(F.min(F.struct("_at", "value")).alias("_head"))
+    for _ in range(skip):
+        later = first.join(heads, FILE).filter(F.col("_at") > F.col("_head._at"))
+        heads = later.groupBy(FILE).agg(F.min(F.struct("_at", "value")).alias("_head"))
+    heads = heads.select(FILE, F.col("_head._at").alias("_top"), F.col("_head.value").alias("_header"))
+    body = rows.join(heads, FILE).filter((place > F.col("_top")) & (F.col("value") != ""))
+    return body, [r[0] for r in heads.select("_header").distinct().orderBy("_header").collect()]
 
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, skip: int = 0
 ) -> DataFrame:
-    """CSV with a header, all columns as text; `skip` junk lines above the header of each file.
+    """CSV with a header, all columns as text; `skip` junk rows above the header of each file.
 
-    With `skip`, the first line number of every file comes from one small aggregate and the lines up to
-    and including the header are filtered out in place; cells then may not contain line breaks.
+    Doubled quotes and line breaks inside quotes belong to their cell (`records`). Columns go by the names in
+    the header of each file: where headers differ, a column that a file lacks is NULL there. `columns` gives
+    names by place instead, to all files alike. Empty lines are left out; no files with a header give an error.
     """
-    first_path = path if isinstance(path, str) else list(path)[0]
-    names = list(columns) if columns else csv_header(spark, first_path, skip)
-    if skip == 0:
-        return spark.read.schema(text_schema(names)).option("header", True).csv(path)
-    lines = _numbered_lines(spark, path)
-    starts = lines.filter("_block = 0").groupBy("_file").agg(F.min("_line").alias("_first"))
-    body = lines.join(starts, "_file").filter((F.col("_block") > 0) | (F.col("_line") - F.col("_first") > skip))
-    cells = ", ".join(f"`{c}` STRING" for c in names)
-    return body.select(F.from_csv("value", cells).alias("r")).select("r.*")
+    body, headers = _with_header(records(spark, path), skip)
+    if columns:
+        return body.select(_from_csv(columns).alias("r")).select("r.*")
+    if not headers:
+        raise ValueError(f"no header in {path}")
+    named = {h: _cells(h) for h in headers}
+    if len(named) == 1:
+        return body.select(_from_csv(named[headers[0]]).alias("r")).select("r.*")
+    places = [f"c{i}" for i in range(max(map(len, named.values())))]
+    cells = body.select("_header", _from_csv(places).alias("r"))
+
+    def cell(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for header, names in named.items():
+            if name in names:
+                out = F.when(F.col("_header") == header, F.col("r")[f"c{names.index(name)}"]).otherwise(out)
+        return out.alias(name)
+
+    return cells.select(*[cell(name) for name in dict.fromkeys(n for names in named.values() for n in names)])
 
 
 def first_block(
@@ -121,11 +141,10 @@ def read_first_block(
     The header row is the one whose first cell is the first of `columns`. Rows without `required` are
     dropped, and the block is tagged with the account it stands for.
     """
-    cells = ", ".join(f"`{c}` STRING" for c in columns)
-    lines = _numbered_lines(spark, path).withColumn("r", F.from_csv("value", cells))
+    lines = records(spark, path).withColumn("r", _from_csv(columns))
     blank = F.translate(F.coalesce("value", F.lit("")), ", \t\r\"", "") == ""
     header = F.coalesce(F.col("r").getField(columns[0]) == columns[0], F.lit(False))
-    block = first_block(lines, ["_file"], F.struct("_block", "_line"), header, blank)
+    block = first_block(lines, [FILE], F.struct(BLOCK, LINE), header, blank)
     return (
         block.select("r.*")
         .filter(F.col(f"`{required}`").isNotNull())

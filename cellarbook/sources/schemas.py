@@ -6,8 +6,6 @@ schema would change with the rows of the day.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Names and types as the sources deliver them.
 INVOICE_ITEM = "struct<articulo:string,cantidad:double,codigoInventario:string,precioTotal:double>"
 INVOICE = (
@@ -32,6 +30,3 @@ ESTIMATES = (
     "Week",
 )
 
-
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -64,8 +64,11 @@ def create_view(df: DataFrame, name: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """Publish a report as CSV with a header, one file per partition; no task sees all of it."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Publish a report as CSV with a header, one file per partition; no task sees all of it.
+
+    A quote inside a cell is doubled, as sheets expect it.
+    """
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def with_difference_flag(report: DataFrame) -> DataFrame:

@@ -428,6 +428,12 @@ _SHEET = (
 )
 add("source_csv_sheet", _SHEET)
 add("source_csv_skip_rows", _SHEET)
+# The third file has no quantity column.
+add(
+    "source_csv_records",
+    "SELECT 'C' || CAST(p_partkey AS VARCHAR) AS cod, '12\" ' || p_name || ', ' || p_brand || chr(10) || '\"C' || CAST(p_partkey AS VARCHAR) || '\"' AS producto, "
+    "p_partkey % 3 <> 2 AS contado FROM part",
+)
 add(
     "source_first_block",
     "SELECT 'C' || CAST(p_partkey AS VARCHAR) AS cod, p_name || ', ' || p_brand AS producto, "

@@ -54,7 +54,8 @@ from cellarbook.operators.recipes import (
 )
 from cellarbook.operators.unpivot import count_range, unpivot_counts
 from cellarbook.site import Site
-from cellarbook.sources.sinks import MONTH, current_version, new_version, set_version, stored_by_month
+from cellarbook.sources.manifest import Entry, commit, read_manifest, register, remove_unused
+from cellarbook.sources.sinks import MONTH, new_version, read_stored, stored_by_month
 
 PRICE_DAYS = 120
 WEIGHT_DAYS = 60
@@ -87,9 +88,10 @@ class Warehouse(Mapping[str, DataFrame]):
         self.site = site or Site()
         self._raw = raw
         self._made: dict[str, DataFrame] = {}
-        self._stored: set[str] = set()
+        self._stored: dict[str, Entry] = {}
         self._folder: str | None = None
         self._opened = False
+        self.version = 0
         self._builders = {self._named(name): build for name, build in _BUILDERS.items()}
 
     def _named(self, name: str) -> str:
@@ -107,7 +109,7 @@ class Warehouse(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if self._opened:
-                self._made[name] = self.spark.read.parquet(f"{self._folder}/{name}").drop(MONTH)
+                self._made[name] = read_stored(self.spark, self._stored[name].path)
             else:
                 self._made[name] = self._builders[name](self)
         return self._made[name]
@@ -121,32 +123,53 @@ class Warehouse(Mapping[str, DataFrame]):
     def rebuild(self, folder: str, only: Sequence[str] = ()) -> dict[str, DataFrame]:
         """Full refresh of every dataset (or of `only` some) from the raw tables, in dependency order.
 
-        The tables go to a fresh folder below `folder`, and only when all of them are there does it become
-        the current one. So a refresh may be repeated, one that fails changes nothing, and readers of the
-        tables before keep them. Datasets with a date are stored by month.
+        The tables go to fresh folders below `folder`, and only when all of them are there do they become the
+        current ones, next to those that are not refreshed. So a refresh may be repeated, one that fails changes
+        nothing, two at once do not lose each other's tables, and readers of the tables before keep them.
+        Datasets with a date are stored by month.
         """
         fresh = Warehouse(self.spark, self._raw, self.as_of, self.site)
         fresh._folder = new_version(folder)
         for name in (n for n in self._builders if not only or n in only):
-            fresh._made[name] = stored_by_month(fresh[name], f"{fresh._folder}/{name}")
-            fresh._stored.add(name)
-        set_version(self.spark, folder, fresh._folder)
+            fresh._made[name], fresh._stored[name] = stored_by_month(fresh[name], f"{fresh._folder}/{name}")
+        self.version = commit(self.spark, folder, fresh._stored).number
         self._made, self._stored, self._folder = fresh._made, fresh._stored, fresh._folder
         return {name: self._made[name] for name in self._stored}
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, as_of: DateLike, site: Site | None = None) -> Warehouse:
-        """The datasets of the last complete refresh below `folder`, for reports; raw tables are not needed."""
-        own = cls(spark, {}, as_of, site)
-        own._folder, own._opened, own._stored = current_version(spark, folder), True, set(own._builders)
+    def open(
+        cls, spark: SparkSession, folder: str, as_of: DateLike, site: Site | None = None, version: int | None = None
+    ) -> Warehouse:
+        """The datasets stored below `folder`, for reports; raw tables are not needed.
+
+        They are those of the last refresh, or of the one numbered `version`, and stay so while this is open.
+        """
+        own, found = cls(spark, {}, as_of, site), read_manifest(spark, folder, version)
+        if not found.number:
+            raise ValueError(f"nothing is stored below {folder}")
+        own._stored, own.version, own._opened = dict(found.entries), found.number, True
         return own
 
+    def entries(self) -> dict[str, Entry]:
+        """What is known of the stored datasets: path, rows, rows without a date, first and last date."""
+        return dict(self._stored)
+
+    def register(self, database: str = "gold") -> None:
+        """Show the stored datasets in a database of the session's catalog."""
+        paths = {name: entry.path for name, entry in self._stored.items()}
+        register(self.spark, self, paths, database)
+
+    @staticmethod
+    def remove_unused(spark: SparkSession, folder: str, keep: int = 1, hours: float = 24.0) -> list[str]:
+        """Delete stored tables that only refreshes before the last `keep` have; the paths deleted."""
+        return remove_unused(spark, folder, keep, hours)
+
     def between(self, name: str, first: DateLike, last: DateLike) -> DataFrame:
         """Rows of a dataset with a date from `first` to `last`; of a stored one only those months are read."""
         days = F.col("fecha").between(as_date(first), as_date(last))
-        if self._folder is None or name not in self._stored:
+        if name not in self._stored:
             return self[name].filter(days)
-        stored = self.spark.read.parquet(f"{self._folder}/{name}")
+        stored = self.spark.read.parquet(self._stored[name].path)
         if MONTH in stored.columns:
             months = F.col(MONTH).between(F.date_format(as_date(first), "yyyy-MM"), F.date_format(as_date(last), "yyyy-MM"))
             stored = stored.filter(months).drop(MONTH)
@@ -169,7 +192,7 @@ class Warehouse(Mapping[str, DataFrame]):
         name = f"_{build.__name__}"
         if name not in self._made:
             days = build(self)
-            self._made[name] = stored_by_month(days, f"{self._folder}/{name}") if self._folder and not self._opened else days
+            self._made[name] = stored_by_month(days, f"{self._folder}/{name}")[0] if self._folder else days
         return self._made[name]
 
     def weekly(self, area: reconcile.Area, flows: Callable[[Warehouse], DataFrame]) -> DataFrame:
@@ -186,11 +209,12 @@ class Warehouse(Mapping[str, DataFrame]):
     def last_close(self, weekly: str, area: reconcile.Area) -> date | None:
         """The latest closing date of an area's periods, known when a report is planned.
 
-        Of a stored table it is one column; otherwise it follows from the counts alone.
+        Of a stored table its entry has it; otherwise it follows from the counts alone.
         """
-        stored = self._named(weekly) in self._stored
-        found = self.gold(weekly).agg(F.max("fecha_cierre")) if stored else last_close(counts_of(self, area))
-        return found.first()[0]
+        entry = self._stored.get(self._named(weekly))
+        if entry is not None:
+            return entry.last and date.fromisoformat(entry.last)
+        return last_close(counts_of(self, area)).first()[0]
 
     def sales_of(self, unit: str) -> DataFrame:
         return self["fct_ventas_items"].filter(F.col("negocio") == unit)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from cellarbook.sources.manifest import Entry
+
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Replace the Parquet table at `path` and return it as read back, with its lineage cut."""
@@ -22,40 +24,44 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
 MONTH = "_mes"
 
 
-def stored_by_month(df: DataFrame, path: str) -> DataFrame:
-    """Write a table, in one folder per month where it has a date `fecha`, and return it as read back."""
-    if dict(df.dtypes).get("fecha") != "date":
-        return write_table(df, path)
-    months = df.withColumn(MONTH, F.coalesce(F.date_format("fecha", "yyyy-MM"), F.lit("none")))
-    months.write.mode("overwrite").option("compression", "zstd").partitionBy(MONTH).parquet(path)
-    if not df.sparkSession.read.schema(months.schema).parquet(path).head(1):
-        # Without rows there is no month and no file that tells the columns.
-        return write_table(months.limit(0), path).drop(MONTH)
-    return df.sparkSession.read.parquet(path).drop(MONTH)
-
+def _month(day: str) -> Column:
+    return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none"))
 
-def new_version(folder: str) -> str:
-    """Path of a version that nobody reads yet."""
-    return f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
 
+def stored_by_month(df: DataFrame, path: str) -> tuple[DataFrame, Entry]:
+    """Write a table, in one folder per month where it has a date `fecha`: (the table as read back, its entry).
 
-def _versions(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("number long, path string").parquet(f"{folder.rstrip('/')}/current")
+    Rows and dates are counted while they are written.
+    """
+    dates = [c for c, kind in df.dtypes if kind == "date" and c in ("fecha", "fecha_cierre")]
+    day = dates[0] if dates else None
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if day:
+        metrics += [F.count_if(F.col(day).isNull()).alias("undated"), F.min(day).alias("first"), F.max(day).alias("last")]
+    seen = Observation()
+    watched = df.observe(seen, *metrics)
+    by_month = day == "fecha"
+    if by_month:
+        months = watched.withColumn(MONTH, _month(day))
+        months.write.mode("overwrite").option("compression", "zstd").partitionBy(MONTH).parquet(path)
+    else:
+        write_table(watched, path)
+    found = seen.get
+    entry = Entry(path, found["rows"], found.get("undated"), *[d and d.isoformat() for d in (found.get("first"), found.get("last"))])
+    if by_month and not found["rows"]:
+        # Without rows there is no month and no file that tells the columns.
+        write_table(df.limit(0), path)
+    return read_stored(df.sparkSession, path), entry
 
 
-def set_version(spark: SparkSession, folder: str, path: str) -> None:
-    """Make a complete version the current one: a row is added, nothing is overwritten."""
-    try:
-        number = (_versions(spark, folder).agg(F.max("number")).first()[0] or 0) + 1
-    except AnalysisException:  # there is no version yet
-        number = 1
-    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(path).alias("path"))
-    row.write.mode("append").parquet(f"{folder.rstrip('/')}/current")
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table that `stored_by_month` wrote."""
+    return spark.read.parquet(path).drop(MONTH)
 
 
-def current_version(spark: SparkSession, folder: str) -> str:
-    """Path of the current version."""
-    return _versions(spark, folder).agg(F.max_by("path", "number")).first()[0]
+def new_version(folder: str) -> str:
+    """Path of a version that nobody reads yet."""
+    return f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
 
 
 def create_view(df: DataFrame, name: str) -> None:
@@ -77,8 +83,9 @@ def with_difference_flag(report: DataFrame) -> DataFrame:
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
-    """Names of the tables and views in the current database."""
-    return spark.sql("SHOW TABLES")
+    """Names of the tables and views of all databases; those of the session alone have no database."""
+    listed = [spark.sql(f"SHOW TABLES IN `{d.name}`") for d in spark.catalog.listDatabases()]
+    return reduce(DataFrame.union, listed).distinct()
 
 
 def sample_rows(df: DataFrame, rows: int = 50) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -549,6 +549,9 @@ def number_functions(spark, folder):
 _ITEM_COLUMNS = ["Cod", "Producto", "Cantidad", "Nota"]
 
 
+SHEET_FILES = 4
+
+
 @query("source_invoice_json")
 def invoice_json(spark, folder):
     """Nested documents written as JSON lines by Spark and read through the invoice reader."""
@@ -561,6 +564,43 @@ def invoice_json(spark, folder):
     )
 
 
+def _write_documents(records: DataFrame, path: str, opening: str, closing: str) -> None:
+    """Each record's text in one of a few JSON documents, whose arrays hold them."""
+    dealt = records.select(F.pmod(F.xxhash64("value"), F.lit(SHEET_FILES)).alias("_file"), "value")
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("value"))
+    body = dealt.select("_file", place.alias("_at"), F.concat(F.when(place > 1, ",").otherwise(""), "value").alias("value"))
+    files = records.sparkSession.range(SHEET_FILES).withColumnRenamed("id", "_file")
+    ends = [files.select("_file", F.lit(at).alias("_at"), F.lit(text).alias("value")) for at, text in ((0, opening), (2**31 - 1, closing))]
+    lines = body.unionByName(ends[0]).unionByName(ends[1])
+    lines.repartition("_file").sortWithinPartitions("_file", "_at").select("_file", "value").write.partitionBy("_file").text(path)
+
+
+@query("source_invoice_documents")
+def invoice_documents(spark, folder):
+    """The same invoices as documents of one array each, read in parts."""
+    path = scratch_path(spark, "documents")
+    bills = landed(spark, folder)["invoice_documents"].select(F.explode("facturas").alias("f"))
+    _write_documents(bills.select(F.to_json("f").alias("value")), path, '{"version": [1], "facturas": [', "]}")
+    items = readers.read_invoices(spark, [path], SITE).select("_negocio", "anulada", F.explode("listaItems").alias("i"))
+    return items.groupBy(F.col("_negocio").alias("negocio"), "anulada", F.col("i.articulo").alias("producto")).agg(
+        F.sum("i.cantidad").alias("cantidad"), F.sum("i.precioTotal").alias("precio_total"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("source_json_array")
+def json_array(spark, folder):
+    """Item master as JSON arrays, some records no JSON; read in parts."""
+    path = scratch_path(spark, "items")
+    master = landed(spark, folder)["izi_items_inventario"]
+    whole = F.to_json(F.struct(*master.columns))
+    value = F.when(F.col("codigo").startswith("I"), F.concat(F.lit('{"codigo": '), "codigo", F.lit("}"))).otherwise(whole)
+    _write_documents(master.select(value.alias("value")), path, "[", "]")
+    read = readers.read_json_array(spark, path, schemas.ITEM_MASTER)
+    return read.select(F.coalesce("categoria.nombre", F.lit("?")).alias("categoria"), "precioUnitario").groupBy("categoria").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("precioUnitario").alias("precio")
+    )
+
+
 @query("source_json_bad_records")
 def json_bad_records(spark, folder):
     """Item master as JSON lines, some cut short; what does not parse is told apart, not lost."""
@@ -597,9 +637,6 @@ def csv_sheet(spark, folder):
     return _typed_sheet(readers.read_csv(spark, path, _ITEM_COLUMNS))
 
 
-SHEET_FILES = 4
-
-
 def _stacked_lines(sheet: DataFrame, before: list[str], after: list[str]) -> DataFrame:
     """Text of several sheets, told apart by `_file`: lines before, header, rows, lines after."""
     cells = [F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("")) for c in sheet.columns]
@@ -689,11 +726,11 @@ def landing_folder(spark, folder):
 
 @query("source_stored_gold")
 def stored_gold(spark, folder):
-    """Three months of sale lines of a stored warehouse, opened again; refreshed twice before."""
+    """Three months of sale lines of a stored warehouse, opened again after a refresh of another table."""
     path = scratch_path(spark, "stored")
     made = warehouse.Warehouse(spark, landed(spark, folder), AS_OF, SITE)
-    for _ in range(2):
-        made.rebuild(path, only=["fct_ventas_items"])
+    for table in ("fct_ventas_items", "dim_producto"):
+        made.rebuild(path, only=[table])
     return warehouse.Warehouse.open(spark, path, AS_OF, SITE).between("fct_ventas_items", "2024-01-15", "2024-03-20")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellarbook.site import Site
+from cellarbook.sources.json_elements import elements, parsed
 from cellarbook.sources.records import BLOCK, CSV, FILE, LINE, records
 from cellarbook.sources.schemas import INVOICE_DOCUMENT
 
@@ -33,10 +34,15 @@ def read_invoices(
 ) -> DataFrame:
     """Nested invoice documents of all units as one; a column missing in one file is NULL there.
 
-    With `lines` every line is a document, and a file is split over tasks: the form for large exports.
-    Otherwise a file is one JSON value, which one task reads.
+    With `lines` every line is a document. Otherwise a file is one, whose invoices are found in all parts of it
+    by the tasks that scan them (`json_elements`). Invoices that do not parse are left out.
     """
-    return spread_invoices(spark.read.schema(schema).option("multiLine", not lines).json(list(paths)), site)
+    if lines:
+        return spread_invoices(spark.read.schema(schema).json(list(paths)), site)
+    invoice = T.StructType.fromDDL(schema)["facturas"].dataType.elementType
+    found = parsed(elements(spark, list(paths), "facturas"), invoice.simpleString().removeprefix("struct<").removesuffix(">"), CORRUPT)
+    documents = found.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return spread_invoices(documents.select(F.array(F.struct(*documents.columns)).alias("facturas")), site)
 
 
 def read_json_array(
@@ -44,18 +50,21 @@ def read_json_array(
 ) -> DataFrame:
     """JSON arrays (or, with `lines`, one record per line) with a load time.
 
-    Records that do not parse are kept in `_corrupt_record` with NULLs elsewhere, and
-    `plans.quality.rejected_records` counts them. `keep_bad=False` drops them; of an array that is one value
-    over several lines, that may be more than the one record.
+    An array's records are found in all parts of its file by the tasks that scan them. Records that do not parse
+    are kept in `_corrupt_record` with NULLs elsewhere, and `plans.quality.rejected_records` counts them;
+    `keep_bad=False` drops them.
     """
-    reader = spark.read.option("multiLine", not lines)
-    if keep_bad:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if lines:
         full = T.StructType.fromDDL(schema).add(CORRUPT, T.StringType())
-        reader = reader.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        read = spark.read.schema(full).options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).json(paths)
+        if not keep_bad:
+            read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
     else:
-        reader = reader.schema(schema).option("mode", "DROPMALFORMED")
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return reader.json(paths).withColumn("_extraido_en", F.current_timestamp())
+        read = parsed(elements(spark, paths), schema, CORRUPT)
+        if not keep_bad:
+            read = read.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return read.withColumn("_extraido_en", F.current_timestamp())
 
 
 def _cells(header: str) -> list[str]:

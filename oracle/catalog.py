@@ -410,18 +410,20 @@ add(
 )
 
 # -- readers and writers
-add(
-    "source_invoice_json",
+_INVOICES = (
     f"SELECT negocio, anulada, producto, {r4('sum(q)', 'cantidad')}, {r4('sum(p)', 'precio_total')}, count(*) AS n FROM ("
     "SELECT sucursal, anulada, item1 AS producto, quantity1 AS q, price1 AS p FROM src_invoice UNION ALL "
     "SELECT sucursal, anulada, item2, quantity2, price2 FROM src_invoice) JOIN "
-    f"(VALUES (79344, '{UNIT_A}'), (81761, '{UNIT_B}')) u(sucursal, negocio) USING (sucursal) GROUP BY ALL",
+    f"(VALUES (79344, '{UNIT_A}'), (81761, '{UNIT_B}')) u(sucursal, negocio) USING (sucursal) GROUP BY ALL"
 )
-add(
-    "source_json_bad_records",
+add("source_invoice_json", _INVOICES)
+add("source_invoice_documents", _INVOICES)
+_ITEMS = (
     f"SELECT CASE WHEN codigo LIKE 'I%' THEN '?' ELSE categoria END AS categoria, count(*) AS n, "
-    f"{r4("sum(precio) FILTER (codigo NOT LIKE 'I%')", 'precio')} FROM src_master GROUP BY 1",
+    f"{r4("sum(precio) FILTER (codigo NOT LIKE 'I%')", 'precio')} FROM src_master GROUP BY 1"
 )
+add("source_json_bad_records", _ITEMS)
+add("source_json_array", _ITEMS)
 _SHEET = (
     "SELECT 'C' || CAST(p_partkey AS VARCHAR) AS cod, p_name || ', ' || p_brand AS producto, "
     "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS cantidad, CAST(NULL AS VARCHAR) AS nota FROM part"

@@ -64,8 +64,51 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, cut: str) -> tuple[np.ndar
     return runs(np.ones(len(data), bool) if cut == "keep_space" else ~space, cuts)
 
 
+@dataclass
+class Pieces:
+    """Byte spans in some texts, with what tells their bytes apart: length, first and last eight bytes.
+
+    That is all of a piece of sixteen bytes or fewer; longer ones are compared byte by byte.
+    """
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def __post_init__(self):
+        self.lengths = self.ends - self.starts
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        self.head = _eight(padded, self.starts, self.lengths)
+        self.tail = _eight(padded, np.maximum(self.ends - 8, self.starts), self.lengths)
+
+    def marks(self, at: np.ndarray) -> np.ndarray:
+        return np.stack([self.lengths[at].astype(np.uint64), self.head[at], self.tail[at]], 1)
+
+    def like(self, first: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of the piece that `first` names for it."""
+        same = (self.marks(np.arange(len(first))) == self.marks(first)).all(axis=1)
+        long = np.flatnonzero(same & (self.lengths > 16) & (first != np.arange(len(first))))
+        if len(long):
+            sizes = self.lengths[long]
+            equal = self.data[ragged(self.starts[long], sizes)] == self.data[ragged(self.starts[first[long]], sizes)]
+            same[long] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return same
+
+
+def _eight(padded: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place, as one number; no more than the piece has."""
+    words = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        words = words << np.uint64(8) | np.where(i < lengths, padded[np.minimum(at + i, len(padded) - 1)], 0).astype(np.uint64)
+    return words
+
+
 class Encoder:
-    """Ids of whole texts, the end id last."""
+    """Ids of whole texts, the end id last.
+
+    The table of pieces is found by a hash, and every hit is compared with the bytes it stands for. A text with
+    a piece whose hash another piece has goes to the library whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,6 +125,7 @@ class Encoder:
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.start, self.length, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.marks, self.long = np.zeros((0, 3), np.uint64), {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,28 +143,36 @@ class Encoder:
         kept, starts, lengths = self.met, self.start, self.length
         keys = [k for k, good in zip(self.slot, kept.tolist(), strict=True) if good]
         flat = self.ids[ragged(starts[kept], lengths[kept])]
+        marks, raw = self.marks[kept], [self.long.get(i) for i in np.flatnonzero(kept).tolist()]
         self._clear()
         if len(keys) <= TABLE_PIECES // 2:
-            self._store(keys, flat, lengths[kept])
+            self._store(keys, flat, lengths[kept], marks, raw)
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: list[int], pieces: list[bytes], marks: np.ndarray) -> None:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        raw = [p if len(p) > 16 else None for p in pieces]
         plain = [PLAIN.fullmatch(t) is not None for t in texts]
         model, lead = self.tokenizer.model, "\u0120"  # the vocabulary's letter for a space
         easy = [[t.id for t in model.tokenize(x.replace(" ", lead))] for x, p in zip(texts, plain, strict=True) if p]
+        own = np.array(plain, bool)
         if easy:
             self._store(
                 [h for h, p in zip(hashes, plain, strict=True) if p],
                 np.array([i for x in easy for i in x], np.uint32),
                 np.array([len(x) for x in easy], np.int64),
+                marks[own],
+                [r for r, p in zip(raw, plain, strict=True) if p],
             )
         if len(easy) < len(texts):
             rest = self._library([t for t, p in zip(texts, plain, strict=True) if not p])
-            self._store([h for h, p in zip(hashes, plain, strict=True) if not p], *rest)
+            self._store([h for h, p in zip(hashes, plain, strict=True) if not p], *rest, marks[~own], [r for r, p in zip(raw, plain, strict=True) if not p])
 
-    def _store(self, hashes: list[int], flat: np.ndarray, lengths: np.ndarray) -> None:
+    def _store(self, hashes: list[int], flat: np.ndarray, lengths: np.ndarray, marks: np.ndarray, raw: list[bytes | None]) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
+        self.long.update((len(self.slot) + i, r) for i, r in enumerate(raw) if r is not None)
+        self.marks = np.concatenate([self.marks, marks])
         self.slot.update(zip(hashes, range(len(self.slot), len(self.slot) + len(hashes)), strict=True))
         self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
@@ -145,40 +197,65 @@ class Encoder:
         raw = data.tobytes()
         return self._library([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
 
-    def _in_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _in_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has, texts with a piece whose hash stands for other bytes)."""
         data = LOWER[data] if self.cut == "drop_space" else data
         starts, ends = cut_pieces(data, offsets, self.cut)
+        pieces = Pieces(data, starts, ends)
         distinct, at, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        wrong = ~pieces.like(at[inverse])
         if len(self.slot) > TABLE_PIECES:
             self._trim()
         keys = distinct.tolist()
         slots = list(map(self.slot.get, keys))
-        self.met[[x for x in slots if x is not None]] = True
-        if new := [i for i, x in enumerate(slots) if x is None]:
-            raw, where = data.tobytes(), at[new]
-            spans = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+        known = np.array([x is not None for x in slots], bool)
+        own = np.array([x for x in slots if x is not None], np.int64)
+        self.met[own] = True
+        raw = data.tobytes()
+        if len(own):
+            where = np.flatnonzero(known)
+            hit = (self.marks[own] == pieces.marks(at[where])).all(axis=1)
+            for i in np.flatnonzero(hit & (pieces.lengths[at[where]] > 16)).tolist():
+                k = at[where[i]]
+                hit[i] = self.long[int(own[i])] == raw[starts[k] : ends[k]]
+            missed = np.zeros(len(keys), bool)
+            missed[where] = ~hit
+            wrong |= missed[inverse]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
+            self._learn([keys[i] for i in new.tolist()], [raw[a:b] for a, b in spans], pieces.marks(at[new]))
             slots = list(map(self.slot.get, keys))
         slots = np.array(slots, np.int64)[inverse]
         piece_ids = self.length[slots]
         flat = self.ids[ragged(self.start[slots], piece_ids)]
         sums = np.concatenate([[0], np.cumsum(piece_ids)])
-        return flat, np.diff(sums[np.searchsorted(starts, offsets)])
+        first = np.searchsorted(starts, offsets)
+        clashes = np.concatenate([[0], np.cumsum(wrong)])
+        return flat, np.diff(sums[first]), np.diff(clashes[first]) > 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts laid end to end, first id of each text and the end)."""
         texts = len(offsets) - 1
-        if self.cut is None:
-            flat, lengths = self._whole(data, offsets)
-        elif not (whole := self._with_added(data, offsets)).any():
-            flat, lengths = self._in_pieces(data, offsets)
-        else:
-            sizes, lengths, parts = np.diff(offsets), np.zeros(texts, np.int64), []
-            for own, ids_of in ((whole, self._whole), (~whole, self._in_pieces)):
-                ids, lengths[own] = ids_of(data[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]))
-                parts.append(ids)
-            flat, from_whole = np.empty(lengths.sum(), np.uint32), np.repeat(whole, lengths)
-            flat[from_whole], flat[~from_whole] = parts
+        whole = np.ones(texts, bool) if self.cut is None else self._with_added(data, offsets)
+        sizes = np.diff(offsets)
+
+        def some(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return data[np.repeat(own, sizes)], np.concatenate([[0], np.cumsum(sizes[own])]).astype(np.int64)
+
+        while True:
+            cut = ~whole
+            flat, counts, clash = self._in_pieces(*(some(cut) if whole.any() else (data, offsets))) if cut.any() else ([], [], np.zeros(0, bool))
+            if not clash.any():
+                break
+            whole[np.flatnonzero(cut)[clash]] = True
+        lengths = np.zeros(texts, np.int64)
+        lengths[cut] = counts
+        if whole.any():
+            ids, lengths[whole] = self._whole(*some(whole))
+            from_whole, pieces = np.repeat(whole, lengths), flat
+            flat = np.empty(len(from_whole), np.uint32)
+            flat[from_whole], flat[~from_whole] = ids, pieces
         # The end id behind each text.
         first = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
         out = np.full(first[-1], self.end_id, np.uint32)

@@ -5,9 +5,9 @@
 2. Two rounds compare each set with two of those that share one of its first shingles, at first with any, then
    with those that have most links: the text that a family of edited copies comes from has. Most links show
    here, and the components they form are never compared inside again.
-3. A last round takes every pair of sets in different components that shares any shingle of both prefixes and
-   passes the bounds on length and position. So no link between components is lost.
-   Pairs whose parity sketches differ in more bits than similar sets can differ in elements are left out.
+3. A last round takes every pair of sets in different components that shares a shingle of both prefixes and
+   passes the bounds on length and position that hold at the first shared one. So no link between components is
+   lost. Pairs whose parity sketches differ in more bits than similar sets can differ in elements are left out.
 4. In all rounds a set is looked up in a prefix tree of its partners, which shares the overlaps of common
    beginnings and leaves subtrees that cannot reach the similarity.
 5. Components of all links.
@@ -38,6 +38,7 @@ from cellarbook.sources.sinks import write_table
 WORDS, PERCENT = 5, 80
 FIRST = 4  # shingles of a set that the first rounds look at
 PARTNERS = 256  # partners of one set in one prefix tree
+BEFORE = 4  # shingles before a shared one that show whether it is the first
 BITS = 512  # of the parity sketch of a small set; a larger one has a power of two not below its size
 BROADCAST_ROWS = 400_000  # of (doc_id, digest), about 25 MB; more are joined with a shuffle
 
@@ -128,17 +129,20 @@ def _later_pairs(reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     named = join_side(reps, known, ["rep"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     named = join_side(named, sizes, ["comp"], "left")
     members = F.coalesce("members", F.lit(0)).cast("int").alias("members")
-    rows = named.select("rep", F.col("n").cast("int").alias("n"), "comp", members, F.posexplode("prefix").alias("at", "token"))
+    before = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.slice("prefix", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before")))
+    rows = named.select("rep", F.col("n").cast("int").alias("n"), "comp", members, F.posexplode(before).alias("at", "x"))
+    rows = rows.select("rep", "n", "comp", "members", "at", "x.token", "x.before")
     largest = F.max(F.struct("members", "comp")).getField("comp")
     tokens = rows.groupBy("token").agg(largest.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     tokens = write_table(tokens.where("low < high").select("token", "main"), scratch_path(spark, "tokens"))
-    shared = join_side(rows.drop("members"), tokens, ["token"]).join(reps.select("rep", "bits"), "rep")
-    shared = write_table(shared, scratch_path(spark, "shared"))
+    shared = write_table(join_side(rows.drop("members"), tokens, ["token"]), scratch_path(spark, "shared"))
     # Within a token, all that is not in its largest component meets everything of other components.
-    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at", "bits")))
+    # A pair is needed at its first common shingle only: there, all that they share is still to come, and none
+    # of the shingles just before is common.
+    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at", "before")))
     may = f"""l_comp <> comp AND (comp = main OR l_rep < rep) AND {_close(percent, 'l_n', 'n')}
-        AND {100 + percent} * (least(l_at, at) + least(l_n - l_at, n - at)) >= {percent} * (l_n + n)
-        AND {_near_bits(percent, "l_bits", "bits", "l_n", "n")}"""
+        AND {100 + percent} * least(l_n - l_at, n - at) >= {percent} * (l_n + n)
+        AND NOT arrays_overlap(l_before, before)"""
     pairs = left.join(shared, "token").where(may)
     return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
 
@@ -151,7 +155,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
     pairs = pairs.where(_near_bits(percent, "bits_a", "bits_b", "n_a", "n_b")).select("a", "b")
     pairs = write_table(pairs, scratch_path(spark, "pairs"))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    ids = write_table(reps.select("rep", "sig").join(ids, "rep", "left_semi").withColumnRenamed("rep", "doc_id"), scratch_path(spark, "partners"))
+    ids = write_table(reps.select("rep", "doc_id", "sig").join(ids, "rep", "left_semi"), scratch_path(spark, "partners"))
 
     def full(batches):
         rows: list[tuple] = []
@@ -165,7 +169,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
 
     schema = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = docs.join(side, "doc_id").select("doc_id", "sig", "text")
+    texts = docs.join(side, "doc_id").select("rep", "sig", "text")
     sets = write_table(texts.mapInArrow(full, "id long, keys binary"), scratch_path(spark, "sets"))
     # A set with many partners is looked up in several trees.
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("trees"))
@@ -207,7 +211,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
 
     Two documents link when their sets' Jaccard similarity is at least `percent` / 100. Null and empty texts
     have empty sets and link with nothing. A row without doc_id has no component. Rows that share a doc_id
-    have sets of their own under one name. Other columns are ignored. An empty table gives no rows.
+    have sets, and links, of their own. Other columns are ignored. An empty table gives no rows.
     """
     if percent < 50:
         raise ValueError("sketches are compared for similarities of one half and more")
@@ -217,13 +221,18 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     heads = write_table(_heads(docs, words, percent, levels), scratch_path(spark, "heads"))
     known = heads.where("n > 0 AND doc_id IS NOT NULL")
     groups = known.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    reps = write_table(groups.select("sig", F.col("r.doc_id").alias("rep"), "r.n", "r.prefix", "r.bits", "copies"), scratch_path(spark, "reps"))
+    # Sets have numbers of their own: a doc_id may stand for several.
+    numbered = groups.select(F.monotonically_increasing_id().alias("rep"), "sig", "r.doc_id", "r.n", "r.prefix", "r.bits", "copies")
+    reps = write_table(numbered, scratch_path(spark, "reps"))
     first = _links(docs, reps, _first_pairs(reps, percent), words, percent, levels)
     first = first.union(_links(docs, reps, _first_pairs(reps, percent, first), words, percent, levels))
     later = _links(docs, reps, _later_pairs(reps, components(first), percent), words, percent, levels)
     final = write_table(components(first.union(later)).withColumnRenamed("node", "rep"), scratch_path(spark, "final"))
-    shared = join_side(reps.select("sig", "rep", "copies"), final, ["rep"], "left").where("copies > 1 OR component IS NOT NULL")
-    shared = write_table(shared.select("sig", F.coalesce("component", "rep").alias("component_id")), scratch_path(spark, "shared"))
+    named = join_side(reps.select("sig", "rep", "doc_id", "copies"), final, ["rep"], "left")
+    named = write_table(named.withColumn("component", F.coalesce("component", "rep")), scratch_path(spark, "named"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("members"))
+    least = write_table(least.where("members > 1").drop("members"), scratch_path(spark, "least"))
+    shared = write_table(join_side(named, least, ["component"]).select("sig", "component_id"), scratch_path(spark, "shared"))
     out = join_side(heads.select("doc_id", "n", "sig"), shared, ["sig"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"))

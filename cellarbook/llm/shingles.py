@@ -44,7 +44,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, levels: Leve
 
     A-Z count as a-z. A text with fewer words has its whole sequence as its only shingle; without words none.
     """
-    found = find_words(data, offsets, lower=True)
+    found = find_words(data, offsets, lower=True, digests=True)
     h, n = found.hashes, len(found.hashes)
     whole = np.zeros(max(0, n - words + 1), np.uint64)
     for i in range(words):
@@ -91,7 +91,7 @@ def corpus_levels(docs: DataFrame, words: int) -> Levels:
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 sets += shingle_sets(data, offsets, words)
-                seen.append(find_words(data, offsets, lower=True).hashes)
+                seen.append(find_words(data, offsets, lower=True, digests=True).hashes)
                 size += len(seen[-1])
                 if size > COUNTED:
                     yield out(sets, seen)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cellarbook.llm.words import LOWER, SPACE, chunks, hash_spans, ragged, runs
+from cellarbook.llm.words import KEPT, LOWER, SPACE, chunks, hash_spans, ragged, runs
 
 #: Pieces kept per worker. A full table keeps the pieces met again; this bounds memory and changes no result.
 TABLE_PIECES = 300_000
@@ -78,16 +78,22 @@ class Pieces:
     def __post_init__(self):
         self.lengths = self.ends - self.starts
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        self.head = _eight(padded, self.starts, self.lengths)
-        self.tail = _eight(padded, np.maximum(self.ends - 8, self.starts), self.lengths)
+        # The eight bytes from each place on as one number, without a copy; a short piece keeps its own only.
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        kept = KEPT[np.minimum(self.lengths, 8)]
+        self.head = eight[self.starts] & kept
+        self.tail = eight[np.maximum(self.ends - 8, self.starts)] & kept
 
     def marks(self, at: np.ndarray) -> np.ndarray:
         return np.stack([self.lengths[at].astype(np.uint64), self.head[at], self.tail[at]], 1)
 
     def like(self, first: np.ndarray) -> np.ndarray:
         """Whether each piece has the bytes of the piece that `first` names for it."""
-        same = (self.marks(np.arange(len(first))) == self.marks(first)).all(axis=1)
-        long = np.flatnonzero(same & (self.lengths > 16) & (first != np.arange(len(first))))
+        same = (self.head == self.head[first]) & (self.lengths == self.lengths[first])
+        more = np.flatnonzero(same & (self.lengths > 8))
+        same[more] = self.tail[more] == self.tail[first[more]]
+        long = more[self.lengths[more] > 16]
+        long = long[same[long] & (first[long] != long)]
         if len(long):
             sizes = self.lengths[long]
             equal = self.data[ragged(self.starts[long], sizes)] == self.data[ragged(self.starts[first[long]], sizes)]
@@ -95,14 +101,6 @@ class Pieces:
         return same
 
 
-def _eight(padded: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Up to eight bytes from each place, as one number; no more than the piece has."""
-    words = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        words = words << np.uint64(8) | np.where(i < lengths, padded[np.minimum(at + i, len(padded) - 1)], 0).astype(np.uint64)
-    return words
-
-
 class Encoder:
     """Ids of whole texts, the end id last.
 

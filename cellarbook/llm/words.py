@@ -6,6 +6,7 @@ White space is the six ASCII characters (space and U+0009 to U+000D), so words a
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,6 +84,29 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverses[starts])
 
 
+#: Bits of a word's first n bytes.
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def digest_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digest of each span of bytes, without the patterns that `hash_spans` takes for one another.
+
+    Up to sixteen bytes are scrambled whole, as their first and last eight; longer spans go through blake2b.
+    """
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on, without a copy
+    kept = KEPT[np.minimum(lengths, 8)]
+    head, tail = eight[starts] & kept, eight[np.maximum(ends - 8, starts)] & kept
+    out = mix(mix(head + lengths.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A35)) * np.uint64(0xB5026F5AA96619E9) + tail)
+    long = np.flatnonzero(lengths > 16)
+    if len(long):
+        raw = data.tobytes()
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in spans]
+    return out
+
+
 def hash_windows(data: np.ndarray, width: int) -> np.ndarray:
     """`hash_spans` of every run of `width` bytes."""
     powers, inverses = _powers(len(data) + 1)
@@ -102,13 +126,17 @@ class Words:
     first: np.ndarray
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of texts laid end to end; none reaches over the end of a text. `lower`: A-Z hash as a-z."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, digests: bool = False) -> Words:
+    """Words of texts laid end to end; none reaches over the end of a text. `lower`: A-Z hash as a-z.
+
+    With `digests` the hashes are those of `digest_spans`.
+    """
     cuts = np.zeros(len(data), bool)
     inner = offsets[offsets < len(data)]
     cuts[inner] = True
     starts, ends = runs(~SPACE[data], cuts)
-    return Words(starts, ends, hash_spans(LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, offsets))
+    hashes = (digest_spans if digests else hash_spans)(LOWER[data] if lower else data, starts, ends)
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -100,3 +100,39 @@ def test_components_of_long_chains_and_stars(spark):
     want = {x: t for x, t in graph.forest([p for p in links if None not in p]).items() if x != t}
     assert out == want
     assert graph.components(frame.limit(0)).collect() == []
+
+
+def test_words_that_a_polynomial_hash_takes_for_one(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[x ^ turn] for x in bits) for turn in (0, 1))
+    rows = [(1, one), (2, two), (3, one), (4, f"x {one} y z"), (5, f"x {two} y z"), (6, f"X {one} Y Z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join.group(frame, 3, 90)) == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (2, 4), 5: (2, 5), 6: (2, 4)}
+
+
+def test_rows_that_share_an_id_keep_their_sets_and_links(spark):
+    rng = random.Random(9)
+    first, second = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+
+    def edited(words):
+        return " ".join([*words[:-1], f"x{rng.randrange(10**6)}"])
+
+    rows = [(50, edited(first)), (50, edited(second)), (7, edited(first)), (8, edited(second)), (60, edited(second)), (50, "alone here now")]
+    for _ in range(3):
+        rng.shuffle(rows)
+        out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90).collect())
+        assert out == sorted([(50, 78, 7), (50, 78, 8), (7, 78, 7), (8, 78, 8), (60, 78, 8), (50, 1, 50)])
+
+
+def test_digests_tell_spans_apart():
+    from cellarbook.llm.words import digest_spans
+
+    rng = np.random.default_rng(4)
+    texts = {bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in rng.integers(1, 40, 3000)} | {b"\0", b"\0\0", b"a\0", b"a"}
+    data = np.frombuffer(b"".join(sorted(texts)), np.uint8)
+    ends = np.cumsum([len(t) for t in sorted(texts)])
+    starts = ends - [len(t) for t in sorted(texts)]
+    digests = digest_spans(data, starts, ends)
+    assert len(set(digests.tolist())) == len(texts)
+    again = digest_spans(data[starts[5] :], starts[5:] - starts[5], ends[5:] - starts[5])
+    assert (again == digests[5:]).all()

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.llm import trie
+from cellarbook.llm.batches import small_batches
 from cellarbook.llm.graph import components
 from cellarbook.llm.shingles import Levels, corpus_levels, shingle_sets
 from cellarbook.llm.words import chunks
@@ -129,20 +130,21 @@ def _later_pairs(reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     named = join_side(reps, known, ["rep"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     named = join_side(named, sizes, ["comp"], "left")
     members = F.coalesce("members", F.lit(0)).cast("int").alias("members")
-    before = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), F.slice("prefix", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before")))
-    rows = named.select("rep", F.col("n").cast("int").alias("n"), "comp", members, F.posexplode(before).alias("at", "x"))
-    rows = rows.select("rep", "n", "comp", "members", "at", "x.token", "x.before")
+    rows = named.select("rep", F.col("n").cast("int").alias("n"), "comp", members, F.posexplode("prefix").alias("at", "token"))
     largest = F.max(F.struct("members", "comp")).getField("comp")
     tokens = rows.groupBy("token").agg(largest.alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     tokens = write_table(tokens.where("low < high").select("token", "main"), scratch_path(spark, "tokens"))
-    shared = write_table(join_side(rows.drop("members"), tokens, ["token"]), scratch_path(spark, "shared"))
+    before = F.slice("prefix", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least("at", F.lit(BEFORE))).alias("before")
+    shared = join_side(rows.drop("members"), tokens, ["token"]).join(reps.select("rep", "prefix", "bits"), "rep")
+    shared = write_table(shared.select("token", "main", "rep", "n", "comp", "at", before, "bits"), scratch_path(spark, "shared"))
     # Within a token, all that is not in its largest component meets everything of other components.
     # A pair is needed at its first common shingle only: there, all that they share is still to come, and none
     # of the shingles just before is common.
-    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at", "before")))
+    left = shared.where("comp <> main").select("token", *(F.col(c).alias(f"l_{c}") for c in ("rep", "n", "comp", "at", "before", "bits")))
     may = f"""l_comp <> comp AND (comp = main OR l_rep < rep) AND {_close(percent, 'l_n', 'n')}
         AND {100 + percent} * least(l_n - l_at, n - at) >= {percent} * (l_n + n)
-        AND NOT arrays_overlap(l_before, before)"""
+        AND NOT arrays_overlap(l_before, before)
+        AND {_near_bits(percent, "l_bits", "bits", "l_n", "n")}"""
     pairs = left.join(shared, "token").where(may)
     return pairs.select(F.least("l_rep", "rep").alias("a"), F.greatest("l_rep", "rep").alias("b")).distinct()
 
@@ -216,6 +218,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     if percent < 50:
         raise ValueError("sketches are compared for similarities of one half and more")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     levels = spark.sparkContext.broadcast(corpus_levels(docs, words))
     heads = write_table(_heads(docs, words, percent, levels), scratch_path(spark, "heads"))

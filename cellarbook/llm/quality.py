@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellarbook.llm.batches import small_batches
 from cellarbook.llm.words import chunks, find_words, hash_spans, mix
 
 #: Labelled documents that the model is fitted on, at most.
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Rows without id or label are left out, and of several labels of a document the smallest counts. The driver
     gets `sample` rows of TERMS numbers, however long the texts are.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `sample` rows

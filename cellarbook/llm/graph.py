@@ -10,7 +10,7 @@ from cellarbook.session import scratch_path
 from cellarbook.sources.sinks import write_table
 
 #: Nodes that a task holds at once while it joins its own links.
-HELD = 500_000
+HELD = 100_000
 
 
 def forest(pairs) -> dict[int, int]:

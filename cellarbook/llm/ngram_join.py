@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarbook.llm import trie
-from cellarbook.llm.batches import small_batches
+from cellarbook.llm.batches import handed_back, small_batches
 from cellarbook.llm.graph import components
 from cellarbook.llm.shingles import Levels, corpus_levels, shingle_sets
 from cellarbook.llm.words import chunks
@@ -82,7 +82,7 @@ def _heads(docs: DataFrame, words: int, percent: int, levels: Broadcast) -> Data
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>, bits array<long>")
+    return docs.mapInArrow(lambda batches: handed_back(run(batches)), "doc_id long, n long, sig binary, prefix array<long>, bits array<long>")
 
 
 def _close(percent: int, m: str, n: str) -> str:
@@ -172,7 +172,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
     schema = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.join(side, "doc_id").select("rep", "sig", "text")
-    sets = write_table(texts.mapInArrow(full, "id long, keys binary"), scratch_path(spark, "sets"))
+    sets = write_table(texts.mapInArrow(lambda batches: handed_back(full(batches)), "id long, keys binary"), scratch_path(spark, "sets"))
     # A set with many partners is looked up in several trees.
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("trees"))
     counts = write_table(counts, scratch_path(spark, "trees"))
@@ -205,7 +205,7 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     together = members.unionByName(probes).repartition("a", "tree").sortWithinPartitions("a", "tree", "kind")
-    return write_table(together.mapInArrow(look_up, "a long, b long"), scratch_path(spark, "links"))
+    return write_table(together.mapInArrow(lambda batches: handed_back(look_up(batches)), "a long, b long"), scratch_path(spark, "links"))
 
 
 def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

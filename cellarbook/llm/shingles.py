@@ -21,7 +21,7 @@ from cellarbook.sources.sinks import write_table
 
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
-COUNTED = 1 << 20  # shingles that a task counts at once
+COUNTED = 1 << 19  # shingles that a task counts at once
 COMMON = 32  # texts that share a shingle of level 1
 BY_WORDS, TOP = 22, 31  # largest class from words, and of all
 FREQUENT = 14  # level of a word at which, if all were like it, the class from words is the largest

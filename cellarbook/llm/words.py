@@ -27,7 +27,7 @@ _INVERSES = np.ones(1, np.uint64)
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < length:
-        size = max(length, 1 << 21)
+        size = max(1 << (length - 1).bit_length(), 1 << 20)
         steps = np.full(size, _BASE, np.uint64)
         steps[0] = 1
         back = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)

@@ -3,7 +3,7 @@
 Vectors are brought to one length by one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that
 the largest inner product becomes the smallest angle. Centroids come from a bounded sample, cut in halves of
 equal size again and again. A small-world graph in memory finds a vector's centroids; a vector near a boundary
-is put into several lists. A query reads the lists whose distance is within a ratio of its nearest one; an
+is put into several lists. A query reads all lists whose distance is within a ratio of its nearest one; an
 audit against brute force on a few queries sets that ratio. Long lists are read in parts by several tasks.
 """
 
@@ -13,7 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarbook.llm.hnsw import Hnsw
@@ -25,7 +25,9 @@ from cellarbook.sources.sinks import write_table
 SAMPLE, CENTROIDS = 32_768, 4096
 LIST = 1024  # vectors of a list before copies, as far as CENTROIDS allows
 COPIES, BOUNDARY = 4, 1.06  # lists of a vector, and how much farther than the nearest they may be
-AUDITED, COVERED = 48, 0.985  # queries of the audit, and the share of true neighbours their lists must hold
+AUDITED, COVERED = 256, 0.985  # queries of the audit, and the share of true neighbours their lists must hold
+WORST = 0.9  # and the share of each audited query's own
+BANDS = 4  # groups of queries, by the distance of the nearest list, that have a ratio of their own
 PART = 4096  # vectors of a list that are read by one task
 TOGETHER = 128
 
@@ -75,7 +77,7 @@ class Lists:
     def __init__(self, centers: np.ndarray, most: float):
         self.centers, self.most = centers, most
         self.graph = Hnsw.build(centers)
-        self.ratio, self.beam = 1.0, min(len(centers), 16)
+        self.edges, self.ratios, self.beam = np.zeros(0), np.array([2.0]), min(len(centers), 16)
 
     def of_vectors(self, vectors: np.ndarray):
         """(row, list) of vectors: the nearest list, and others about as near."""
@@ -84,27 +86,57 @@ class Lists:
         return self._within(ids, far, BOUNDARY)
 
     def of_queries(self, queries: np.ndarray):
-        ids, cosines = self.graph.search(_asked(queries), self.beam)
-        return self._within(ids, _distance(cosines), self.ratio)
+        """(row, list) of queries: all lists within the ratio, found with a beam that widens until one lies beyond it."""
+        asked, todo, beam = _asked(queries), np.arange(len(queries)), self.beam
+        rows, lists = [], []
+        while len(todo):
+            ids, cosines = self.graph.search(asked[todo], beam)
+            far = _distance(cosines)
+            ratio = self.ratios[np.searchsorted(self.edges, far[:, 0], side="right")]
+            beyond = (ids[:, -1] < 0) | (far[:, -1] > ratio * far[:, 0] + 1e-6) | (beam >= len(self.centers))
+            row, own = self._within(ids[beyond], far[beyond], ratio[beyond, None])
+            rows.append(todo[beyond][row])
+            lists.append(own)
+            todo, beam = todo[~beyond], min(2 * beam, len(self.centers))
+        return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+    def of_all(self, queries: np.ndarray):
+        """(row, list) of every query and every list."""
+        rows, lists = np.divmod(np.arange(len(queries) * len(self.centers)), len(self.centers))
+        return rows, lists
 
     @staticmethod
-    def _within(ids: np.ndarray, far: np.ndarray, ratio: float):
+    def _within(ids: np.ndarray, far: np.ndarray, ratio):
         rows, k = np.nonzero((ids >= 0) & (far <= ratio * far[:, :1] + 1e-6))
         return rows, ids[rows, k]
 
     def audit(self, queries: np.ndarray, neighbours: list[np.ndarray]) -> None:
-        """Set the ratio so that the queries' lists hold the share COVERED of their true neighbours."""
-        needs, counts = [], []
+        """Set the ratios so that lists within them hold, in each band, the share COVERED of all true neighbours and WORST
+        of every query's own; then widen the beam until the lists that the graph finds hold as many."""
+        needs, near, first = [], [], []
         every = _distance(_asked(queries) @ self.centers.T)
         for far, vectors in zip(every, neighbours, strict=True):
+            rows, lists = self.of_vectors(vectors) if len(vectors) else (np.zeros(0, int), np.zeros(0, int))
+            near.append((len(vectors), rows, lists))
             if len(vectors):
-                rows, lists = self.of_vectors(vectors)
                 best = np.full(len(vectors), np.inf)
                 np.minimum.at(best, rows, far[lists])
-                needs += (best / far.min()).tolist()
-        self.ratio = float(np.quantile(needs, COVERED)) + 1e-3 if needs else 2.0
-        counts = (every <= self.ratio * every.min(1, keepdims=True) + 1e-6).sum(1)
-        self.beam = int(min(len(self.centers), max(16, 1.25 * counts.max(initial=0))))
+                needs.append(best / max(far.min(), 1e-9))
+                first.append(far.min())
+        if not needs:
+            return
+        bands = np.array_split(np.argsort(first, kind="stable"), min(BANDS, len(first)))
+        self.edges = np.array([first[band[0]] for band in bands[1:]])
+        of_band = [[needs[i] for i in band] for band in bands]
+        self.ratios = 1e-3 + np.array([max(np.quantile(np.concatenate(own), COVERED), max(np.quantile(x, WORST) for x in own)) for own in of_band])
+        while self.beam < len(self.centers) and self._held(queries, near) < COVERED - 0.005:
+            self.beam = min(2 * self.beam, len(self.centers))
+
+    def _held(self, queries: np.ndarray, near: list) -> float:
+        """Share of the neighbours that lie in lists found for their query."""
+        rows, lists = self.of_queries(queries)
+        held = sum(len(np.unique(r[np.isin(own, lists[rows == i])])) for i, (_, r, own) in enumerate(near))
+        return held / sum(n for n, _, _ in near)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -159,11 +191,15 @@ def _found(triple) -> pa.RecordBatch:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, ranked; a query has at most k entries from every list part it read."""
-    every = found.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("best"))
-    best = F.slice(F.array_sort(F.array_distinct("best")), 1, k)
-    rows = every.select("query_id", F.posexplode(best).alias("place", "b"))
-    return rows.select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))
+    """The k best of each query, ranked. A rank's limit is applied before the shuffle as well as behind it.
+
+    Equal entries come from copies of a vector in several lists and share one rank.
+    """
+    every = found.select("query_id", F.explode("best").alias("b")).select("query_id", "b.minus", "b.vec_id")
+    order = Window.partitionBy("query_id").orderBy("minus", "vec_id")
+    ranked = every.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k)
+    distinct = ranked.dropDuplicates(["query_id", "rank"])  # rows of a rank are equal
+    return distinct.select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score"))
 
 
 def _brute(rows: DataFrame, names: np.ndarray, queries: np.ndarray, dim: int, k: int) -> DataFrame:
@@ -179,9 +215,9 @@ def _brute(rows: DataFrame, names: np.ndarray, queries: np.ndarray, dim: int, k:
     return rows.select("vec_id", "vec").join(F.broadcast(top), "vec_id")  # AUDITED * k rows at most
 
 
-def _fit(rows: DataFrame, dim: int, most: float, count: int, queries, k: int) -> Lists:
+def _fit(rows: DataFrame, dim: int, most: float, count: int, queries, k: int, size: int) -> Lists:
     sample = rows.orderBy(F.xxhash64("vec_id", "sig"), "vec_id").limit(SAMPLE).select("vec").collect()
-    groups = min(CENTROIDS, max(1, -(-count // LIST)))
+    groups = min(CENTROIDS, max(1, -(-count // size)))
     lists = Lists(centroids(lifted(matrix([r.vec for r in sample], dim), most), groups), most)
     asked = rows.where(queries).orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDITED).select("vec_id", "vec").collect()
     if asked:
@@ -193,30 +229,28 @@ def _fit(rows: DataFrame, dim: int, most: float, count: int, queries, k: int) ->
     return lists
 
 
-def _search_dim(rows: DataFrame, dim: int, most: float, count: int, queries, k: int) -> DataFrame:
+def _search_dim(rows: DataFrame, dim: int, most: float, count: int, queries, k: int, size: int) -> DataFrame:
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(_fit(rows, dim, most, count, queries, k))
+    shared = spark.sparkContext.broadcast(_fit(rows, dim, most, count, queries, k, size))
 
-    def placed(rows: DataFrame, ask: bool) -> DataFrame:
+    def placed(rows: DataFrame, rule: str) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for low in range(0, batch.num_rows, 2048):
                     part = batch.slice(low, 2048)
                     vectors = matrix(part.column(1).to_pylist(), dim)
-                    at, lists = (shared.value.of_queries if ask else shared.value.of_vectors)(vectors)
+                    at, lists = getattr(shared.value, rule)(vectors)
                     arrays = [pa.array(lists, pa.int32()), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))]
                     yield pa.RecordBatch.from_arrays(arrays, ["list", "id", "vec"])
 
         return rows.select("vec_id", "vec").mapInArrow(run, "list int, id long, vec binary")
 
-    lists = write_table(placed(rows, False), scratch_path(spark, "lists"))
+    lists = write_table(placed(rows, "of_vectors"), scratch_path(spark, "lists"))
     sizes = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     # One row per list, CENTROIDS at most.
     sizes = F.broadcast(write_table(sizes, scratch_path(spark, "list-sizes")))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
     members = lists.join(sizes, "list").select("list", part, F.lit(0).alias("kind"), "id", "vec")
-    asked = placed(rows.where(queries), True).join(sizes, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
 
     def read(batches):
         def every():
@@ -239,22 +273,35 @@ def _search_dim(rows: DataFrame, dim: int, most: float, count: int, queries, k:
             names, queries = np.array([x for x, _ in asking]), matrix([v for _, v in asking], dim)
             yield _found(nearest(queries, names, vectors, ids, k))
 
-    together = members.union(asked).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
-    return _top(together.mapInArrow(read, FOUND), k)
+    def searched(some: DataFrame, rule: str) -> DataFrame:
+        asked = placed(some, rule).join(sizes, "list")
+        asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
+        together = members.union(asked).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
+        return _top(together.mapInArrow(read, FOUND), k)
+
+    asking = rows.where(queries)
+    found = write_table(searched(asking, "of_queries"), scratch_path(spark, "found"))
+    full = found.where(F.col("rank") == min(k, count - 1)).select(F.col("query_id").alias("vec_id"))
+    short = write_table(asking.join(full, "vec_id", "left_anti"), scratch_path(spark, "short"))
+    if count < 2 or short.isEmpty():
+        return found
+    kept = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return kept.union(searched(short, "of_all"))
 
 
-def search(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
+def search(vectors: DataFrame, queries: str, k: int = 20, list_size: int = LIST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row that the SQL condition `queries` on vec_id picks.
 
     Candidates are all rows but those with the query's own vec_id. Vectors that are null, zero or hold null or
     non-finite components, and rows without vec_id, take no part; vectors of other lengths are not compared.
-    Of rows that share a vec_id the best counts. Other columns are ignored. An empty table gives no rows. The
+    Rows that share a vec_id and differ in their values are candidates of their own under one name; equal ones
+    count once. Other columns are ignored. An empty table gives no rows. The
     driver loops over the lengths that occur.
     """
     spark = vectors.sparkSession
     rows = write_table(prepared(vectors).where("dim > 0 AND vec_id IS NOT NULL"), scratch_path(spark, "vectors"))
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for dim, most, count in rows.groupBy("dim").agg(F.max("norm"), F.count(F.lit(1))).collect():
-        found = _search_dim(rows.where(F.col("dim") == dim), dim, most, count, F.expr(queries), k)
+        found = _search_dim(rows.where(F.col("dim") == dim), dim, most, count, F.expr(queries), k, list_size)
         out = out.union(found.select("query_id", "rank", "vec_id", "score"))
     return out

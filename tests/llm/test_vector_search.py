@@ -70,3 +70,42 @@ def test_groups_of_equal_size():
     rng = np.random.default_rng(7)
     centers = vector_search.centroids(rng.standard_normal((1000, 8)).astype(np.float32), 30)
     assert len(centers) == 32 and np.allclose((centers**2).sum(1), 1, atol=1e-5)
+
+
+def test_recall_over_many_lists(spark):
+    """20,000 vectors in 128 lists: clusters of many sizes, and vectors without structure."""
+    rng = np.random.default_rng(8)
+    base, sizes = rng.standard_normal((300, 24)), rng.zipf(1.5, 10_000) % 300
+    clustered = base[sizes] * (0.5 + rng.random((10_000, 1))) + 0.4 * rng.standard_normal((10_000, 24))
+    v = np.concatenate([clustered, rng.standard_normal((10_000, 24))])
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(8)
+    asked = np.arange(0, len(v), 100)
+    scores = v[asked] @ v.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {int(q): set(np.argsort(-s)[:20].tolist()) for q, s in zip(asked, scores)}
+    found = got(vector_search.search(frame, "vec_id % 100 = 0", 20, list_size=160))
+    shares = np.array([len({i for i, _ in found[q]} & own) / 20 for q, own in want.items()])
+    assert shares.mean() >= 0.95 and shares.min() >= 0.7, (shares.mean(), shares.min())
+
+
+def test_every_list_within_the_ratio_is_found():
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((300, 8)).astype(np.float32)
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    lists, queries = vector_search.Lists(centers, 1.0), rng.standard_normal((50, 7))
+    lists.ratios = np.array([1.6])
+    rows, own = lists.of_queries(queries)
+    far = vector_search._distance(vector_search._asked(queries) @ centers.T)
+    want = far <= 1.6 * far.min(1, keepdims=True)
+    assert want.sum(1).max() > 16
+    assert want[rows, own].mean() > 0.99 and len(rows) >= 0.98 * want.sum()
+
+
+def test_queries_whose_lists_hold_too_few(spark):
+    """A far vector has a list of its own; its query is answered from all lists."""
+    rng = np.random.default_rng(10)
+    rows = [(i, (rng.standard_normal(6) + [9, 0, 0, 0, 0, 0]).tolist()) for i in range(1, 400)] + [(0, [-9.0, 0, 0, 0, 0, 0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, found = by_hand(rows, lambda i: i % 50 == 0, 20), got(vector_search.search(frame, "vec_id % 50 = 0", 20, list_size=10))
+    assert all(len(own) == 20 for own in found.values()) and set(found) == set(want)
+    check_scores(found, rows)

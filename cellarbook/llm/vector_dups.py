@@ -1,9 +1,12 @@
 """Near copies among vectors: small-world graphs per shard, every shard searched, cosines verified, links joined.
 
 Equal vectors stand behind one of them. The others are dealt to shards by hash, each shard gets a graph
-(`hnsw.Hnsw`), and its vectors search the graphs of their own and of every later shard in blocks. In each
-search probes with a known answer at the wanted cosine audit the recall, and the beam is doubled until they
-are found. A vector whose whole beam is similar is compared with all vectors of the shard, the widest beam.
+(`hnsw.Hnsw`), and its vectors search the graphs of their own and of every later shard in blocks. Probes with
+a known answer at the wanted cosine audit each graph's recall, and its beam is doubled until they are found.
+A vector whose whole beam is similar is compared with all vectors of the shard, the widest beam.
+
+Graphs are written once, a folder of the shared scratch table for each shard. The tasks that search get only the
+numbers of shards and blocks and open the folders by path, so that no vector is shuffled for a search.
 
 A task reports the number of links of each vector and a spanning forest of its links, never all pairs of a
 large group.
@@ -11,11 +14,11 @@ large group.
 
 from __future__ import annotations
 
-from itertools import groupby
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +31,37 @@ from cellarbook.sources.sinks import write_table
 
 COSINE = 0.95
 SHARD = 32_768  # vectors of one graph, on average
-BLOCK = 1024  # vectors that search together
-BLOCKS = 2  # blocks for which a graph is sent to a task
+BLOCK = 4096  # vectors of a shard that search another one together
+UNITS = 8  # blocks that a task searches with, as far as there are more tasks than twice the cores
 BEAM = 24
 PROBES, RECALL = 128, 0.99
-SHARDS = "dim int, shard int, kind int, block int, ids binary, copies binary, vecs binary, graph array<binary>"
+SHARDS = "dim int, shard int, n long, beam int, ids binary, copies binary, vecs binary, graph array<binary>"
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row with the graph of a shard, and its vectors in blocks."""
+def _build(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """One row with the vectors of a shard, their graph, and its audited beam."""
     rows = rows.sort_values("rep", kind="stable")
     dim, shard = int(rows["dim"].iloc[0]), int(rows["shard"].iloc[0])
     ids, copies, vecs = rows["rep"].to_numpy("<i8"), rows["copies"].to_numpy("<i8"), matrix(rows["vec"], dim)
-    graph = Hnsw.build(unit(vecs).astype(np.float32))
-    out = [(dim, shard, 0, -1, ids.tobytes(), copies.tobytes(), vecs.tobytes(), graph.blob())]
-    for i in range(0, len(ids), BLOCK):
-        part = slice(i, i + BLOCK)
-        out.append((dim, shard, 1, i // BLOCK, ids[part].tobytes(), copies[part].tobytes(), vecs[part].tobytes(), []))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SHARDS.split(", ")])
+    units = unit(vecs)
+    graph = Hnsw.build(units.astype(np.float32))
+    out = (dim, shard, len(ids), audited_beam(graph, units, cosine, BEAM), ids.tobytes(), copies.tobytes(), vecs.tobytes(), graph.blob())
+    return pd.DataFrame([out], columns=[c.split()[0] for c in SHARDS.split(", ")])
+
+
+class Shard:
+    """A shard read from its folder; `graph` is None unless asked for."""
+
+    def __init__(self, folder: str, dim: int, shard: int, searched: bool):
+        if folder.startswith("file:"):
+            folder = "/" + folder.removeprefix("file:").lstrip("/")
+        files, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        columns = ["beam", "ids", "copies", "vecs"] + ["graph"] * searched
+        table = pq.read_table(f"{root}/dim={dim}/shard={shard}", filesystem=files, columns=columns, partitioning=None)
+        beam, ids, copies, vecs, *graph = (table.column(c)[0].as_py() for c in columns)
+        self.beam, self.ids, self.copies = beam, np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8")
+        self.units = unit(np.frombuffer(vecs, np.float64).reshape(-1, dim))
+        self.graph = Hnsw.opened(self.units.astype(np.float32), graph[0]) if searched else None
 
 
 def audited_beam(graph: Hnsw, vectors: np.ndarray, cosine: float, beam: int) -> int:
@@ -88,37 +104,33 @@ def linked(graph: Hnsw, all_units: np.ndarray, queries: np.ndarray, cosine: floa
         yield x[good] + low, y[good]
 
 
-def _search_all(batches, cosine: float):
-    """Searches of the blocks that came with a graph: (a, b, 0) for links of a forest, (a, null, n) for counts."""
-
-    def rows():
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield [c[i].as_py() for c in batch.columns]
-
-    opened = None
-    for key, group in groupby(rows(), key=lambda r: r[:4]):  # dim, target, source, part
-        links: dict[int, int] = {}
-        counts: dict[int, int] = {}
-        for _, _, _, _, kind, ids, copies, vecs, graph in group:
-            ids, copies = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8")
-            units = unit(np.frombuffer(vecs, np.float64).reshape(-1, key[0]))
-            if kind == 0:
-                own = Hnsw.opened(units.astype(np.float32), graph)
-                opened = own, ids, copies, units, audited_beam(own, units, cosine, BEAM)
-                continue
-            own, there, there_copies, there_units, beam = opened
-            for x, y in linked(own, there_units, units, cosine, beam):
-                other = ids[x] != there[y]
-                a, b = ids[x[other]], there[y[other]]
-                np_counts(counts, a, there_copies[y[other]])
-                if key[1] != key[2]:  # a later shard does not search this one
+def _search_all(batches, folder: str, cosine: float):
+    """Searches of blocks of a shard in another one: (a, b, 0) for links of a forest, (a, null, n) for counts."""
+    target: tuple[tuple[int, int] | None, Shard | None] = (None, None)
+    source: tuple[tuple[int, int] | None, Shard | None] = (None, None)
+    for batch in batches:
+        for dim, there, here, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if target[0] != (dim, there):
+                target = (None, None)  # before the next one is opened
+                target = (dim, there), Shard(folder, dim, there, True)
+            if source[0] != (dim, here):
+                source = (None, None)
+                source = (dim, here), Shard(folder, dim, here, False)
+            own, asking = target[1], source[1]
+            part = slice(block * BLOCK, (block + 1) * BLOCK)
+            ids, copies = asking.ids[part], asking.copies[part]
+            links: dict[int, int] = {}
+            counts: dict[int, int] = {}
+            for x, y in linked(own.graph, own.units, asking.units[part], cosine, own.beam):
+                other = ids[x] != own.ids[y]
+                a, b = ids[x[other]], own.ids[y[other]]
+                np_counts(counts, a, own.copies[y[other]])
+                if there != here:  # a later shard does not search this one
                     np_counts(counts, b, copies[x[other]])
-                pairs = zip(a.tolist(), b.tolist(), strict=True)
-                links = forest([*links.items(), *pairs])
-        out = [(a, b, 0) for a, b in links.items() if a != b] + [(a, None, n) for a, n in counts.items()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
+                links = forest([*links.items(), *zip(a.tolist(), b.tolist(), strict=True)])
+            out = [(a, b, 0) for a, b in links.items() if a != b] + [(a, None, n) for a, n in counts.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "n"])
 
 
 def np_counts(counts: dict[int, int], names: np.ndarray, numbers: np.ndarray) -> None:
@@ -143,16 +155,20 @@ def group(vectors: DataFrame, cosine: float = COSINE, shard_size: int = SHARD) -
     reps = write_table(groups.select("dim", "sig", F.col("r.vec_id").alias("rep"), "r.vec", "copies"), scratch_path(spark, "reps"))
     shards = max(1, -(-reps.count() // shard_size))
     dealt = reps.drop("sig").withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    built = write_table(dealt.groupBy("dim", "shard").applyInPandas(_build, SHARDS), scratch_path(spark, "graphs"))
-    graphs, blocks = built.where("kind = 0"), built.where("kind = 1").withColumnRenamed("shard", "source")
-    blocks = blocks.withColumn("part", F.floor(F.col("block") / BLOCKS).cast("int"))
-    key = ["dim", "target", "source", "part"]
-    blocks = blocks.withColumn("target", F.explode(F.sequence(F.col("source"), F.lit(shards - 1))))
-    parts = blocks.select(key).distinct()
-    graphs = graphs.withColumnRenamed("shard", "target").join(parts, ["dim", "target"])
-    columns = [*key, "kind", "ids", "copies", "vecs", "graph"]
-    together = graphs.select(columns).union(blocks.select(columns)).repartition(*key).sortWithinPartitions(*key, "kind")
-    found = together.mapInArrow(lambda batches: _search_all(batches, cosine), "a long, b long, n long")
+    folder = scratch_path(spark, "graphs")
+    built = dealt.groupBy("dim", "shard").applyInPandas(lambda rows: _build(rows, cosine), SHARDS)
+    built.write.option("compression", "zstd").partitionBy("dim", "shard").parquet(folder)
+    sizes = spark.read.schema("n long, dim int, shard int").parquet(folder)  # without vectors there is no file
+    there = sizes.select("dim", F.col("shard").alias("target"))
+    here = sizes.withColumn("target", F.explode(F.sequence(F.col("shard"), F.lit(shards - 1)))).join(there, ["dim", "target"])
+    blocks = F.sequence(F.lit(0), ((F.col("n") - 1) / BLOCK).cast("int"))
+    units = here.select("dim", "target", F.col("shard").alias("source"), F.explode(blocks).alias("block"))
+    units = write_table(units, scratch_path(spark, "units"))
+    count = units.count()
+    tasks = max(1, min(count, max(2 * spark.sparkContext.defaultParallelism, count // UNITS)))
+    key = ["dim", "target", "source", "block"]
+    units = units.repartitionByRange(tasks, *key).sortWithinPartitions(*key)
+    found = units.mapInArrow(lambda batches: _search_all(batches, folder, cosine), "a long, b long, n long")
     found = write_table(found, scratch_path(spark, "found"))
     links = found.where("b IS NOT NULL")
     final = components(links).withColumnRenamed("node", "rep")

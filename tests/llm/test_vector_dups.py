@@ -57,3 +57,13 @@ def test_graph_finds_what_an_exact_search_finds():
     true = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, true)]) > 0.9
     assert (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_blocks_of_many_shards(spark, monkeypatch):
+    """Links within and across shards, each shard searched in several blocks."""
+    monkeypatch.setattr(vector_dups, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((40, 12))
+    rows = [(int(i), (base[i % 40] + 0.06 * rng.standard_normal(12)).tolist()) for i in rng.permutation(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert got(vector_dups.group(frame, shard_size=60)) == by_hand(rows)

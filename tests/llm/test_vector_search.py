@@ -104,7 +104,7 @@ def test_every_list_within_the_ratio_is_found():
 def test_queries_whose_lists_hold_too_few(spark):
     """A far vector has a list of its own; its query is answered from all lists."""
     rng = np.random.default_rng(10)
-    rows = [(i, (rng.standard_normal(6) + [9, 0, 0, 0, 0, 0]).tolist()) for i in range(1, 400)] + [(0, [-9.0, 0, 0, 0, 0, 0])]
+    rows = [(i, (rng.standard_normal(6) + np.eye(6)[0] * 9).tolist()) for i in range(1, 400)] + [(0, [-9.0] + [0.0] * 5)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want, found = by_hand(rows, lambda i: i % 50 == 0, 20), got(vector_search.search(frame, "vec_id % 50 = 0", 20, list_size=10))
     assert all(len(own) == 20 for own in found.values()) and set(found) == set(want)

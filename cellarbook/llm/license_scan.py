@@ -1,9 +1,10 @@
 """Licence notices in texts, by conditional compression.
 
-Sentences with words of licences, and those between them, are candidate blocks. Each block is compressed alone and with every
-template as a raw dictionary; the template that saves most is the likely source. The winner counts only if its
-exact wording holds: a run of the block's words that differs from the template in few words and in none of
-those that tell licences apart (names, versions, conditions). Short forms ("under the MIT License") hold word for word.
+Sentences with words of licences, and those between them, are candidate blocks. Each block is compressed alone
+and with every template and short form ("under the MIT License") that it may hold as a raw dictionary. They are
+tried from the largest saving on, and the first one counts whose exact wording holds: a run of the block's words
+that differs from the template in few words and in none of those that tell licences apart (names, versions,
+conditions); a short form holds word for word. What lies on either side of a notice is a block again.
 """
 
 from __future__ import annotations
@@ -191,15 +192,20 @@ def _forms():
     return forms, sorted({len(f) for f in forms}, reverse=True)
 
 
+@lru_cache(maxsize=4096)
+def _dictionary(words: tuple[str, ...]) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 def short_forms(block: list[str]):
-    """(0, -words, licence, -1, place) of the short forms in the block, which hold word for word."""
+    """(licence, words of the form, place) of the short forms in the block, which hold word for word."""
     forms, lengths = _forms()
     for at, word in enumerate(block):
         if word in ("under", "spdx"):
             for n in lengths:
-                if at + n <= len(block) and (name := forms.get(tuple(block[at : at + n]))):
-                    first = at - (at > 0 and block[at - 1] in LEADS)
-                    yield 0, first - at - n, name, -1, (first, at + n, 0)
+                own = tuple(block[at : at + n])
+                if len(own) == n and (name := forms.get(own)):
+                    yield name, own, (at - (at > 0 and block[at - 1] in LEADS), at + n, 0)
                     break
 
 
@@ -230,15 +236,30 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return [(x, min(x + PIECE, b)) for a, b in out for x in range(a, max(a + 1, b - (PIECE - STEP)), STEP)]
 
 
+def saved(block: str, dictionaries: list) -> list[float]:
+    """Share of its bytes that the compressed block loses with each of the dictionaries."""
+    raw = block.lower().encode("utf-8", "replace")
+    alone = len(zstandard.ZstdCompressor(level=3).compress(raw))
+    return [1 - len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(raw)) / alone for d in dictionaries]
+
+
 def savings(block: str, among: list[int] | None = None) -> list[tuple[float, int]]:
     """(share of bytes saved, template) for every template, or those of `among`; the largest saving first."""
     among = list(range(len(_templates()))) if among is None else among
-    if not among:
-        return []
-    raw = block.lower().encode("utf-8", "replace")
-    alone = len(zstandard.ZstdCompressor(level=3).compress(raw))
-    sizes = [len(zstandard.ZstdCompressor(level=3, dict_data=_templates()[i][2]).compress(raw)) for i in among]
-    return sorted(((1 - size / alone, i) for i, size in zip(among, sizes, strict=True)), key=lambda x: (-x[0], x[1]))
+    shares = saved(block, [_templates()[i][2] for i in among])
+    return sorted(zip(shares, among, strict=True), key=lambda x: (-x[0], x[1]))
+
+
+def ranked(text: str, block: list[str]) -> list[tuple[str, int, list[str], tuple[int, int, int] | None]]:
+    """(licence, template or -1, words, place if known) of what the block may hold, templates and short forms alike, the
+    one that compresses it best first. Equal savings go by length, then by the order of the templates."""
+    every = [(_templates()[i][0], i, _templates()[i][1], None) for i in likely(block)]
+    dictionaries = [_templates()[i][2] for _, i, _, _ in every]
+    for name, words, place in short_forms(block):
+        every.append((name, -1, list(words), place))
+        dictionaries.append(_dictionary(words))
+    order = sorted(zip(saved(text, dictionaries), every, strict=True), key=lambda x: (-x[0], -len(x[1][2])))
+    return [candidate for _, candidate in order]
 
 
 def wording(block: list[str], template: list[str]) -> tuple[int, int, int] | None:
@@ -303,19 +324,15 @@ def find(text: str) -> list[tuple[str, int, int]]:
             small, spans = words_of(text, a, b)
             if len(small) < 3 or not _CUE.search(text, a, b):
                 continue
-            may, held = likely(small), list(short_forms(small))
-            # The ranking is an order only: no template is left out that the block may hold.
-            for _, i in savings(text[a:b], may):
-                name, template, _ = _templates()[i]
-                if place := wording(small, template):
-                    held.append((place[2], -len(template), name, i, place))
-            if held:
-                _, _, name, i, (first, end, _) = min(held)
-                start, stop = spans[first][0], spans[end - 1][1]
-                # "MIT-0" is another licence than "MIT".
-                if not _FURTHER.match(text, stop):
-                    out[name, start, stop] = i
-                todo += [(a, start), (stop, b)]
+            # The first whose wording holds is the notice; one that does not hold leaves the block to the next.
+            for name, i, words, place in ranked(text[a:b], small):
+                if place := place or wording(small, words):
+                    start, stop = spans[place[0]][0], spans[place[1] - 1][1]
+                    # "MIT-0" is another licence than "MIT".
+                    if not _FURTHER.match(text, stop):
+                        out[name, start, stop] = i
+                    todo += [(a, start), (stop, b)]
+                    break
     return _clauses(sorted(out.items(), key=lambda x: (x[0][1], x[0][2])))
 
 

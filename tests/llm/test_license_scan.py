@@ -52,3 +52,13 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, [tuple(f) for f in r.found]) for r in L.scan(docs).collect()), key=str)
     assert got == sorted([(1, []), (1, []), (None, []), (2, [("MIT", 3, 33)])], key=str)
     assert L.scan(docs.limit(0)).collect() == []
+
+
+def test_the_ranking_decides(monkeypatch):
+    """The template and a short form both hold; the one that compresses the block better is the notice."""
+    line = PLANTED["GPL-3.0"]
+    assert [n for _, n, _, _ in L.ranked(line, L.words_of(line)[0])][-1] == -1
+    assert L.find(line) == [("GPL-3.0", 0, len(line) - 1)]
+    saved = L.saved
+    monkeypatch.setattr(L, "saved", lambda block, dictionaries: [-x for x in saved(block, dictionaries)])
+    assert L.find(line) == [("GPL-3.0", line.index("licensed"), len(line) - 1)]

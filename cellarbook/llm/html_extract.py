@@ -4,9 +4,10 @@ A page becomes a row of text blocks. A logistic classifier gives each block log
 are its capacities to the two terminals; blocks that follow each other or share a parent are tied by edges.
 The minimum cut keeps blocks with their surroundings unless their own evidence is stronger than the ties.
 
-The classifier's weights are fitted on a bounded sample of pages, where semantic elements (article, main; nav,
-footer, aside, form) tell some blocks' labels. They stay near prior weights, which hold for markup that the
-sample lacks.
+The classifier's evidence has two parts. Text and layout (length, links, punctuation, neighbours) have weights
+fitted on a bounded sample of pages, where semantic elements (article, main; nav, footer, aside) tell some blocks'
+labels; the fit sees neither those elements nor any name. Markup has fixed weights, and a name or form counts less
+the more of the page's own text it holds: what holds the article is its wrapper, whatever it is called.
 """
 
 from __future__ import annotations
@@ -34,13 +35,20 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT_TAGS = frozenset(("article", "main"))
-FRAME_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+FRAME_TAGS = frozenset("nav footer aside menu dialog".split())
+FORM_TAGS = frozenset(("form", "fieldset"))
 FRAME_WORDS = frozenset(
     "ad ads adv nav navbar navigation menu footer header sidebar side aside banner cookie cookies notice consent promo sponsor sponsored "
     "breadcrumb breadcrumbs share social related recommended newsletter subscribe signup login popup modal overlay toolbar widget "
     "pagination pager tags comment comments reply replies disqus contentinfo complementary search alert masthead topbar copyright legal".split()
 )
-FRAME_PARTS = re.compile("advert|cookie|sidebar|footer|comment|newsletter|breadcrumb|sponsor|promo|banner|navigation|subscri|related|popup")
+#: Names written as one word: a frame's name between what may stand before and behind it.
+FRAME_PARTS = re.compile(
+    r"(?:page|site|main|top|left|right|bottom|post|user|reader)?(?:advert|cookie|sidebar|footer|comment|newsletter|breadcrumb|sponsor|promo|banner|navigation|popup)"
+    r"(?:s|ing|isement|isements|ment|or|ors|bar|box|list|area|wrap|wrapper|section|form|notice|banner|block|container|content|thread|row|inner|menu|links|consent|policy)?"
+)
+#: Words that make a name a state of what holds the frame, or of the page: "has-sidebar", "comments-open".
+STATES = frozenset("has no with without layout on off open closed enabled disabled".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(
@@ -50,27 +58,36 @@ _TOKEN = re.compile(
 )
 _CLOSE = {raw: re.compile(rf"</{raw}\s*>", re.IGNORECASE) for raw in RAW.split()}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_HUMP = re.compile("(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
-FEATURES = ("one", "content_tag", "outside_content", "frame_tag", "frame_name", "content_name", "heading", "words", "links", "stop", "item")
-PRIOR = np.array([-1.0, 3.0, -3.0, -6.0, -6.0, 1.0, 0.5, 0.5, -3.0, 0.7, -0.7])
+MARKUP = ("content_tag", "outside_content", "frame_tag", "frame_name", "content_name")
+TEXT = ("one", "heading", "words", "links", "stop", "item", "commas", "near")
+FEATURES = MARKUP + TEXT
+PRIOR = np.array([3.0, -3.0, -6.0, -6.0, 1.0, -1.0, 0.5, 0.5, -3.0, 0.7, -0.7, 0.1, 0.1])
+TEXT_MOST = 2.5  # log odds that text and layout give at most, less than the elements of HTML
+#: A wrapper holds the page's title or main element with this share of its text, or else more and more of the text.
+TITLED, FADES, FADED = 0.3, 0.6, 0.9
 
 
 class _Element:
-    __slots__ = ("tag", "content", "frame", "framed", "named", "number")
+    """An open element. `frame` and `framed` become its weights as a frame, its own and those it inherits."""
+
+    __slots__ = ("tag", "content", "frame", "framed", "fades", "named", "number", "above")
 
     def __init__(self, tag: str, attrs: str, above, number: int):
-        names = " ".join("".join(m) for m in _NAMES.findall(attrs)).lower() if attrs else ""
-        words = set(re.split("[^a-z0-9]+", names)) if names else set()
+        names = " ".join("".join(m) for m in _NAMES.findall(attrs)) if attrs else ""
+        parts = [[w for w in re.split("[^a-z0-9]+", _HUMP.sub("-", name).lower()) if w] for name in names.split()]
+        words = {w for part in parts if not STATES.intersection(part) for w in part}
         inside = above is not None and above.content
-        self.tag, self.number = tag, number
+        self.tag, self.number, self.above = tag, number, above
         self.content = inside or tag in CONTENT_TAGS or "main" in words and tag not in FRAME_TAGS
-        frame = tag in FRAME_TAGS or tag == "header" and not inside
-        named = bool(words & FRAME_WORDS or FRAME_PARTS.search(names)) if names else False
+        self.frame = float(tag in FRAME_TAGS or tag in FORM_TAGS or tag == "header" and not inside)
+        named = any(w in FRAME_WORDS or FRAME_PARTS.fullmatch(w) for w in words)
         if inside and tag == "header" or tag in ("body", "html", "article", "main"):
             named = False
-        self.frame = frame or above is not None and above.frame
-        self.framed = named or bool(attrs and _HIDDEN.search(attrs)) or above is not None and above.framed
+        self.framed = float(named or bool(attrs and _HIDDEN.search(attrs)))
+        self.fades = tag not in FRAME_TAGS and tag != "header"
         self.named = bool(words & CONTENT_WORDS) or above is not None and above.named
 
 
@@ -81,6 +98,36 @@ class Block:
         self.text, self.linked, self.element, self.parent = text, linked, element, parent
 
 
+def _weigh(elements: list[_Element], blocks: list[Block]) -> None:
+    """Make frames weigh less the more of the page's text they hold, then hand their weights down.
+
+    Text of links and of elements that are always frames is not counted. Elements are in page order, so that each
+    comes behind the one around it.
+    """
+    text, always = [0] * len(elements), [False] * len(elements)
+    for e in elements[1:]:
+        always[e.number] = always[e.above.number] or e.frame > 0 and not e.fades
+    for b in blocks:
+        if not always[b.element.number]:
+            text[b.element.number] += max(0, len(b.text) - b.linked)
+    titled = [e.tag in ("h1", "main") for e in elements]
+    content = [0] * len(elements)  # text of articles within
+    for e in reversed(elements[1:]):
+        i, up = e.number, e.above.number
+        if e.content and not e.above.content:
+            content[i] = 0 if e.framed or e.frame else text[i]
+        text[up] += text[i]
+        content[up] += content[i]
+        titled[up] = titled[up] or titled[i]
+    for e in elements[1:]:
+        i = e.number
+        if (e.frame or e.framed) and e.fades and text[0] and 2 * content[i] >= content[0]:
+            share = text[i] / text[0]
+            left = 0.0 if titled[i] and share >= TITLED else min(1.0, max(0.0, (FADED - share) / (FADED - FADES)))
+            e.frame, e.framed = e.frame * left, e.framed * left
+        e.frame, e.framed = max(e.frame, e.above.frame), max(e.framed, e.above.framed)
+
+
 def _tags(page: str) -> tuple[list[tuple[int, int, re.Match]], dict[int, int]]:
     """(start, end, match) of every tag or comment, raw text included, and of each unseen element the tag that closes it."""
     tags, closed, at = [], {}, 0
@@ -118,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
     nothing: its title, script and style are raw text, and any other text ends it.
     """
     root = _Element("", "", None, 0)
-    stack, out, number = [root], [], 0
+    stack, out, elements = [root], [], [root]
     parts: list[str] = []
     linked = links = 0
 
@@ -177,49 +224,59 @@ def blocks_of(page: str) -> list[Block]:
                 links -= sum(e.tag == "a" for e in stack[open_:])
                 del stack[open_:]
         links += tag == "a"
-        number += 1
-        stack.append(_Element(tag, m["attrs"], stack[-1], number))
+        stack.append(_Element(tag, m["attrs"], stack[-1], len(elements)))
+        elements.append(stack[-1])
     if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
+    _weigh(elements, out)
     return out
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of FEATURES per block."""
     anywhere = any(b.element.content for b in blocks)
+    words = [float(np.log1p(b.text.count(" "))) for b in blocks]
+    around = [0.0, *words, 0.0]
     rows = []
-    for b in blocks:
-        e, size = b.element, len(b.text)
+    for i, b in enumerate(blocks):
+        e = b.element
         rows.append(
             (
-                1.0, e.content, anywhere and not e.content, e.frame, e.framed, e.named, e.tag in ("h1", "h2", "h3"),
-                np.log1p(b.text.count(" ")), min(1.0, b.linked / max(1, size)), b.text[-1] in ".!?…:\"'”", e.tag == "li",
+                e.content, anywhere and not e.content, e.frame, e.framed, e.named,
+                1.0, e.tag in ("h1", "h2", "h3"), words[i], min(1.0, b.linked / max(1, len(b.text))), b.text[-1] in ".!?…:\"'”", e.tag == "li",
+                np.log1p(b.text.count(", ")), (around[i] + around[i + 2]) / 2,
             )
         )
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
+def odds(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of being content: those of the markup, and those of text and layout within bounds."""
+    n = len(MARKUP)
+    return x[:, :n] @ weights[:n] + np.clip(x[:, n:] @ weights[n:], -TEXT_MOST, TEXT_MOST)
+
+
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 in article or main, 0 in elements and names of a frame, -1 where neither tells."""
-    frame = (x[:, 3] > 0) | (x[:, 4] > 0)
-    return np.where(frame, 0, np.where(x[:, 1] > 0, 1, -1))
+    """1 in article or main, 0 in nav, footer, aside and the like, -1 where no element of HTML tells."""
+    content, tag, name = x[:, 0] > 0, x[:, 2] >= 1, x[:, 3] > 0
+    return np.where(tag, 0, np.where(content & ~name, 1, -1))
 
 
 def fit_rows(x: np.ndarray, y: np.ndarray, strength: float = 20.0) -> np.ndarray:
-    """Logistic weights near PRIOR. Half of the rows are seen without their semantic features."""
-    x = x.copy()
-    x[::2, 1:6] = 0
-    w = PRIOR.copy()
+    """PRIOR with logistic weights of TEXT near it; the columns of MARKUP are not looked at."""
+    n = len(MARKUP)
+    x, prior = x[:, n:], PRIOR[n:]
+    w = prior.copy()
     for _ in range(25):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - strength * (w - PRIOR)
+        slope = x.T @ (y - p) - strength * (w - prior)
         curve = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return np.concatenate([PRIOR[:n], w])
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -295,7 +352,7 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    kept = minimum_cut((features(blocks) @ weights).tolist(), ties(blocks))
+    kept = minimum_cut(odds(features(blocks), weights).tolist(), ties(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 
@@ -315,7 +372,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     ids = pages.select("page_id").where("page_id IS NOT NULL").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").select("html")  # bounded by `sample` rows
-    found = rows.mapInArrow(run, "x array<double>, y int").where("y >= 0").limit(SAMPLE_BLOCKS).collect()
+    known = rows.mapInArrow(run, "x array<double>, y int").where("y >= 0")
+    found = known.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE_BLOCKS).collect()  # the same however rows are spread
     if not found:
         return PRIOR.copy()
     ordered = sorted((tuple(r.x), r.y) for r in found)

@@ -30,6 +30,7 @@ WORST = 0.9  # and the share of each audited query's own
 BANDS = 4  # groups of queries, by the distance of the nearest list, that have a ratio of their own
 PART = 4096  # vectors of a list that are read by one task
 TOGETHER = 128
+HELD = 1 << 18  # entries that a task keeps to merge before it hands them on
 
 
 def centroids(sample: np.ndarray, count: int) -> np.ndarray:
@@ -190,6 +191,35 @@ def _found(triple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[first], pa.int64()), lists], ["query_id", "best"])
 
 
+def _merged(triples, k: int):
+    """The k best of each query from several results, equal entries once; rows of a query follow each other."""
+    names, ids, scores = (np.concatenate(x) for x in zip(*triples, strict=True))
+    order = np.lexsort((ids, -scores, names))
+    names, ids, scores = names[order], ids[order], scores[order]
+    other = np.ones(len(names), bool)
+    other[1:] = (names[1:] != names[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    names, ids, scores = names[other], ids[other], scores[other]
+    first = np.searchsorted(names, names)
+    best = np.arange(len(names)) - first < k
+    return names[best], ids[best], scores[best]
+
+
+def combined(triples, k: int):
+    """Results of a task with the k best of each query, merged over the lists it read as far as HELD allows."""
+    held, size = [], 0
+    for triple in triples:
+        held.append(triple)
+        size += len(triple[0])
+        if size > HELD:
+            held = [_merged(held, k)]
+            size = len(held[0][0])
+            if 2 * size > HELD:
+                yield _found(held[0])
+                held, size = [], 0
+    if size:
+        yield _found(_merged(held, k))
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, ranked. A rank's limit is applied before the shuffle as well as behind it.
 
@@ -206,10 +236,8 @@ def _brute(rows: DataFrame, names: np.ndarray, queries: np.ndarray, dim: int, k:
     """Exact neighbours of a few queries among all rows, with their vectors."""
 
     def run(batches):
-        for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), matrix(batch.column(1).to_pylist(), dim)
-            if len(ids):
-                yield _found(nearest(queries, names, vectors, ids, k))
+        parts = ((b.column(0).to_numpy(), matrix(b.column(1).to_pylist(), dim)) for b in batches if b.num_rows)
+        yield from combined((nearest(queries, names, vectors, ids, k) for ids, vectors in parts), k)
 
     top = _top(rows.select("vec_id", "vec").mapInArrow(run, FOUND), k)
     return rows.select("vec_id", "vec").join(F.broadcast(top), "vec_id")  # AUDITED * k rows at most
@@ -271,13 +299,13 @@ def _search_dim(rows: DataFrame, dim: int, most: float, count: int, queries, k:
         if held and asking:
             ids, vectors = np.array([x for x, _ in held]), matrix([v for _, v in held], dim)
             names, queries = np.array([x for x, _ in asking]), matrix([v for _, v in asking], dim)
-            yield _found(nearest(queries, names, vectors, ids, k))
+            yield nearest(queries, names, vectors, ids, k)
 
     def searched(some: DataFrame, rule: str) -> DataFrame:
         asked = placed(some, rule).join(sizes, "list")
         asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vec")
         together = members.union(asked).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
-        return _top(together.mapInArrow(read, FOUND), k)
+        return _top(together.mapInArrow(lambda batches: combined(read(batches), k), FOUND), k)
 
     asking = rows.where(queries)
     found = write_table(searched(asking, "of_queries"), scratch_path(spark, "found"))

@@ -109,3 +109,19 @@ def test_queries_whose_lists_hold_too_few(spark):
     want, found = by_hand(rows, lambda i: i % 50 == 0, 20), got(vector_search.search(frame, "vec_id % 50 = 0", 20, list_size=10))
     assert all(len(own) == 20 for own in found.values()) and set(found) == set(want)
     check_scores(found, rows)
+
+
+def test_merging_in_parts(monkeypatch):
+    """Merged results of many parts are the best of all, also where little can be held."""
+    monkeypatch.setattr(vector_search, "HELD", 50)
+    rng = np.random.default_rng(12)
+    triples = [(np.sort(rng.integers(0, 9, 30)), rng.integers(0, 40, 30), rng.integers(0, 12, 30) / 4) for _ in range(20)]
+    seen = {}
+    for batch in vector_search.combined(iter(triples), 5):
+        for name, best in zip(*batch.to_pydict().values()):
+            seen.setdefault(name, set()).update((b["minus"], b["vec_id"]) for b in best)
+    want = {}
+    for names, ids, scores in triples:
+        for name, i, x in zip(names.tolist(), ids.tolist(), scores.tolist()):
+            want.setdefault(name, set()).add((-x, i))
+    assert {q: sorted(own)[:5] for q, own in seen.items()} == {q: sorted(own)[:5] for q, own in want.items()}

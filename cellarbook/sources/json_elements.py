@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellarbook.operators.joins import join_side
+from cellarbook.session import scratch_path
 from cellarbook.sources.records import BLOCK, FILE, LINE
+from cellarbook.sources.sinks import write_table
 
 
 def _outside(inside_first: bool) -> Column:
@@ -57,6 +59,8 @@ def elements(spark: SparkSession, paths: str | Sequence[str], member: str | None
     by = [FILE, BLOCK]
     # A piece's depth for both cases; the brace that ends it counts unless it stands in a string.
     steps = pieces.withColumns({"_quotes": quotes, "_deep0": _depth(_outside(False)), "_deep1": _depth(_outside(True))})
+    # Written down once: what follows reads the pieces four times, and looking at a text costs most.
+    steps = write_table(steps, scratch_path(spark, "pieces"))
     steps = steps.withColumn("_odd", F.pmod(_before(steps, "_quotes", by, LINE), F.lit(2)))
 
     def change(flip: int) -> Column:
@@ -86,6 +90,7 @@ def elements(spark: SparkSession, paths: str | Sequence[str], member: str | None
     starts = starts.withColumn("value", F.when(begins, clean).otherwise(F.col("value")))
     so_far = Window.partitionBy(*by).orderBy(LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = starts.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in ("_start", "_member")})
+    starts = write_table(starts.select(*by, LINE, "value", "_start", "_member"), scratch_path(spark, "starts"))
     last = starts.groupBy(*by).agg(F.max_by(F.struct("_start", "_member"), LINE).alias("_last"), F.max(LINE).alias("_line_last"))
     in_order = Window.partitionBy(FILE).orderBy(BLOCK)
     previous = in_order.rowsBetween(Window.unboundedPreceding, -1)

@@ -4,9 +4,9 @@ Strict matches (`base_spans`) are kept as they are. Generators propose anything
 address, number or name of a machine, overlapping or not; boosted trees judge each proposal by its format and
 its surroundings, and a threshold per kind, calibrated on rows apart, selects those to add.
 
-There are no hand-made labels, so the trees learn from strict matches of a bounded sample of documents,
-rewritten in their places in the ways people write them (no country code, dots, "at"), against what the
-generators find elsewhere and against numbers of other kinds (dates, versions, amounts, long ids).
+There are no hand-made labels, so the trees learn from the strict matches of all documents, rewritten in
+their places in the ways people write them (no country code, dots, "at"), against what the generators find
+elsewhere and against numbers of other kinds (dates, versions, amounts, long ids).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,10 @@ from pyspark.sql import functions as F
 
 from cellarbook.llm import boosting
 from cellarbook.llm.batches import handed_back, small_batches
-from cellarbook.llm.sampling import about
 from cellarbook.llm.words import chunks, text_bytes
 from cellarbook.session import scratch_path
 from cellarbook.sources.sinks import write_table
 
-#: Documents whose candidates the trees are fitted on, at most; and rows of candidates, at most.
-SAMPLE, SAMPLE_ROWS = 8192, 40_000
 PRECISION = 0.995
 KINDS = ("email", "ip", "card", "phone")
 #: The strict forms. An address is found from its "@" (`_strict_emails`); a number in an ip is taken
@@ -182,13 +180,14 @@ def _decoy(rng: random.Random) -> str:
     )
 
 
-def training_rows(text: str) -> list[tuple[list[float], int]]:
-    """Labelled proposals made from one text."""
-    rng, base, out = random.Random(zlib.crc32(text.encode("utf-8", "replace"))), base_spans(text), []
+def _labelled(text: str):
+    rng, base = random.Random(zlib.crc32(text.encode("utf-8", "replace"))), base_spans(text)
     strict = Taken((a, b) for _, a, b in base)
-    out += [(features(text, k, a, b), 0) for k, a, b in candidates(text) if not strict.meets(a, b)]
+    for k, a, b in candidates(text):
+        if not strict.meets(a, b):
+            yield features(text, k, a, b), 0
     for kind, a, b in base:
-        out.append((features(text, kind, a, b), 1))
+        yield features(text, kind, a, b), 1
         new = _rewritten(kind, text[a:b], rng)
         words = {"email": "mail", "ip": "host", "card": "card", "phone": "call"}
         lead = rng.choice(["", f"{words[kind]} ", f"{words[kind]}: "])
@@ -199,10 +198,14 @@ def training_rows(text: str) -> list[tuple[list[float], int]]:
             for k, x, y in candidates(changed[skipped : own + len(put) + 2 * ROUND]):
                 x, y = x + skipped, y + skipped
                 if label and k == kind and x <= at + 1 and y >= at + len(new) - 1:
-                    out.append((features(changed, k, x, y), 1))
+                    yield features(changed, k, x, y), 1
                 elif not label and x < own + len(put) and own < y:
-                    out.append((features(changed, k, x, y), 0))
-    return out
+                    yield features(changed, k, x, y), 0
+
+
+def training_rows(text: str) -> list[tuple[list[float], int]]:
+    """Labelled proposals made from one text."""
+    return list(_labelled(text))
 
 
 @dataclass
@@ -222,31 +225,42 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(trees, levels)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the documents with the smallest hashes of doc_id, `sample` at most; whole texts of those.
+def proposals(docs: DataFrame) -> DataFrame:
+    """(x, kind, apart, y): labelled proposals of all texts; a third, by a hash of text and place, stands apart."""
 
-    The driver gets about SAMPLE_ROWS rows of numbers, chosen by the hashes of document and place among its
-    rows. Without strict matches in the sample the thresholds are out of reach, and nothing is added to the
-    strict matches.
-    """
+    def made(column):
+        for row in np.flatnonzero(possible(column)).tolist():
+            text = column[row].as_py()
+            own = zlib.crc32(text.encode("utf-8", "replace"))
+            for n, (x, y) in enumerate(_labelled(text)):
+                yield x, int(x[0]), zlib.crc32(b"%d %d" % (own, n)) % 3 == 2, y
 
     def run(batches):
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if rows := training_rows(text) if text else []:
-                    arrays = [pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32())]
-                    place = [pa.array([doc] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*arrays, *place], ["x", "y", "doc", "n"])
+        kinds = (pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.int32())
+        for batch in _slices(batches, 0):
+            rows = made(batch.column(0))
+            while block := list(islice(rows, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*block), kinds)], ["x", "kind", "apart", "y"])
 
     small_batches(docs.sparkSession)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by `sample` ids
-    texts = texts.select(F.col("doc_id").cast("long"), "text")
-    made = write_table(texts.mapInArrow(lambda batches: handed_back(run(batches)), "x array<double>, y int, doc long, n long"), scratch_path(docs.sparkSession, "proposals"))
-    rows = sorted((tuple(r.x), r.y) for r in about(made, SAMPLE_ROWS, "doc", "n").select("x", "y").collect())
-    random.Random(11).shuffle(rows)
-    width = len(features("0", "card", 0, 1))
-    return fit_rows(np.array([r[0] for r in rows], float).reshape(-1, width), np.array([r[1] for r in rows], float))
+    texts = docs.select("text").where("text IS NOT NULL")
+    return texts.mapInArrow(lambda batches: handed_back(run(batches)), "x array<double>, kind int, apart boolean, y int")
+
+
+def fit(docs: DataFrame) -> Model:
+    """Fit on all documents: the driver gets sums by node and bin, and counts by score (`boosting.fit_rows`).
+
+    Where a kind has less than ten held-out matches its threshold is out of reach, and nothing of it is added to
+    the strict matches.
+    """
+    store = lambda df: write_table(df, scratch_path(docs.sparkSession, "proposals"))
+    trees, held = boosting.fit_rows(store(proposals(docs)), len(features("0", "card", 0, 1)), store)
+    counts, levels = held.orderBy("kind", "step", "y").collect(), {}
+    for i, kind in enumerate(KINDS):
+        step, y, times = np.array([(r.step, r.y, r.times) for r in counts if r.kind == i], float).reshape(-1, 3).T
+        enough = (y * times).sum() >= 10
+        levels[kind] = max(0.5, boosting.threshold(boosting.score_of(step), y, PRECISION, times)) if enough else 2.0
+    return Model(trees, levels)
 
 
 def find(text: str, model: Model) -> list[tuple[str, int, int, bool]]:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cellarbook.operators import flows, periods, reconcile
+from cellarbook.operators import flows, periods, recipes, reconcile
 from cellarbook.plans import catalog
 
 
@@ -63,3 +63,27 @@ def test_days_of_periods_are_made_after_the_shuffles(spark, tmp_path, monkeypatc
     name = (lambda r: r.producto.upper()) if area.upper else (lambda r: r.cod_producto)
     wanted = sorted((r.producto, r.semana, r.fecha, flow.get((name(r), r.fecha)) or 0.0) for r in spread_out)
     assert sorted((r.producto, r.semana, r.fecha, r.compras) for r in daily.collect()) == wanted and wanted
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_ingredient_use_is_dealt_over_tasks_by_what_is_read(spark, tmp_path, monkeypatch, limit):
+    day = F.date_add(F.lit("2024-01-07").cast("date"), F.pmod("id", F.lit(9)).cast("int"))
+    code = F.when(F.col("id") % 50 > 0, F.concat(F.lit("C"), F.col("id") % 40))
+    rows = spark.range(2000).select(day.alias("fecha"), code.alias("codigo_inventario"), (F.col("id") % 6).cast("double").alias("cantidad"))
+    rows.write.parquet(str(tmp_path / "sales"))
+    sales = spark.read.parquet(str(tmp_path / "sales"))
+    lines = [(f"C{i % 45}", "dish", f"N{i}" if i % 4 else "", f"Insumo {i % 12}", 0.5 * (i % 3)) for i in range(90)]
+    kinds = "cod_producto string, producto string, cod_insumo string, insumo string, cantidad double"
+    spark.createDataFrame(lines, kinds).coalesce(1).write.parquet(str(tmp_path / "recipe"))
+    recipe = spark.read.parquet(str(tmp_path / "recipe"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        few = recipes.ingredient_use_per_day(sales, recipe, own_code_only=True)
+        monkeypatch.setattr(recipes, "LINE_BYTES", 512)
+        many = recipes.ingredient_use_per_day(sales, recipe, own_code_only=True)
+        assert few.rdd.getNumPartitions() <= 8 < many.rdd.getNumPartitions()
+        assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+        assert many.count() == sum(1 for c, _, n, _, _ in lines if n for r in sales.select("codigo_inventario", "fecha").distinct().collect() if r[0] == c)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

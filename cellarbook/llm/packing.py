@@ -13,6 +13,7 @@ remains is cut into lengths that are powers of two. So only the slack of full bi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellarbook.llm.batches import handed_back, small_batches
 from cellarbook.llm.tokens import Vocabulary, encoded
 
 CAPACITY = 2048
 SLACK = 64
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-ROWS = 4096
+ROWS = 1024  # pieces handed on at once: 8 MB of ids at most
 _PART = 1 << 40  # sequences of one worker stay below this
 
 
@@ -92,25 +94,22 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY) -> D
     documents of their own; a null doc_id stays null; other columns are ignored.
     """
 
-    def run(batches):
-        packer, rows = Packer(TaskContext.get().partitionId() * _PART, capacity), []
-
-        def out():
-            values = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
-
+    def pieces(batches):
+        packer = Packer(TaskContext.get().partitionId() * _PART, capacity)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for row, ids in encoded(batch.column(1), vocabulary):
-                rows += packer.add(keys[row], ids.astype("<u4"))
-                if len(rows) >= ROWS:
-                    yield out()
-                    rows = []
-        rows += packer.finish()
-        if rows:
-            yield out()
+                yield from packer.add(keys[row], ids.astype("<u4"))
+        yield from packer.finish()
+
+    def run(batches):
+        rows = pieces(batches)
+        while block := list(islice(rows, ROWS)):
+            values = zip(*block, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")]
     types = [pa.binary() if c.endswith("binary") else pa.int64() for c in PIECES.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lambda batches: handed_back(run(batches)), PIECES)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellarbook.llm.batches import small_batches
+from cellarbook.llm.batches import handed_back, small_batches
 from cellarbook.llm.words import chunks, find_words, hash_spans, mix
 
 #: Labelled documents that the model is fitted on, at most.
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by `sample` rows
-    rows = texts.select(F.col("label").cast("double"), "text").mapInArrow(_counted, "label double, counts binary")
+    rows = texts.select(F.col("label").cast("double"), "text").mapInArrow(lambda batches: handed_back(_counted(batches)), "label double, counts binary")
     rows = rows.limit(2 * sample).collect()  # repeated documents may add rows
     rows.sort(key=lambda r: (r.label, r.counts))
     counts = np.array([np.frombuffer(r.counts, "<f4") for r in rows], np.float32).reshape(-1, TERMS)
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(lambda batches: handed_back(run(batches)), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -162,4 +162,4 @@ def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), shared.value) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: handed_back(run(batches)), docs.schema)

@@ -19,6 +19,8 @@ from cellarbook.llm.words import KEPT, LOWER, SPACE, chunks, hash_spans, ragged,
 
 #: Pieces kept per worker. A full table keeps the pieces met again; this bounds memory and changes no result.
 TABLE_PIECES = 300_000
+#: Bytes of text that a worker cuts and hashes at once; the arrays for that take many times as much.
+AT_ONCE = 1 << 19
 #: Pieces whose form no normalization or pre-tokenization step changes; the BPE model takes them as they are.
 PLAIN = re.compile(" ?[a-z]+")
 _LETTER = np.zeros(256, bool)
@@ -121,7 +123,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        # Hashes in ascending order with the slot of each; the other arrays go by slot.
+        self.hashes, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.start, self.length, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.marks, self.long = np.zeros((0, 3), np.uint64), {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -136,17 +139,24 @@ class Encoder:
                 lengths.append(len(ids))
         return np.array(flat, np.uint32), np.array(lengths, np.int64)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slot[at], np.int32(-1))
+
     def _trim(self) -> None:
         """Keep the pieces that were met again after they came in."""
-        kept, starts, lengths = self.met, self.start, self.length
-        keys = [k for k, good in zip(self.slot, kept.tolist(), strict=True) if good]
-        flat = self.ids[ragged(starts[kept], lengths[kept])]
-        marks, raw = self.marks[kept], [self.long.get(i) for i in np.flatnonzero(kept).tolist()]
+        good = self.met[self.slot]
+        hashes, kept = self.hashes[good], self.slot[good]
+        lengths, marks, raw = self.length[kept], self.marks[kept], [self.long.get(i) for i in kept.tolist()]
+        flat = self.ids[ragged(self.start[kept], lengths)]
         self._clear()
-        if len(keys) <= TABLE_PIECES // 2:
-            self._store(keys, flat, lengths[kept], marks, raw)
+        if len(hashes) <= TABLE_PIECES // 2:
+            self._store(hashes, flat, lengths, marks, raw)
 
-    def _learn(self, hashes: list[int], pieces: list[bytes], marks: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], marks: np.ndarray) -> None:
         texts = [p.decode("utf-8", "replace") for p in pieces]
         raw = [p if len(p) > 16 else None for p in pieces]
         plain = [PLAIN.fullmatch(t) is not None for t in texts]
@@ -155,7 +165,7 @@ class Encoder:
         own = np.array(plain, bool)
         if easy:
             self._store(
-                [h for h, p in zip(hashes, plain, strict=True) if p],
+                hashes[own],
                 np.array([i for x in easy for i in x], np.uint32),
                 np.array([len(x) for x in easy], np.int64),
                 marks[own],
@@ -163,15 +173,18 @@ class Encoder:
             )
         if len(easy) < len(texts):
             rest = self._library([t for t, p in zip(texts, plain, strict=True) if not p])
-            self._store([h for h, p in zip(hashes, plain, strict=True) if not p], *rest, marks[~own], [r for r, p in zip(raw, plain, strict=True) if not p])
+            self._store(hashes[~own], *rest, marks[~own], [r for r, p in zip(raw, plain, strict=True) if not p])
 
-    def _store(self, hashes: list[int], flat: np.ndarray, lengths: np.ndarray, marks: np.ndarray, raw: list[bytes | None]) -> None:
+    def _store(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, marks: np.ndarray, raw: list[bytes | None]) -> None:
+        """Pieces that are not in the table yet, by ascending hash."""
+        slots = np.arange(len(self.start), len(self.start) + len(hashes), dtype=np.int32)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.long.update((len(self.slot) + i, r) for i, r in enumerate(raw) if r is not None)
+        self.long.update((i, r) for i, r in zip(slots.tolist(), raw, strict=True) if r is not None)
         self.marks = np.concatenate([self.marks, marks])
-        self.slot.update(zip(hashes, range(len(self.slot), len(self.slot) + len(hashes)), strict=True))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slot = np.insert(self.hashes, at, hashes), np.insert(self.slot, at, slots)
         self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
         self.met = np.concatenate([self.met, np.zeros(len(hashes), bool)])
@@ -202,12 +215,11 @@ class Encoder:
         pieces = Pieces(data, starts, ends)
         distinct, at, inverse = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
         wrong = ~pieces.like(at[inverse])
-        if len(self.slot) > TABLE_PIECES:
+        if len(self.start) > TABLE_PIECES:
             self._trim()
-        keys = distinct.tolist()
-        slots = list(map(self.slot.get, keys))
-        known = np.array([x is not None for x in slots], bool)
-        own = np.array([x for x in slots if x is not None], np.int64)
+        slots = self._find(distinct)
+        known = slots >= 0
+        own = slots[known]
         self.met[own] = True
         raw = data.tobytes()
         if len(own):
@@ -216,15 +228,15 @@ class Encoder:
             for i in np.flatnonzero(hit & (pieces.lengths[at[where]] > 16)).tolist():
                 k = at[where[i]]
                 hit[i] = self.long[int(own[i])] == raw[starts[k] : ends[k]]
-            missed = np.zeros(len(keys), bool)
+            missed = np.zeros(len(distinct), bool)
             missed[where] = ~hit
             wrong |= missed[inverse]
         if not known.all():
             new = np.flatnonzero(~known)
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)
-            self._learn([keys[i] for i in new.tolist()], [raw[a:b] for a, b in spans], pieces.marks(at[new]))
-            slots = list(map(self.slot.get, keys))
-        slots = np.array(slots, np.int64)[inverse]
+            self._learn(distinct[new], [raw[a:b] for a, b in spans], pieces.marks(at[new]))
+            slots = self._find(distinct)
+        slots = slots[inverse]
         piece_ids = self.length[slots]
         flat = self.ids[ragged(self.start[slots], piece_ids)]
         sums = np.concatenate([[0], np.cumsum(piece_ids)])
@@ -276,7 +288,7 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
 def encoded(column, vocabulary: Vocabulary):
     """(row, its ids as an array) of each text of an Arrow string column."""
     own = encoder(vocabulary)
-    for row, rows, data, offsets in chunks(column):
+    for row, rows, data, offsets in chunks(column, AT_ONCE):
         ids, first = own.encode(data, offsets)
         for i in range(rows):
             yield row + i, ids[first[i] : first[i + 1]]

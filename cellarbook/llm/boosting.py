@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 ROUNDS, DEPTH, RATE, LEAST = 40, 3, 0.3, 5
 #: Bins of a feature, and the cut of a node that has none.
 BINS, NO_CUT = 33, 255
+#: Tasks that add up the sums of a level: a few thousand numbers of each task that reads rows, however many rows.
+ADDING = 4
 #: Slopes and curves are counted in parts of one.
 UNIT = 1 << 20
 #: Steps of a margin of 1 by which `threshold` tells scores of a table apart, and where margins end.
@@ -205,6 +207,7 @@ def fit_rows(rows: DataFrame, width: int, store: Callable[[DataFrame], DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place, g[place], h[place], n[place])], ["place", "g", "h", "n"])
 
         parts = own.mapInArrow(run, "place long, g long, h long, n long").groupBy("place").agg(*[F.sum(c).alias(c) for c in "ghn"])
+        parts = parts.coalesce(ADDING)
         found = np.zeros((3, 2**level * width * BINS), np.int64)
         for r in parts.collect():
             found[:, r.place] = r.g, r.h, r.n

@@ -42,3 +42,11 @@ def test_invoice_lines_are_compressed(spark, folder, scratch, rows):
     items = invoices.selectExpr("_negocio", "anulada", "explode(listaItems) AS i").groupBy("_negocio", "anulada", "i.articulo")
     want = items.agg({"i.cantidad": "sum", "i.precioTotal": "sum", "*": "count"}).count()
     assert made.count() == want and made.selectExpr("sum(n)").head()[0] == 6000
+
+
+def test_a_landing_folder_is_compressed(spark, folder, scratch):
+    made = catalog.QUERIES["source_landing_folder"](spark, folder)
+    text = catalog.landed(spark, folder)["izi_facturas"].selectExpr("sum(length(to_json(struct(*))))").head()[0]
+    _is_short(scratch, text, 400)
+    assert sorted(map(str, made.collect())) == sorted(map(str, catalog.QUERIES["gold_fct_ventas_items"](spark, folder).collect()))
+    assert made.count() > 1000

@@ -1,10 +1,12 @@
 """Landed files that queries write for themselves are a fraction of their text."""
 
 import gzip
+import json
 
 import pytest
 
 from cellarbook.plans import catalog
+from cellarbook.sources import json_elements
 
 
 @pytest.fixture
@@ -50,3 +52,44 @@ def test_a_landing_folder_is_compressed(spark, folder, scratch):
     _is_short(scratch, text, 400)
     assert sorted(map(str, made.collect())) == sorted(map(str, catalog.QUERIES["gold_fct_ventas_items"](spark, folder).collect()))
     assert made.count() > 1000
+
+
+def test_documents_are_compressed_and_read_without_a_shuffle(spark, folder, scratch, monkeypatch):
+    monkeypatch.setattr(catalog, "DOCUMENT_RECORDS", 200)
+    monkeypatch.setattr(json_elements, "scratch_path", lambda spark, name: str(scratch / name))
+    made = catalog.QUERIES["source_invoice_documents"](spark, folder)
+    assert made.selectExpr("sum(n)").head()[0] == 6000
+    text = catalog.landed(spark, folder)["izi_facturas"].selectExpr("sum(length(to_json(struct(*))))").head()[0]
+    assert sum(f.stat().st_size for f in scratch.rglob("*") if f.is_file()) < text / 4
+    texts = [gzip.decompress(f.read_bytes()).decode() for f in (scratch / "documents").glob("part-*.gz")]
+    assert len(texts) >= 15 and all(0 < len(json.loads(t)["facturas"]) <= 200 for t in texts)
+    lines = catalog.QUERIES["source_invoice_json"](spark, folder)
+    assert sorted(map(str, made.collect())) == sorted(map(str, lines.collect()))
+    read = json_elements.elements(spark, str(scratch / "documents"), "facturas")
+    assert read.count() == 3000 and "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+ODD = [
+    '{"facturas": [{"a": "}]"}, {"b": [1, {"c": 2}]} ], "x": {"facturas": [{"d": 1}]}, "facturas" : [ {"e\\\\\\\\": "\\\\""}]}\n{"facturas": [{"f": 3}]}',
+    '[{"facturas": [{"a": 1}]}, 5, {"b": "é\\\\"}, [{"c": 1}], {"d": {}}, null, {}]',
+    '{"n": "facturas", "facturas": [null, {"a": "\\\\\\\\"}, {"open": [{"b": 1}, {"c": "not closed',
+    "{}}}]]{{[\"}\" '}' \\\\} ]",
+    "",
+]
+
+
+@pytest.mark.parametrize("member", [None, "facturas"])
+def test_elements_are_the_same_however_files_are_split(spark, tmp_path, member):
+    for i, text in enumerate(ODD):
+        (tmp_path / f"{i}.json").write_text(text)
+    settings = {"spark.sql.files.maxPartitionBytes": "23", "spark.sql.files.minPartitionNum": "64"}
+    found = [json_elements.elements(spark, str(tmp_path), member).select("value").collect()]
+    try:
+        for limit in ("10m", "-1"):
+            for name, value in {**settings, "spark.sql.autoBroadcastJoinThreshold": limit}.items():
+                spark.conf.set(name, value)
+            found.append(json_elements.elements(spark, str(tmp_path), member).select("value").collect())
+    finally:
+        for name in (*settings, "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert len(found[0]) > 5 and sorted(found[0]) == sorted(found[1]) == sorted(found[2])

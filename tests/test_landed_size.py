@@ -18,8 +18,6 @@ def folder(spark, tmp_path):
         "0.05D AS l_discount", "0.02D AS l_tax", "substr('ARN', cast(id % 3 + 1 AS int), 1) AS l_returnflag",
         "substr('OF', cast(id % 2 + 1 AS int), 1) AS l_linestatus", "timestamp'1999-01-01' + make_dt_interval(cast(id % 700 AS int)) AS l_shipdate",
     ).repartition(2).write.parquet(str(tmp_path / "lineitem.parquet"))
-    for other in ("part", "supplier", "orders", "events"):
-        (tmp_path / f"{other}.parquet").symlink_to(f"/root/testdata/sf0.001/{other}.parquet")
     return str(tmp_path)
 
 
